@@ -1,0 +1 @@
+"""Intentionally empty: the workload is a batch ranking job and has no streaming operator."""
