@@ -1,7 +1,7 @@
-"""Text preparation as Column expressions. All of them run inside the JVM."""
+"""Text preparation as Spark SQL expressions: each function maps expression text to expression text,
+for `selectExpr` and `F.expr`, so they nest. All of them run inside the JVM."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from functools import cache
 
 from termscale.rules import contraction_rules
 
@@ -26,48 +26,57 @@ OTHER_DIGIT = (
 EDGE_PUNCTUATION = r".<>-{}[]/:;\@!#$%^&*()"
 
 
-def sentences(text: Column) -> Column:
+def literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def sentences(text: str) -> str:
     """array<string> of the non-empty sentences; none for an empty or missing text."""
-    pieces = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
-    return F.filter(pieces, lambda piece: piece != "")
+    return f"filter(split(coalesce({text}, ''), {literal(SENTENCE_END)}), piece -> piece <> '')"
+
 
+@cache
+def contraction_array() -> str:
+    """The rules as a constant array, folded to one literal when the plan is optimised."""
+    pairs = [f"struct({literal(k)} AS search, {literal(v)} AS replacement)" for k, v in contraction_rules()]
+    return f"array({', '.join(pairs)})"
 
-def expand_contractions(text: Column) -> Column:
+
+def expand_contractions(text: str) -> str:
     """Apply every contraction rule in table order, each to the result of the one before."""
-    rules = F.array(
-        *[F.struct(F.lit(k).alias("search"), F.lit(v).alias("replace")) for k, v in contraction_rules()]
-    )
-    expanded = F.aggregate(rules, text, lambda acc, rule: F.replace(acc, rule["search"], rule["replace"]))
     # Every rule's key holds an apostrophe, so texts without one skip the fold.
-    return F.when(F.contains(text, F.lit("'")), expanded).otherwise(text)
+    return (
+        f"CASE WHEN contains({text}, {literal(chr(39))}) THEN aggregate({contraction_array()}, {text}, "
+        f"(done, rule) -> replace(done, rule.search, rule.replacement)) ELSE {text} END"
+    )
 
 
-def strip_digits(text: Column) -> Column:
-    plain = F.regexp_replace(text, DECIMAL_DIGIT, "")
+def strip_digits(text: str) -> str:
     # The long class is slow to test, so ASCII texts skip it and the look-ahead skips ASCII characters.
-    other = F.regexp_replace(plain, r"(?![\x00-\x7F])" + OTHER_DIGIT, "")
-    return F.when(F.octet_length(plain) > F.length(plain), other).otherwise(plain)
+    every_digit = rf"[0-9]|(?![\x00-\x7F])(?:{DECIMAL_DIGIT}|{OTHER_DIGIT})"
+    return (
+        f"CASE WHEN octet_length({text}) > length({text}) THEN regexp_replace({text}, {literal(every_digit)}, '')"
+        f" ELSE regexp_replace({text}, '[0-9]', '') END"
+    )
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+def tokens(text: str) -> str:
+    return f"regexp_extract_all({text}, {literal(TOKEN)}, 0)"
 
 
-def is_word(token: Column) -> Column:
+def is_word(token: str) -> str:
     """Two characters or more, with no punctuation at either end."""
-    edges = F.lit(EDGE_PUNCTUATION)
+    edges = literal(EDGE_PUNCTUATION)
     return (
-        (F.length(token) >= 2)
-        & ~F.contains(edges, F.substring(token, 1, 1))
-        & ~F.contains(edges, F.substring(token, -1, 1))
+        f"(length({token}) >= 2 AND NOT contains({edges}, left({token}, 1))"
+        f" AND NOT contains({edges}, right({token}, 1)))"
     )
 
 
-def word_class(tag: Column) -> Column:
+def word_class(tag: str) -> str:
     """WordNet class of a Penn tag: adjective a, verb v, noun n, adverb r, otherwise null."""
     return (
-        F.when(tag.startswith("J"), "a")
-        .when(tag.startswith("V"), "v")
-        .when(tag.startswith("N"), "n")
-        .when(tag.startswith("R"), "r")
+        f"CASE WHEN startswith({tag}, 'J') THEN 'a' WHEN startswith({tag}, 'V') THEN 'v'"
+        f" WHEN startswith({tag}, 'N') THEN 'n' WHEN startswith({tag}, 'R') THEN 'r' END"
     )

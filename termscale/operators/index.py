@@ -4,7 +4,7 @@ An index row is (rec_id, doc_id, term, tf, first_pos, doc_len, max_tf). Each rec
 one row with a null term, its document row, so documents without terms count like all others.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termscale.operators.tokens import by_record, term_stream
@@ -15,18 +15,21 @@ def term_counts(stream: DataFrame) -> DataFrame:
 
     `first_pos` packs sentence and token position into one number.
     """
-    position = F.shiftleft(F.col("sent_pos").cast("bigint"), 32) + F.col("tok_pos")
     return stream.groupBy("rec_id", "doc_id", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.min(position).alias("first_pos")
+        F.expr("count(*) AS tf"),
+        F.expr("min(shiftleft(CAST(sent_pos AS BIGINT), 32) + tok_pos) AS first_pos"),
     )
 
 
+TERM_TF = "CASE WHEN term IS NOT NULL THEN tf END"
+
+
 def with_document_stats(counts: DataFrame) -> DataFrame:
-    record = Window.partitionBy("rec_id")
-    term_tf = F.when(F.col("term").isNotNull(), F.col("tf"))
-    return counts.select(
-        "*", F.sum(term_tf).over(record).alias("doc_len"), F.max(term_tf).over(record).alias("max_tf")
-    ).fillna(0, ["doc_len", "max_tf"])
+    return counts.selectExpr(
+        "*",
+        f"coalesce(sum({TERM_TF}) OVER (PARTITION BY rec_id), 0) AS doc_len",
+        f"coalesce(max({TERM_TF}) OVER (PARTITION BY rec_id), 0) AS max_tf",
+    )
 
 
 def index_rows(docs: DataFrame, stop: DataFrame = None, forms: DataFrame = None) -> DataFrame:
@@ -40,17 +43,15 @@ def term_frequencies(counts: DataFrame) -> DataFrame:
 
 def document_stats(counts: DataFrame) -> DataFrame:
     """(rec_id, doc_id, doc_len, max_tf), one row per record."""
-    term_tf = F.when(F.col("term").isNotNull(), F.col("tf"))
     return counts.groupBy("rec_id", "doc_id").agg(
-        F.coalesce(F.sum(term_tf), F.lit(0)).alias("doc_len"),
-        F.coalesce(F.max(term_tf), F.lit(0)).alias("max_tf"),
+        F.expr(f"coalesce(sum({TERM_TF}), 0) AS doc_len"), F.expr(f"coalesce(max({TERM_TF}), 0) AS max_tf")
     )
 
 
 def document_terms(counts: DataFrame) -> DataFrame:
     """(rec_id, doc_id, terms): each record's terms as array<struct<term, tf, first_pos>>."""
-    entry = F.when(F.col("term").isNotNull(), F.struct("term", "tf", "first_pos"))
-    return counts.groupBy("rec_id", "doc_id").agg(F.collect_list(entry).alias("terms"))
+    entry = "CASE WHEN term IS NOT NULL THEN struct(term, tf, first_pos) END"
+    return counts.groupBy("rec_id", "doc_id").agg(F.expr(f"collect_list({entry}) AS terms"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -58,10 +59,9 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_stats(counts: DataFrame) -> DataFrame:
-    """One row (n_docs, total_len, avg_len); avg_len is null for an empty corpus."""
-    totals = counts.agg(
-        F.count_if(F.col("term").isNull()).alias("n_docs"),
-        F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))), F.lit(0)).alias("total_len"),
+def corpus_stats(index: DataFrame) -> DataFrame:
+    """One row (n_docs, total_len, avg_len), from the document rows; an empty corpus has no average."""
+    totals = index.filter("term is null").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len")
     )
     return totals.withColumn("avg_len", F.expr("total_len / nullif(n_docs, 0)").cast("double"))

@@ -1,10 +1,12 @@
 """Word forms: which tag and lemma a surface form has."""
 
-from pyspark.sql import DataFrame, Window
+from functools import cache
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termscale.functions.text import word_class
-from termscale.sources.local import broadcast_if_small, default_lexicon, detachment_rules
+from termscale.sources.local import broadcast_if_small, default_lexicon, detachment_rules, form_table
 
 UNKNOWN_TAG = "NN"
 
@@ -17,32 +19,35 @@ def word_forms(lexicon: DataFrame) -> DataFrame:
     is at most (rules per class + 1) times the lexicon, and a token needs one look-up. An entry
     of the lexicon itself wins over a derived form, then the shortest lemma wins.
     """
-    entries = lexicon.select("surface", "tag", "lemma", F.lit(0).alias("source"))
-    bases = lexicon.select("lemma", word_class(F.col("tag")).alias("class")).filter("class is not null").distinct()
+    entries = lexicon.selectExpr("surface", "tag", "lemma", "0 AS source")
+    bases = lexicon.selectExpr("lemma", f"{word_class('tag')} AS class").filter("class IS NOT NULL").distinct()
     inflected = (
         bases.join(F.broadcast(detachment_rules(lexicon.sparkSession)), "class")
-        .filter(F.endswith("lemma", "replacement"))
-        .select(
-            F.concat(
-                F.expr("substring(lemma, 1, length(lemma) - length(replacement))"), "suffix"
-            ).alias("surface"),
-            F.col("rule_tag").alias("tag"),
+        .filter("endswith(lemma, replacement)")
+        .selectExpr(
+            "concat(left(lemma, length(lemma) - length(replacement)), suffix) AS surface",
+            "rule_tag AS tag",
             "lemma",
-            F.lit(1).alias("source"),
+            "1 AS source",
         )
     )
-    best = Window.partitionBy("surface").orderBy("source", F.length("lemma"), "lemma", "tag")
+    best = "row_number() OVER (PARTITION BY surface ORDER BY source, length(lemma), lemma, tag)"
     return (
         entries.unionByName(inflected)
-        .withColumn("choice", F.row_number().over(best))
+        .selectExpr("*", f"{best} AS choice")
         .filter("choice = 1")
         .select("surface", "tag", "lemma")
     )
 
 
+@cache
+def _shipped_form_rows(spark) -> list:
+    return [tuple(row) for row in word_forms(default_lexicon(spark)).collect()]
+
+
 def default_forms(spark) -> DataFrame:
-    """The forms of the shipped lexicon, which has a fixed size."""
-    return F.broadcast(word_forms(default_lexicon(spark)))
+    """The forms of the shipped lexicon: some hundred rows, a fixed number, kept after the first call."""
+    return F.broadcast(form_table(spark, _shipped_form_rows(spark)))
 
 
 def checked_forms(lexicon: DataFrame) -> DataFrame:
@@ -50,12 +55,10 @@ def checked_forms(lexicon: DataFrame) -> DataFrame:
     return broadcast_if_small(word_forms(lexicon))
 
 
-def look_up_forms(tokens: DataFrame, forms: DataFrame, surface="surface") -> DataFrame:
-    """Add `tag`, `class` and `lemma`; an unknown word is a noun and its own lemma."""
-    known = forms.withColumnRenamed("surface", surface)
-    return (
-        tokens.join(known, surface, "left")
-        .withColumn("tag", F.coalesce("tag", F.lit(UNKNOWN_TAG)))
-        .withColumn("class", word_class(F.col("tag")))
-        .withColumn("lemma", F.coalesce("lemma", surface))
+def look_up_forms(tokens: DataFrame, forms: DataFrame) -> DataFrame:
+    """Add `tag`, `class` and `lemma` by `surface`; an unknown word is a noun and its own lemma."""
+    kept = [c for c in tokens.columns if c != "surface"]
+    known = tokens.join(forms, "surface", "left").selectExpr(
+        *kept, "surface", f"coalesce(tag, '{UNKNOWN_TAG}') AS tag", "coalesce(lemma, surface) AS lemma"
     )
+    return known.selectExpr("*", f"{word_class('tag')} AS class")

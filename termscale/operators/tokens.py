@@ -16,27 +16,28 @@ def by_record(docs: DataFrame) -> DataFrame:
     unique, so equal document ids are neither merged nor placed together. It is only meaningful
     inside one job; never join it with the ids of another run.
     """
-    return docs.select(
-        F.monotonically_increasing_id().alias("rec_id"), "doc_id", "text"
-    ).repartition("rec_id")
+    return docs.selectExpr("monotonically_increasing_id() AS rec_id", "doc_id", "text").repartition("rec_id")
 
 
 def sentence_rows(docs: DataFrame, keep_documents=False) -> DataFrame:
     """One row per sentence; with `keep_documents` also one row per document with a null sentence."""
     ids = [c for c in docs.columns if c != "text"]
-    pieces = T.sentences(F.col("text"))
+    pieces = T.sentences("text")
     if keep_documents:
-        pieces = F.concat(F.array(F.lit(None).cast("string")), pieces)
-    return docs.select(*ids, F.posexplode(pieces).alias("sent_pos", "sentence"))
+        pieces = f"concat(array(CAST(NULL AS STRING)), {pieces})"
+    return docs.selectExpr(*ids, f"posexplode({pieces}) AS (sent_pos, sentence)")
 
 
 def raw_tokens(docs: DataFrame, keep_documents=False) -> DataFrame:
     """One row per token as written, contractions expanded and digits removed."""
     rows = sentence_rows(docs, keep_documents)
     ids = [c for c in rows.columns if c != "sentence"]
-    clean = T.strip_digits(T.expand_contractions(F.col("sentence")))
-    explode = F.posexplode_outer if keep_documents else F.posexplode
-    return rows.select(*ids, explode(T.tokens(clean)).alias("tok_pos", "token"))
+    explode = "posexplode_outer" if keep_documents else "posexplode"
+    return (
+        rows.selectExpr(*ids, f"{T.expand_contractions('sentence')} AS sentence")
+        .selectExpr(*ids, f"{T.strip_digits('sentence')} AS sentence")
+        .selectExpr(*ids, f"{explode}({T.tokens('sentence')}) AS (tok_pos, token)")
+    )
 
 
 def drop_stop_words(tokens: DataFrame, stop: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def drop_stop_words(tokens: DataFrame, stop: DataFrame) -> DataFrame:
 def tagged_tokens(docs: DataFrame, stop: DataFrame, forms: DataFrame) -> DataFrame:
     """Lower-cased tokens outside the stop list with tag, class and lemma."""
     kept = drop_stop_words(raw_tokens(docs), stop)
-    return look_up_forms(kept.withColumn("surface", F.lower("token")), forms)
+    return look_up_forms(kept.selectExpr("*", "lower(token) AS surface"), forms)
 
 
 def term_stream(docs: DataFrame, stop: DataFrame = None, forms: DataFrame = None) -> DataFrame:
@@ -58,12 +59,9 @@ def term_stream(docs: DataFrame, stop: DataFrame = None, forms: DataFrame = None
     spark = docs.sparkSession
     stop = F.broadcast(default_stop_words(spark)) if stop is None else stop
     forms = default_forms(spark) if forms is None else forms
-    marked = raw_tokens(docs, keep_documents=True).join(
-        stop.select(F.col("word").alias("token"), F.lit(True).alias("is_stop")), "token", "left"
-    )
-    found = look_up_forms(marked.withColumn("surface", F.lower("token")), forms)
-    keep = F.col("is_stop").isNull() & F.col("class").isNotNull() & T.is_word(F.col("surface"))
+    stop = stop.selectExpr("word AS token", "true AS is_stop")
+    marked = raw_tokens(docs, keep_documents=True).join(stop, "token", "left")
+    found = look_up_forms(marked.selectExpr("*", "lower(token) AS surface"), forms)
+    keep = f"is_stop IS NULL AND class IS NOT NULL AND {T.is_word('surface')}"
     ids = [c for c in docs.columns if c != "text"]
-    return found.select(
-        *ids, "sent_pos", "tok_pos", F.when(keep, F.col("lemma")).alias("term")
-    )
+    return found.selectExpr(*ids, "sent_pos", "tok_pos", f"CASE WHEN {keep} THEN lemma END AS term")

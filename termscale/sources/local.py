@@ -63,8 +63,8 @@ def default_stop_words(spark: SparkSession) -> DataFrame:
     return word_list(spark, rules.stop_words())
 
 
-def default_lexicon(spark: SparkSession) -> DataFrame:
-    rows = rules.lexicon_rows()
+def form_table(spark: SparkSession, rows) -> DataFrame:
+    """(surface, tag, lemma)"""
     return local_table(
         spark,
         {
@@ -75,6 +75,10 @@ def default_lexicon(spark: SparkSession) -> DataFrame:
     )
 
 
+def default_lexicon(spark: SparkSession) -> DataFrame:
+    return form_table(spark, rules.lexicon_rows())
+
+
 def detachment_rules(spark: SparkSession) -> DataFrame:
     rows = rules.detachment_rows()
     return local_table(
