@@ -295,7 +295,7 @@ def topk_words(spark, sf_dir):
 
 
 def doc_position(spark, sf_dir):
-    return Po.document_positions(documents(spark, sf_dir))
+    return Po.document_positions(documents(spark, sf_dir)).select("doc_id", "doc_pos")
 
 
 def split_merge_docs(spark, sf_dir):

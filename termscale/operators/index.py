@@ -32,9 +32,9 @@ def with_document_stats(counts: DataFrame) -> DataFrame:
     )
 
 
-def index_rows(docs: DataFrame, stop: DataFrame = None, forms: DataFrame = None) -> DataFrame:
+def index_rows(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None) -> DataFrame:
     """The index of (doc_id, text) documents, as a lazy plan with one shuffle."""
-    return with_document_stats(term_counts(term_stream(by_record(docs), stop, forms)))
+    return with_document_stats(term_counts(term_stream(by_record(docs), stop, lexicon)))
 
 
 def term_frequencies(counts: DataFrame) -> DataFrame:

@@ -28,18 +28,23 @@ def number_rows(df: DataFrame, order, name: str, start=1) -> DataFrame:
 
 
 def document_positions(documents: DataFrame) -> DataFrame:
-    """(doc_id, doc_pos): place of each document in ascending id order, from 1."""
-    return number_rows(documents.select("doc_id"), ["doc_id"], "doc_pos")
+    """(doc_id, rec_id, doc_pos): place of each document in ascending id order, from 1. Equal ids
+    keep their order in the input, and may lie in different partitions."""
+    if "rec_id" not in documents.columns:
+        documents = documents.selectExpr("doc_id", "monotonically_increasing_id() AS rec_id")
+    return number_rows(documents.select("doc_id", "rec_id"), ["doc_id", "rec_id"], "doc_pos")
 
 
 def halves(rows: DataFrame) -> tuple:
-    """A written index as two: the first half of its documents (rounded down), and the rest."""
-    positions = document_positions(rows.filter("term is null"))
-    middle = positions.agg(F.expr("count(*) div 2").alias("half"))
-    last_of_first = (
-        positions.crossJoin(F.broadcast(middle)).filter("doc_pos <= half").agg(F.max("doc_id").alias("last_id"))
-    )
-    placed = rows.crossJoin(F.broadcast(last_of_first))
-    first = placed.filter("doc_id <= last_id").drop("last_id")
-    second = placed.filter("last_id is null or doc_id > last_id").drop("last_id")
-    return first, second
+    """A written index as two: the first half of its documents (rounded down), and the rest.
+
+    The last document of the first half, one row, becomes a constant of both filters, which then
+    reach the scan.
+    """
+    documents = rows.filter("term is null")
+    half = documents.count() // 2
+    last = document_positions(documents).filter(F.col("doc_pos") == half).select("doc_id", "rec_id").first()
+    if last is None:
+        return rows.filter("false"), rows
+    in_first = f"doc_id < {last.doc_id} OR (doc_id = {last.doc_id} AND rec_id <= {last.rec_id})"
+    return rows.filter(in_first), rows.filter(f"NOT ({in_first})")

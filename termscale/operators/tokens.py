@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termscale.functions import text as T
-from termscale.operators.lexicon import default_forms, look_up_forms
-from termscale.sources.local import default_stop_words
+from termscale.operators.lexicon import checked_forms, default_forms, look_up_forms
+from termscale.sources.local import broadcast_if_small, default_stop_words
 
 
 def by_record(docs: DataFrame) -> DataFrame:
@@ -51,14 +51,15 @@ def tagged_tokens(docs: DataFrame, stop: DataFrame, forms: DataFrame) -> DataFra
     return look_up_forms(kept.selectExpr("*", "lower(token) AS surface"), forms)
 
 
-def term_stream(docs: DataFrame, stop: DataFrame = None, forms: DataFrame = None) -> DataFrame:
+def term_stream(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None) -> DataFrame:
     """The analyser: one row per token with its term, or a null term for a dropped token.
 
     Every record also has one row without a token, so that records without terms stay visible.
+    `stop` (word) and `lexicon` (surface, tag, lemma) default to the shipped tables.
     """
     spark = docs.sparkSession
-    stop = F.broadcast(default_stop_words(spark)) if stop is None else stop
-    forms = default_forms(spark) if forms is None else forms
+    stop = F.broadcast(default_stop_words(spark)) if stop is None else broadcast_if_small(stop.distinct())
+    forms = default_forms(spark) if lexicon is None else checked_forms(lexicon)
     stop = stop.selectExpr("word AS token", "true AS is_stop")
     marked = raw_tokens(docs, keep_documents=True).join(stop, "token", "left")
     found = look_up_forms(marked.selectExpr("*", "lower(token) AS surface"), forms)

@@ -10,9 +10,9 @@ from termscale.operators.position import halves
 from termscale.session import written
 
 
-def build_index(docs: DataFrame, stop: DataFrame = None, forms: DataFrame = None) -> DataFrame:
+def build_index(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None) -> DataFrame:
     """The index of (doc_id, text) documents as a written table, for any number of later jobs."""
-    return written(index_rows(docs, stop, forms), "index")
+    return written(index_rows(docs, stop, lexicon), "index")
 
 
 def query_part(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def query_part(index: DataFrame, queries: DataFrame) -> DataFrame:
     return written(R.query_rows(index, queries), "query-rows")
 
 
-def rank_documents(docs: DataFrame, queries: DataFrame, k=R.K, k1=W.K1, b=W.B, stop=None, forms=None) -> DataFrame:
+def rank_documents(docs: DataFrame, queries: DataFrame, k=R.K, k1=W.K1, b=W.B, stop=None, lexicon=None) -> DataFrame:
     """(query_id, rank, doc_id, score). The corpus is analysed once; only the document rows and
     the postings of query terms are written."""
-    return R.top_documents(query_part(index_rows(docs, stop, forms), queries), queries, k, k1, b)
+    return R.top_documents(query_part(index_rows(docs, stop, lexicon), queries), queries, k, k1, b)
 
 
 def rank_words(index: DataFrame, k=R.K, k1=W.K1, b=W.B) -> DataFrame:

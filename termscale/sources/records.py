@@ -21,11 +21,11 @@ def parse_record(line: Column) -> Column:
 
 
 def as_documents(records: DataFrame) -> DataFrame:
-    """(doc_id, text) of parsed records. An id that is no integer is an error, an empty abstract
-    is an empty text."""
-    return records.select(
-        F.col("id").cast("bigint").alias("doc_id"),
-        F.coalesce("abstract", F.lit("")).alias("text"),
+    """(doc_id, text) of parsed records. A missing id or one that is no integer is an error, an
+    empty abstract is an empty text."""
+    return records.selectExpr(
+        "coalesce(CAST(id AS BIGINT), raise_error('record without an integer id')) AS doc_id",
+        "coalesce(abstract, '') AS text",
     )
 
 

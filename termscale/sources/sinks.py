@@ -10,20 +10,19 @@ def write_ranking(ranking: DataFrame, path: str, fmt="parquet", mode="append"):
 
 
 def ranking_lines(ranking: DataFrame, item: str) -> DataFrame:
-    """One line of text per query, `[(item, score), ...]` in rank order.
+    """(query_id, value): one line of text per query, `[(item, score), ...]` in rank order; a
+    ranking without queries gives one line.
 
     A group holds the k rows of one query, so it is as small as k.
     """
-    key = "query_id" if "query_id" in ranking.columns else F.lit(0)
-    entry = F.concat(F.lit("("), F.col(item).cast("string"), F.lit(", "), F.col("score").cast("string"), F.lit(")"))
-    lines = ranking.groupBy(F.lit(key) if isinstance(key, int) else key).agg(
-        F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("entries")
-    )
-    text = F.array_join(F.transform("entries", lambda e: e["entry"]), ", ")
-    return lines.select(lines.columns[0], F.concat(F.lit("["), text, F.lit("]")).alias("value"))
+    if "query_id" not in ranking.columns:
+        ranking = ranking.withColumn("query_id", F.lit(1))
+    entry = f"struct(rank, concat('(', {item}, ', ', score, ')') AS entry)"
+    lines = ranking.groupBy("query_id").agg(F.expr(f"array_sort(collect_list({entry})) AS entries"))
+    return lines.selectExpr("query_id", "concat('[', array_join(transform(entries, e -> e.entry), ', '), ']') AS value")
 
 
 def write_ranking_lines(ranking: DataFrame, item: str, path: str, mode="append"):
-    """Write the lines of `ranking_lines` as text, one ordered file."""
+    """Write the lines of `ranking_lines` as text in query order: k entries per query, one file."""
     lines = ranking_lines(ranking, item)
-    lines.orderBy(lines.columns[0]).coalesce(1).select("value").write.mode(mode).text(path)
+    lines.coalesce(1).sortWithinPartitions("query_id").select("value").write.mode(mode).text(path)
