@@ -1,0 +1,78 @@
+"""Record files, sinks and the job."""
+
+import pytest
+
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from rank_job import arguments, run
+from termscale.sources import records as Rec
+from termscale.sources.sinks import write_ranking, write_ranking_lines
+
+HEADER = "\t".join(Rec.RECORD_COLUMNS)
+LINES = [
+    "1\tICDE\tGrid Files\tAnn Bee,Cy Dee\t1990\tGrid file grid.\tICDE\tdatabase",
+    '2\tICDE\t"A ""quoted"" title"\t\t1991\t"Join\tindex \\n grid"\tICDE\tdatabase',
+    "3\tVLDB\tEmpty\tEve\t1992\t\tVLDB\tdatabase",
+]
+
+
+def record_file(folder, lines):
+    path = folder / "books.csv"
+    path.write_text("\n".join([HEADER, *lines]) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_read_records(spark, tmp_path):
+    path = record_file(tmp_path, LINES)
+    rows = {r.id: r for r in Rec.read_record_lines(spark, path).collect()}
+    assert len(rows) == 3 and rows["2"].title == 'A "quoted" title' and rows["2"].author is None
+    docs = {r.doc_id: r.text for r in Rec.read_documents(spark, path).collect()}
+    assert docs == {1: "Grid file grid.", 2: "Join\tindex \\n grid", 3: ""}
+
+
+def test_parse_lines_like_the_reader(spark, tmp_path):
+    lines = spark.createDataFrame([(line,) for line in LINES], "line STRING")
+    parsed = lines.select(Rec.parse_record(F.col("line")).alias("r")).select("r.*")
+    read = Rec.read_record_lines(spark, record_file(tmp_path, LINES))
+    assert sorted(map(str, parsed.collect())) == sorted(map(str, read.collect()))
+
+
+@pytest.mark.parametrize("bad", ["x7\ta\tb\tc\t1\td\te\tf", "\ta\tb\tc\t1\td\te\tf"])
+def test_bad_ids_are_errors(spark, tmp_path, bad):
+    with pytest.raises(PySparkException):
+        Rec.read_documents(spark, record_file(tmp_path, [bad])).collect()
+
+
+def test_sinks(spark, tmp_path):
+    ranking = spark.createDataFrame(
+        [(1, 2, 8, 0.5), (1, 1, 9, 1.5), (2, 1, 8, 2.0)], "query_id BIGINT, rank BIGINT, doc_id BIGINT, score DOUBLE"
+    )
+    rows, text = str(tmp_path / "rows"), str(tmp_path / "text")
+    for mode, factor in (("overwrite", 1), ("append", 2), ("overwrite", 1)):
+        write_ranking(ranking, rows, "json", mode)
+        assert spark.read.json(rows).count() == 3 * factor
+        write_ranking_lines(ranking, "doc_id", text, mode)
+        lines = [r.value for r in spark.read.text(text).collect()]
+        assert lines == ["[(9, 1.5), (8, 0.5)]", "[(8, 2.0)]"] * factor
+
+
+@pytest.mark.parametrize("extra", [[], ["--split"]])
+def test_job(spark, tmp_path, extra):
+    out = tmp_path / "out"
+    argv = ["--input", record_file(tmp_path, LINES), "--output", str(out), "--query", "grid", "--query", "join grid"]
+    run(spark, arguments(argv + extra))
+    lines = [r.value for r in spark.read.text(str(out / "documents")).collect()]
+    assert [line.split(",")[0] for line in lines] == ["[(1", "[(2"]
+    assert spark.read.text(str(out / "words")).first().value.startswith("[(grid, ")
+
+
+def test_job_options(spark, tmp_path):
+    stop, lexicon = tmp_path / "stop.txt", tmp_path / "lexicon.tsv"
+    stop.write_text("grid\nGrid\n")
+    lexicon.write_text("indices\tNNS\tindex\n")
+    out = tmp_path / "out"
+    argv = ["--input", record_file(tmp_path, LINES), "--output", str(out), "--output-format", "parquet"]
+    run(spark, arguments(argv + ["--stop-words", str(stop), "--lexicon", str(lexicon), "--k", "2"]))
+    words = [r.term for r in spark.read.parquet(str(out / "words")).orderBy("rank").collect()]
+    assert len(words) == 2 and "grid" not in words
