@@ -225,9 +225,7 @@ def doc_freq(spark, sf_dir):
 
 def corpus_stats(spark, sf_dir):
     """Documents, tokens, average length and vocabulary size: the shape of the matrix and its sums."""
-    rows = built_index(spark, sf_dir)
-    vocabulary_size = I.document_frequency(rows).agg(F.count(F.lit(1)).alias("vocabulary_size"))
-    return rounded(I.corpus_stats(rows), "avg_len").crossJoin(F.broadcast(vocabulary_size))
+    return rounded(I.corpus_shape(counts(spark, sf_dir)), "avg_len")
 
 
 def doc_stats(spark, sf_dir):

@@ -65,3 +65,17 @@ def corpus_stats(index: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len")
     )
     return totals.withColumn("avg_len", F.expr("total_len / nullif(n_docs, 0)").cast("double"))
+
+
+def corpus_shape(counts: DataFrame) -> DataFrame:
+    """One row (n_docs, total_len, avg_len, vocabulary_size) straight from term counts.
+
+    Every record has one row with a null term, so that group's size is the number of documents.
+    """
+    per_term = counts.groupBy("term").agg(F.expr("count(*) AS n"), F.expr("sum(tf) AS tf"))
+    totals = per_term.agg(
+        F.expr("coalesce(max(CASE WHEN term IS NULL THEN n END), 0) AS n_docs"),
+        F.expr(f"coalesce(sum({TERM_TF}), 0) AS total_len"),
+        F.expr("count(term) AS vocabulary_size"),
+    )
+    return totals.withColumn("avg_len", F.expr("total_len / nullif(n_docs, 0)").cast("double"))
