@@ -32,9 +32,17 @@ def with_document_stats(counts: DataFrame) -> DataFrame:
     )
 
 
-def index_rows(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None) -> DataFrame:
-    """The index of (doc_id, text) documents, as a lazy plan with one shuffle."""
-    return with_document_stats(term_counts(term_stream(by_record(docs), stop, lexicon)))
+def index_rows(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None, bucketed=False) -> DataFrame:
+    """The index of (doc_id, text) documents, as a lazy plan with one shuffle, or none for a
+    bucketed table (see `by_record`)."""
+    return with_document_stats(term_counts(term_stream(by_record(docs, bucketed), stop, lexicon)))
+
+
+def clustered_by_term(index: DataFrame) -> DataFrame:
+    """A written index in term order, to be written again: the scan of a few terms then skips
+    nearly all of it. A frequent term, or all document rows, may span any number of files."""
+    order = ["term", "rec_id"]
+    return index.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def term_frequencies(counts: DataFrame) -> DataFrame:

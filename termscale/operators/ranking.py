@@ -11,21 +11,27 @@ from termscale.sources.local import broadcast_if_small
 K = 10
 # Sums run in any order, so equal scores may differ in the last bits; ranks compare this many digits.
 SCORE_DIGITS = 9
+# Query terms beyond this number are joined instead of compared with constants.
+MAX_CONSTANTS = 1000
 
 
 def _score_order():
     return F.round("score", SCORE_DIGITS).desc()
 
 
-def query_rows(index: DataFrame, queries: DataFrame) -> DataFrame:
+def query_rows(index: DataFrame, queries: DataFrame, max_constants=MAX_CONSTANTS) -> DataFrame:
     """The part of an index that the queries can touch: the document rows, which hold what the
-    corpus statistics need, and the postings of query terms."""
-    asked = queries.select("term").filter("term is not null").distinct().withColumn("asked", F.lit(True))
-    return (
-        index.join(broadcast_if_small(asked, counted=queries), "term", "left")
-        .filter("asked or term is null")
-        .drop("asked")
-    )
+    corpus statistics need, and the postings of query terms.
+
+    The terms of a usual query set become constants of a filter that reaches the scan; larger
+    sets are joined.
+    """
+    asked = queries.select("term").filter("term is not null").distinct()
+    terms = [row.term for row in asked.limit(max_constants + 1).collect()]
+    if len(terms) <= max_constants:
+        return index.filter(F.col("term").isNull() | F.col("term").isin(terms))
+    flagged = broadcast_if_small(asked.withColumn("asked", F.lit(True)), counted=queries)
+    return index.join(flagged, "term", "left").filter("asked or term is null").drop("asked")
 
 
 def query_weights(

@@ -8,14 +8,19 @@ from termscale.operators.lexicon import checked_forms, default_forms, look_up_fo
 from termscale.sources.local import broadcast_if_small, default_stop_words
 
 
-def by_record(docs: DataFrame) -> DataFrame:
+def by_record(docs: DataFrame, bucketed=False) -> DataFrame:
     """(rec_id, doc_id, text), placed by record.
 
     One shuffle of the raw text, the smallest form the corpus ever has: counting terms, document
     lengths and maxima all group by record first and need no shuffle afterwards. `rec_id` is
     unique, so equal document ids are neither merged nor placed together. It is only meaningful
     inside one job; never join it with the ids of another run.
+
+    With `bucketed`, `docs` is a table bucketed by a `doc_id` that is unique. It is in place
+    already and nothing is shuffled.
     """
+    if bucketed:
+        return docs.selectExpr("doc_id AS rec_id", "doc_id", "text")
     return docs.selectExpr("monotonically_increasing_id() AS rec_id", "doc_id", "text").repartition("rec_id")
 
 

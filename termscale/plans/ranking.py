@@ -1,18 +1,22 @@
 """The whole jobs: documents in, rankings out."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from termscale.functions import weights as W
 from termscale.operators import ranking as R
-from termscale.operators.index import corpus_stats, index_rows
+from termscale.operators.index import clustered_by_term, corpus_stats, index_rows
 from termscale.operators.position import halves
 from termscale.session import written
 
 
-def build_index(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None) -> DataFrame:
+def build_index(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None, bucketed=False) -> DataFrame:
     """The index of (doc_id, text) documents as a written table, for any number of later jobs."""
-    return written(index_rows(docs, stop, lexicon), "index")
+    return written(index_rows(docs, stop, lexicon, bucketed), "index")
+
+
+def cluster_index(index: DataFrame) -> DataFrame:
+    """A written index once more, in term order, for query sets that come one after another."""
+    return written(clustered_by_term(index), "index-by-term")
 
 
 def query_part(index: DataFrame, queries: DataFrame) -> DataFrame:

@@ -224,6 +224,36 @@ def test_equal_ids_are_separate_records(spark):
         assert part.filter("term is null").count() == size
 
 
+def test_query_terms_as_constants_or_joined(spark, index):
+    queries = query_table(spark, [["zip", "pow"], ["none"], ["kapow"]])
+    rows = [sorted(map(str, R.query_rows(index, queries, n).select(index.columns).collect())) for n in (1000, 1)]
+    assert rows[0] == rows[1]
+
+
+def test_clustered_index_gives_the_same_ranking(spark, index):
+    queries = query_table(spark, [["zip", "pow"], ["bang"]])
+    clustered = P.cluster_index(index)
+    first, second = (
+        sorted(map(str, R.top_documents(P.query_part(x, queries), queries).collect())) for x in (index, clustered)
+    )
+    assert first == second
+    plan = R.query_rows(clustered, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(IsNull(term),In(term, [" in plan
+
+
+def test_bucketed_documents_are_not_shuffled(spark, index, tmp_path):
+    spark.conf.set("spark.sql.legacy.createHiveTableByDefault", "false")
+    docs = corpus(spark, TEXTS)
+    docs.write.bucketBy(4, "doc_id").option("path", str(tmp_path / "docs")).saveAsTable("bucketed_docs")
+    try:
+        rows = I.index_rows(spark.table("bucketed_docs"), bucketed=True)
+        assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+        columns = ["doc_id", "term", "tf", "first_pos", "doc_len", "max_tf"]
+        assert sorted(map(str, rows.select(columns).collect())) == sorted(map(str, index.select(columns).collect()))
+    finally:
+        spark.sql("DROP TABLE bucketed_docs")
+
+
 def test_empty_corpus(spark):
     empty = P.build_index(corpus(spark, ["x"]).filter("doc_id < 0"))
     stats = I.corpus_stats(empty).first()
