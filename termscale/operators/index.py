@@ -75,6 +75,12 @@ def corpus_stats(index: DataFrame) -> DataFrame:
     return totals.withColumn("avg_len", F.expr("total_len / nullif(n_docs, 0)").cast("double"))
 
 
+def known_corpus_stats(index: DataFrame) -> DataFrame:
+    """`corpus_stats`, computed now and kept as a one-row table, so that plans which use it in
+    several places read the document rows once."""
+    return index.sparkSession.createDataFrame(corpus_stats(index).toArrow())
+
+
 def corpus_shape(counts: DataFrame) -> DataFrame:
     """One row (n_docs, total_len, avg_len, vocabulary_size) straight from term counts.
 

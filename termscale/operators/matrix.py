@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termscale.functions import weights as W
-from termscale.operators.index import corpus_stats
+from termscale.operators.index import known_corpus_stats
 from termscale.operators.position import number_rows
 from termscale.operators.scoring import HOT_TERMS, join_terms, term_idf, weigh
 from termscale.session import written
@@ -26,7 +26,7 @@ def vocabulary(counts: DataFrame) -> DataFrame:
 
 def document_term_matrix(index: DataFrame, k1=W.K1, b=W.B, hot=HOT_TERMS) -> DataFrame:
     """(rec_id, doc_id, term_id, term, weight): the cells of the matrix that are not zero."""
-    corpus = corpus_stats(index)
+    corpus = known_corpus_stats(index)
     terms = vocabulary(index).crossJoin(F.broadcast(corpus.select("n_docs")))
     terms = terms.select("term", "df", "term_id", W.idf(F.col("n_docs"), F.col("df")).alias("idf"))
     postings = join_terms(index.filter("term is not null"), written(terms, "vocabulary"), hot)
@@ -50,7 +50,7 @@ def dense_columns(rows: DataFrame, terms, k1=W.K1, b=W.B) -> DataFrame:
 
     `terms` is a short list; `rows` is an index or the part of it that holds these terms.
     """
-    corpus = corpus_stats(rows)
+    corpus = known_corpus_stats(rows)
     asked = rows.filter(F.col("term").isin(list(terms)))
     idf = F.broadcast(term_idf(asked, corpus))
     cells = weigh(asked.join(idf, "term"), corpus, k1, b).select("rec_id", "doc_id", "term", "weight")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termscale.functions import weights as W
-from termscale.operators.index import corpus_stats
+from termscale.operators.index import known_corpus_stats
 from termscale.operators.scoring import term_idf, weigh
 from termscale.sources.local import broadcast_if_small
 
@@ -88,13 +88,13 @@ def top_per_query(scores: DataFrame, k=K) -> DataFrame:
 
 def top_documents(rows: DataFrame, queries: DataFrame, k=K, k1=W.K1, b=W.B) -> DataFrame:
     """The k best documents of each query, from a written table of `query_rows`."""
-    scores = filled_scores(rows, queries, corpus_stats(rows), k, k1, b)
+    scores = filled_scores(rows, queries, known_corpus_stats(rows), k, k1, b)
     return top_per_query(scores, k).drop("rec_id")
 
 
 def top_documents_single(rows: DataFrame, query: DataFrame, k=K, k1=W.K1, b=W.B) -> DataFrame:
     """(doc_id, score) of the k best documents of one query, best first."""
-    scores = filled_scores(rows, query, corpus_stats(rows), k, k1, b)
+    scores = filled_scores(rows, query, known_corpus_stats(rows), k, k1, b)
     return scores.orderBy(_score_order(), "doc_id", "rec_id").limit(k).select("doc_id", "score")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termscale.functions import weights as W
-from termscale.operators.index import corpus_stats, document_frequency
+from termscale.operators.index import document_frequency, known_corpus_stats
 from termscale.session import written
 
 HOT_TERMS = 1000
@@ -42,7 +42,7 @@ def weigh(postings: DataFrame, corpus: DataFrame, k1=W.K1, b=W.B) -> DataFrame:
 
 def okapi_weights(index: DataFrame, k1=W.K1, b=W.B, hot=HOT_TERMS) -> DataFrame:
     """(rec_id, doc_id, term, weight) for every term of every document of a written index."""
-    corpus = corpus_stats(index)
+    corpus = known_corpus_stats(index)
     terms = written(term_idf(index, corpus), "term-idf")
     postings = join_terms(index.filter("term is not null"), terms, hot)
     return weigh(postings, corpus, k1, b).select("rec_id", "doc_id", "term", "weight")

@@ -14,7 +14,8 @@ def by_record(docs: DataFrame, bucketed=False) -> DataFrame:
     One shuffle of the raw text, the smallest form the corpus ever has: counting terms, document
     lengths and maxima all group by record first and need no shuffle afterwards. `rec_id` is
     unique, so equal document ids are neither merged nor placed together. It is only meaningful
-    inside one job; never join it with the ids of another run.
+    inside one job; never join it with the ids of another run. A task that is run again must see
+    its rows in the same order, so `docs` has to be a table as read; write other results first.
 
     With `bucketed`, `docs` is a table bucketed by a `doc_id` that is unique. It is in place
     already and nothing is shuffled.

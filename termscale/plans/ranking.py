@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 
 from termscale.functions import weights as W
 from termscale.operators import ranking as R
-from termscale.operators.index import clustered_by_term, corpus_stats, index_rows
+from termscale.operators.index import clustered_by_term, index_rows, known_corpus_stats
 from termscale.operators.position import halves
 from termscale.session import written
 
@@ -32,7 +32,7 @@ def rank_documents(docs: DataFrame, queries: DataFrame, k=R.K, k1=W.K1, b=W.B, s
 
 def rank_words(index: DataFrame, k=R.K, k1=W.K1, b=W.B) -> DataFrame:
     """(rank, term, score) of a written index."""
-    corpus = corpus_stats(index)
+    corpus = known_corpus_stats(index)
     return R.top_words(R.word_scores(R.word_parts(index, corpus, k1, b), corpus), k)
 
 
@@ -41,7 +41,7 @@ def rank_documents_split(rows: DataFrame, queries: DataFrame, k=R.K, k1=W.K1, b=
 
     Term and corpus statistics are those of the whole.
     """
-    corpus = corpus_stats(rows)
+    corpus = known_corpus_stats(rows)
     terms = R.term_idf(rows, corpus)
     parts = [
         R.top_per_query(R.filled_scores(half, queries, corpus, k, k1, b, terms), k) for half in halves(rows)
@@ -52,6 +52,6 @@ def rank_documents_split(rows: DataFrame, queries: DataFrame, k=R.K, k1=W.K1, b=
 
 def rank_words_split(index: DataFrame, k=R.K, k1=W.K1, b=W.B) -> DataFrame:
     """As `rank_words`, with the column sums of the two halves built apart and merged."""
-    corpus = corpus_stats(index)
+    corpus = known_corpus_stats(index)
     first, second = (R.word_parts(half, corpus, k1, b) for half in halves(index))
     return R.top_words(R.word_scores(R.merge_word_parts(first.unionByName(second)), corpus), k)

@@ -171,6 +171,17 @@ def test_rankings_match_brute_force(spark, index):
     assert len(scores) == sum(any(t in d for t in terms) for terms in asked for d in TERMS)
 
 
+def test_scores_add_up_over_terms(spark, index):
+    queries = query_table(spark, [["zip"], ["pow"], ["zip", "pow"], ["zip", "none", "pow", "nothing"]])
+    rows = P.query_part(index, queries)
+    scores = {}
+    for r in R.query_scores(rows, queries, I.corpus_stats(rows)).collect():
+        scores.setdefault(r.query_id, {})[r.doc_id] = r.score
+    docs = scores[1].keys() | scores[2].keys()
+    total = {d: pytest.approx(scores[1].get(d, 0) + scores[2].get(d, 0)) for d in docs}
+    assert scores[3] == total and scores[4] == total
+
+
 def test_words_match_brute_force(spark, index):
     sums = {}
     for row in brute_force(TERMS):
