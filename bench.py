@@ -1,7 +1,9 @@
 """Time the headline queries and print one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (comma-separated).
-Each query runs once, whole, into a sink that discards the rows, after two queries as a warm-up of the JVM.
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (comma-separated),
+BENCH_RUNS (default 1). After two queries as a warm-up of the JVM, each query runs whole, into a sink
+that discards the rows, BENCH_RUNS times; its time, from building the plan to the last row, is the
+shortest of them.
 """
 
 import json
@@ -52,9 +54,10 @@ def main():
         **{"spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     for name in ("topk_docs", "topk_words"):
         run(spark, name, sf_dir)
-    timings = {name: run(spark, name, sf_dir) for name in names}
+    timings = {name: min(run(spark, name, sf_dir) for _ in range(runs)) for name in names}
     print(
         json.dumps(
             {
@@ -64,6 +67,7 @@ def main():
                 "queries": timings,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
                 "cpus": int(cpus),
+                "runs": runs,
             }
         )
     )

@@ -23,13 +23,15 @@ def join_terms(postings: DataFrame, terms: DataFrame, hot=HOT_TERMS) -> DataFram
     """`postings` inner-joined with a written per-term table that has a `df` column.
 
     A frequent term would send a large share of all postings to one task. The `hot` most
-    frequent terms, a fixed number, are broadcast; every other term then has at most 1/hot of
-    the postings, so the rest can be joined by a shuffle on the term.
+    frequent terms, a fixed number fetched once, are broadcast; every other term then has at most
+    1/hot of the postings, so the rest can be joined by a shuffle on the term.
     """
-    frequent = terms.orderBy(F.desc("df"), "term").limit(hot)
-    rare = terms.join(F.broadcast(frequent.select("term")), "term", "left_anti")
-    return postings.join(F.broadcast(frequent), "term").unionByName(
-        postings.join(F.broadcast(frequent.select("term")), "term", "left_anti").join(rare, "term")
+    most = terms.orderBy(F.desc("df"), "term").limit(hot)
+    frequent = F.broadcast(terms.sparkSession.createDataFrame(most.toArrow()))
+    names = F.broadcast(frequent.select("term"))
+    rare = terms.join(names, "term", "left_anti")
+    return postings.join(frequent, "term").unionByName(
+        postings.join(names, "term", "left_anti").join(rare, "term")
     )
 
 
