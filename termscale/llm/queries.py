@@ -4,7 +4,9 @@ import uuid
 
 import public_tokenizers
 
+from termscale.llm.decontaminate import overlaps
 from termscale.llm.exact_dedup import DigestIndex, deduplicate
+from termscale.llm.jaccard_join import jaccard_classes
 from termscale.llm.packing import pack
 from termscale.llm.token_counts import token_counts
 
@@ -19,6 +21,31 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_decontamination(spark, sf_dir):
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _split_words(text):
+    return f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+DECONTAMINATION = f"""
+WITH d AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at
+  FROM (SELECT doc_id, {_split_words('text')} AS w FROM documents)),
+i AS (
+  SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at
+  FROM (SELECT item_id, {_split_words('text')} AS w FROM benchmark) WHERE len(w) >= 8),
+same AS (
+  SELECT doc_id, item_id, n, i.at AS item_pos, d.at - i.at AS diagonal FROM d JOIN i ON d.word = i.word),
+sums AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY item_pos
+    RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n_matched FROM same)
+SELECT doc_id, item_id, item_pos + diagonal AS doc_pos, item_pos, n_matched FROM sums
+WHERE n_matched >= CASE WHEN n < 13 THEN n ELSE 11 END
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, doc_pos, item_pos) = 1"""
+
+
 def new_index(spark):
     """An empty digest index of its own, so that a query's result does not hang on earlier runs."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -42,5 +69,35 @@ def op8_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-LLM_QUERIES = {q.__name__: q for q in (op1_token_counts, op5_exact_dedup, op8_packing)}
-LLM_SQL = {"op5_exact_dedup": EXACT_DEDUP}
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+JACCARD_JOIN = """
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM tokens),
+elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM elements a JOIN elements b ON a.e = b.e
+  WHERE 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a)
+SELECT d.doc_id, len(s) AS n_shingles, c.component_id
+FROM sets d JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c ON d.doc_id = c.doc_id"""
+
+
+LLM_QUERIES = {
+    query.__name__: query
+    for query in (op1_token_counts, op4_decontamination, op5_exact_dedup, op8_packing, op10_jaccard_join)
+}
+LLM_SQL = {
+    "op4_decontamination": DECONTAMINATION,
+    "op5_exact_dedup": EXACT_DEDUP,
+    "op10_jaccard_join": JACCARD_JOIN,
+}
