@@ -25,7 +25,8 @@ def frequent_words(texts: DataFrame, text_col: str = "text", size: int = FREQUEN
         F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word"),
     ).filter("word <> ''")
     parts = words.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(word, {tracked})").alias("sketch"))
-    top = parts.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # Grouped by a constant, as the sketches of tasks without rows cannot be merged.
+    top = parts.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     top = top.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {size})")).alias("top"))
     return [row.word for row in top.select(F.col("top.item").alias("word")).collect()]
 
