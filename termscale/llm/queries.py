@@ -2,12 +2,15 @@
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from termscale.llm.decontaminate import overlaps
 from termscale.llm.exact_dedup import DigestIndex, deduplicate
 from termscale.llm.jaccard_join import jaccard_classes
 from termscale.llm.packing import pack
+from termscale.llm.quality import score_quality, train_quality
 from termscale.llm.token_counts import token_counts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +24,18 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def remainder(doc_id, parts):
+    """The rest of crc32 of an id as text, which deals documents into folds."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % parts
+
+
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality(docs, table(spark, sf_dir, "labels"), usable=lambda doc_id: remainder(doc_id, 5) != 0)
+    held_out = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
+    return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op4_decontamination(spark, sf_dir):
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,10 +93,10 @@ WITH RECURSIVE tokens AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sets AS (
-  SELECT doc_id, list_distinct(CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM tokens),
-elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
-links AS (
+  SELECT doc_id, list_distinct(CASE WHEN coalesce(len(w), 0) = 0 THEN []::UBIGINT[] WHEN len(w) < 4 THEN [hash(w)]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: hash(w[i:i + 3])) END) AS s FROM tokens),
+elements AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets),
+links AS MATERIALIZED (
   SELECT a.doc_id AS a, b.doc_id AS b FROM elements a JOIN elements b ON a.e = b.e
   WHERE 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
@@ -94,7 +109,15 @@ FROM sets d JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP B
 
 LLM_QUERIES = {
     query.__name__: query
-    for query in (op1_token_counts, op4_decontamination, op5_exact_dedup, op8_packing, op10_jaccard_join)
+    for query in (
+        op1_token_counts,
+        op3_quality,
+        op4_decontamination,
+        op5_exact_dedup,
+        op8_packing,
+        op10_jaccard_join,
+        corpus_pipeline.pipeline,
+    )
 }
 LLM_SQL = {
     "op4_decontamination": DECONTAMINATION,
