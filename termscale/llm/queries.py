@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from termscale.llm.decontaminate import overlaps
 from termscale.llm.exact_dedup import DigestIndex, deduplicate
 from termscale.llm.jaccard_join import jaccard_classes
+from termscale.llm.language_id import predict_languages, train_languages
+from termscale.llm.licences import TEMPLATES, licence_notices
 from termscale.llm.packing import pack
 from termscale.llm.quality import score_quality, train_quality
 from termscale.llm.token_counts import token_counts
+from termscale.llm.toxicity import score_toxicity, train_toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -80,10 +83,59 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM named WINDOW same AS (PARTITION BY text_sha256)"""
 
 
+#: The table's labels in chain order. It has one label of toxicity; low quality is the other that can inform it.
+TOXICITY = {"low_quality": "1 - quality", "toxic": "toxic"}
+
+
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), TOXICITY)
+    return score_toxicity(docs, model, list(TOXICITY))
+
+
+def op7_licences(spark, sf_dir):
+    return licence_notices(table(spark, sf_dir, "documents"))
+
+
+def _bigrams(text):
+    words = _split_words(text)
+    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
+_TEMPLATE_VALUES = ", ".join(
+    f"({i}, '{licence}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (licence, text) in enumerate(TEMPLATES)
+)
+LICENCES = f"""
+WITH units AS (
+  SELECT doc_id, 'line' AS kind, unnest(l) AS unit, generate_subscripts(l, 1) - 1 AS number
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+  UNION ALL
+  SELECT * FROM (SELECT doc_id, 'paragraph' AS kind, unnest(l) AS unit, generate_subscripts(l, 1) - 1 AS number
+    FROM (SELECT doc_id, string_split_regex(text, '\\n[ \\t\\r]*\\n') AS l FROM documents))
+  WHERE contains(unit, chr(10))),
+templates AS (
+  SELECT template_id, licence, {_bigrams('template')} AS t
+  FROM (VALUES {_TEMPLATE_VALUES}) AS v(template_id, licence, template)),
+pairs AS (SELECT doc_id, kind, number, unit, {_bigrams('unit')} AS u FROM units),
+scored AS (
+  SELECT doc_id, kind, number, licence, template_id::BIGINT AS template_id, len(list_intersect(u, t)) AS n_common,
+    len(u) AS n_unit, len(t) AS n_template, 2 * len(list_intersect(u, t)) / (len(u) + len(t))::DOUBLE AS dice, unit
+  FROM pairs, templates WHERE len(u) BETWEEN 1 AND 400)
+SELECT * FROM scored WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, kind, number ORDER BY dice DESC, template_id) = 1"""
+
+
 def op8_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = train_languages(docs, usable=lambda doc_id: remainder(doc_id, 4) != 2)
+    held_out = (remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    return predict_languages(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -114,7 +166,10 @@ LLM_QUERIES = {
         op3_quality,
         op4_decontamination,
         op5_exact_dedup,
+        op6_toxicity,
+        op7_licences,
         op8_packing,
+        op9_language_id,
         op10_jaccard_join,
         corpus_pipeline.pipeline,
     )
@@ -122,5 +177,6 @@ LLM_QUERIES = {
 LLM_SQL = {
     "op4_decontamination": DECONTAMINATION,
     "op5_exact_dedup": EXACT_DEDUP,
+    "op7_licences": LICENCES,
     "op10_jaccard_join": JACCARD_JOIN,
 }
