@@ -54,11 +54,14 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, "template_id int, licence string, template string")
 
 
-def bigrams(text):
-    """The distinct pairs of neighbouring words, each as one string; words are lower-cased letters and digits."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda word: word != "")
-    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+def with_bigrams(rows: DataFrame, text_col: str) -> DataFrame:
+    """`rows` with `bigrams`, the distinct pairs of neighbouring words; words are lower-cased letters and digits."""
+    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda word: word != "")
+    rows = rows.withColumn("words", words).filter(F.size("words") > 1)
+    after = F.slice("words", 2, F.size("words") - 1)
+    before = F.slice("words", 1, F.size("words") - 1)
+    pairs = F.array_distinct(F.zip_with(before, after, lambda a, b: F.concat_ws(" ", a, b)))
+    return rows.withColumn("bigrams", pairs).drop("words")
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,11 +96,9 @@ def licence_notices(
     """
     if templates is None:
         templates = template_table(docs.sparkSession)
-    known = templates.select("template_id", "licence", bigrams(F.col("template")).alias("bigrams"))
-    known = known.withColumn("n_template", F.size("bigrams")).filter("n_template > 0")
+    known = with_bigrams(templates, "template").withColumn("n_template", F.size("bigrams"))
     known = known.select("template_id", "licence", "n_template", F.explode("bigrams").alias("bigram"))
-    found = units(docs, id_col, text_col).withColumn("bigrams", bigrams(F.col("unit")))
-    found = found.withColumn("n_unit", F.size("bigrams")).filter("n_unit > 0")
+    found = with_bigrams(units(docs, id_col, text_col), "unit").withColumn("n_unit", F.size("bigrams"))
     # Dice of sets of sizes m <= n is at most 2 m / (m + n), which bounds n by (2 - s) / s times m.
     factor = (2 - similarity) / similarity
     sizes = known.agg(F.min("n_template").alias("least"), F.max("n_template").alias("most"))

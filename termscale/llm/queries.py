@@ -97,11 +97,6 @@ def op7_licences(spark, sf_dir):
     return licence_notices(table(spark, sf_dir, "documents"))
 
 
-def _bigrams(text):
-    words = _split_words(text)
-    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
-
-
 _TEMPLATE_VALUES = ", ".join(
     f"({i}, '{licence}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (licence, text) in enumerate(TEMPLATES)
 )
@@ -113,10 +108,16 @@ WITH units AS (
   SELECT * FROM (SELECT doc_id, 'paragraph' AS kind, unnest(l) AS unit, generate_subscripts(l, 1) - 1 AS number
     FROM (SELECT doc_id, string_split_regex(text, '\\n[ \\t\\r]*\\n') AS l FROM documents))
   WHERE contains(unit, chr(10))),
-templates AS (
-  SELECT template_id, licence, {_bigrams('template')} AS t
+template_words AS (
+  SELECT template_id, licence, {_split_words('template')} AS w
   FROM (VALUES {_TEMPLATE_VALUES}) AS v(template_id, licence, template)),
-pairs AS (SELECT doc_id, kind, number, unit, {_bigrams('unit')} AS u FROM units),
+templates AS MATERIALIZED (
+  SELECT template_id, licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t
+  FROM template_words),
+unit_words AS MATERIALIZED (SELECT doc_id, kind, number, unit, {_split_words('unit')} AS w FROM units),
+pairs AS MATERIALIZED (
+  SELECT doc_id, kind, number, unit,
+    list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS u FROM unit_words),
 scored AS (
   SELECT doc_id, kind, number, licence, template_id::BIGINT AS template_id, len(list_intersect(u, t)) AS n_common,
     len(u) AS n_unit, len(t) AS n_template, 2 * len(list_intersect(u, t)) / (len(u) + len(t))::DOUBLE AS dice, unit
