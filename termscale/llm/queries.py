@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from termscale.llm.decontaminate import overlaps
 from termscale.llm.exact_dedup import DigestIndex, deduplicate
 from termscale.llm.jaccard_join import jaccard_classes
+from termscale.llm.katz import score_documents
 from termscale.llm.language_id import predict_languages, train_languages
 from termscale.llm.licences import TEMPLATES, licence_notices
 from termscale.llm.packing import pack
@@ -32,6 +33,12 @@ def remainder(doc_id, parts):
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def op2_katz(spark, sf_dir):
+    scores = score_documents(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2)
+    columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return scores.select("doc_id", (~F.col("trained")).alias("held_out"), *columns)
+
+
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train_quality(docs, table(spark, sf_dir, "labels"), usable=lambda doc_id: remainder(doc_id, 5) != 0)
@@ -164,6 +171,7 @@ LLM_QUERIES = {
     query.__name__: query
     for query in (
         op1_token_counts,
+        op2_katz,
         op3_quality,
         op4_decontamination,
         op5_exact_dedup,
