@@ -3,22 +3,19 @@
 import uuid
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from termscale.llm.decontaminate import clean_documents
 from termscale.llm.exact_dedup import DigestIndex, first_copies
 from termscale.llm.jaccard_join import one_of_each
 from termscale.llm.packing import pack
-from termscale.llm.quality import score_quality, train_quality
+from termscale.llm.quality import train_quality, without_rejected
 from termscale.session import written
 
 
 def quality(spark, docs, sf_dir):
     """Documents that the classifier, trained on the labels of its own input, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = score_quality(docs, train_quality(docs, labels)).filter("predicted = 0")
-    rejected = scores.select(F.col("doc_id").alias("__rejected_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__rejected_id")), "left_anti")
+    return without_rejected(docs, train_quality(docs, labels))
 
 
 def exact_copies(spark, docs, sf_dir):

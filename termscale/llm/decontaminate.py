@@ -12,6 +12,7 @@ such window holds a seed that reads neither (tested by enumeration). So no overl
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termscale.llm.columns import unused
 from termscale.session import written
 
 #: Word offsets that a seed reads, five words each.
@@ -131,7 +132,8 @@ def overlaps(
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that overlap with no item; rows with null ids are judged by text."""
     found = _best_overlaps(docs, benchmark, id_col, text_col, "item_id", "text", MASKS)
-    found = found.select(F.col("doc_id").alias("__leaking_id"), F.col("text_key").alias("__leaking_key")).distinct()
+    leaking_id, leaking_key = unused(docs, "leaking_id"), unused(docs, "leaking_key")
+    found = found.select(F.col("doc_id").alias(leaking_id), F.col("text_key").alias(leaking_key)).distinct()
     key = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(F.lit(0))
-    leaking = F.col(id_col).eqNullSafe(F.col("__leaking_id")) & (key == F.col("__leaking_key"))
+    leaking = F.col(id_col).eqNullSafe(F.col(leaking_id)) & (key == F.col(leaking_key))
     return docs.join(found, leaking, "left_anti")

@@ -8,6 +8,7 @@ the index lacks are found by a sort-merge anti-join that does not move the index
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termscale.llm.columns import unused
 from termscale.session import written
 
 #: A digest that holds more than one row in so many is hot; there can be no more hot digests than this.
@@ -82,5 +83,6 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 def first_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `deduplicate` keeps, with all their columns."""
-    kept = deduplicate(docs, index, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    name = unused(docs, "kept_id")
+    kept = deduplicate(docs, index, id_col, text_col).filter("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termscale.llm.columns import unused
 from termscale.llm.components import components
 from termscale.llm.partition_index import signatures
 from termscale.llm.shingles import set_code, shingle_codes
@@ -212,5 +213,6 @@ def jaccard_classes(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, with all their columns, whose id is that of their component; rows with a null id stay."""
     found = jaccard_classes(docs, id_col, text_col, **options).filter("component_id <> doc_id")
-    lost = found.select(F.col("doc_id").alias("__lost_id")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("__lost_id"), "left_anti")
+    name = unused(docs, "lost_id")
+    lost = found.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(lost, F.col(id_col) == F.col(name), "left_anti")

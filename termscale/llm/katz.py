@@ -141,7 +141,8 @@ class Block:
         self.chances = chance[self.tokens]
         for level in range(2, 1 + max(by_level)):
             self.climb()
-            ids, chances = np.zeros(len(self.codes), np.int64), np.zeros(len(self.codes))
+            # The last place answers for tokens without an n-gram, whose number is -1.
+            ids, chances = np.zeros(len(self.codes), np.int64), np.zeros(len(self.codes) + 1)
             for part, at in self.places(self.owners()).items():
                 answer = by_level[level][part]
                 chances[at] = unpack_floats(answer["known"], answer["numbers"])
@@ -160,6 +161,8 @@ class Block:
 
     def places(self, owners):
         """For each partition, the n-grams it owns, in the order in which they are asked for."""
+        if not len(owners):
+            return {}
         order = np.argsort(owners, kind="stable") if self.level == 1 else np.lexsort((self.lasts, self.contexts, owners))
         found, starts = np.unique(owners[order], return_index=True)
         return dict(zip(found.tolist(), np.split(order, starts[1:]), strict=True))

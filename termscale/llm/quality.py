@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termscale.llm.columns import unused
 from termscale.llm.passages import WIDTH, encode_passages
 
 #: Labelled documents that the model is fitted on, at most; the choice is by a hash of the id.
@@ -126,6 +127,16 @@ def train_quality(
     return fit(documents, np.array([row.label for row in sample], float))
 
 
+def without_rejected(
+    docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose id no row with a score below the threshold has."""
+    scores = score_quality(docs, model, id_col, text_col, threshold).filter("predicted = 0")
+    name = unused(docs, "rejected_id")
+    rejected = scores.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+
+
 def score_quality(
     docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
