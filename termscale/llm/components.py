@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b): root is the smallest node of its component.
+    """(node, root) for every node of `edges` (a, b) that is not the smallest of its component, which is its root.
 
     Edges are undirected; loops, repeated edges and edges with a null end change nothing. A node's neighbours are
     combined before the shuffle and never gathered. The number of rounds grows with the logarithm of the nodes.
