@@ -4,9 +4,11 @@ Documents with the same shingles form one class, which is handled once. Classes
 universe partition (partition_index.py) form a bucket. Similar classes always share a bucket, so links need to be
 sought inside buckets only, and of a bucket no pair is looked at whose ends are already connected:
 
-1. each class is compared with one leader, the smallest class of the bucket it shares with it most often;
-2. in buckets that are not connected by then, the centres (leaders, or classes on their own) are compared, and
-   then those pairs of members that the triangle inequality of the Jaccard distance does not rule out.
+1. each class is compared with one leader: of each of its buckets the member that shares buckets with most others,
+   and of those leaders the most frequent one;
+2. in buckets that are not connected by then, classes of different leaders are compared. Two classes of one leader
+   differ at least by what only one of them adds to the leader, and by the difference of how much they lack of it.
+   They are compared if that leaves them similar, or if they add a common shingle.
 
 Rows of a frequent signature are combined in the map tasks, where all but one are marked to travel by themselves.
 """
@@ -24,21 +26,26 @@ from termscale.session import written
 
 SHINGLE = 4
 SIMILARITY = (85, 100)
+#: A class stays with a leader that it is at least so similar to; other classes lead themselves.
+FAMILY = (2, 10)
 
 
 def _with_sets(texts: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """doc_id, n_shingles, code (null without shingles), keys, heads: the signatures of each text.
+    """doc_id, n_shingles, code (null without shingles), bins, keys, heads: the signatures of each text.
+
+    `bins` counts the shingles by range of their codes; sets differ at least by what their bins differ.
 
     `heads[i]` is the code itself for the first text with a signature in a batch, else that of the first one.
     """
 
     def made(batches):
         for batch in batches:
-            numbers, codes, keys, seen = [], [], [], {}
+            numbers, codes, bins, keys, seen = [], [], [], [], {}
             for text in batch.column(1).to_pylist():
                 found = shingle_codes(text, size)
                 numbers.append(len(found))
                 codes.append(set_code(found) if len(found) else None)
+                bins.append(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.int32))
                 again = codes[-1] in seen
                 seen[codes[-1]] = True
                 # Equal sets have equal signatures: one of them is enough.
@@ -53,18 +60,20 @@ def _with_sets(texts: DataFrame, size: int, similarity: tuple[int, int]) -> Data
                     batch.column(0),
                     pa.array(numbers, pa.int64()),
                     pa.array(codes, pa.int64()),
+                    pa.array(bins, pa.list_(pa.int32())),
                     pa.ListArray.from_arrays(offsets, pa.array(flat)),
                     pa.ListArray.from_arrays(offsets, pa.array(owners[first[place]] if len(flat) else flat)),
                 ],
-                ["doc_id", "n_shingles", "code", "keys", "heads"],
+                ["doc_id", "n_shingles", "code", "bins", "keys", "heads"],
             )
 
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(made, f"doc_id {kind}, n_shingles long, code long, keys array<long>, heads array<long>")
+    schema = f"doc_id {kind}, n_shingles long, code long, bins array<int>, keys array<long>, heads array<long>"
+    return texts.mapInArrow(made, schema)
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
-    """key, code, leader for signatures of two classes or more; the leader is the smallest code that leads a batch."""
+    """key, code of the signatures that two classes or more have."""
     rows = sets.select("code", F.explode(F.arrays_zip("keys", "heads")).alias("x"))
     rows = rows.select(F.col("x.keys").alias("key"), "code", F.col("x.heads").alias("head"))
     # What follows another class of its batch knows its leader and can go anywhere.
@@ -77,8 +86,8 @@ def _buckets(sets: DataFrame) -> DataFrame:
         for batch in batches:
             key, code, head = (batch.column(i).to_numpy() for i in range(3))
             apart = head != code
-            # Leaders are written once for each batch that holds a class behind them.
-            out = [(key[apart], code[apart], head[apart]), (key[apart], head[apart], head[apart])]
+            # The first class of a key is written once for each batch that holds a class behind it.
+            out = [(key[apart], code[apart]), (key[apart], head[apart])]
             key, code = key[~apart], code[~apart]
             if len(key):
                 fresh = np.concatenate([[True], key[1:] != key[:-1]])
@@ -89,14 +98,13 @@ def _buckets(sets: DataFrame) -> DataFrame:
                 leader = leaders[run]
                 follow = code != leader
                 runs = np.unique(run[follow])
-                out.append((key[follow], code[follow], leader[follow]))
-                out.append((key[fresh][runs], leaders[runs], leaders[runs]))
+                out.append((key[follow], code[follow]))
+                out.append((key[fresh][runs], leaders[runs]))
                 last_key, last_leader = key[-1], leader[-1]
             columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "code", "leader"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "code"])
 
-    found = dealt.mapInArrow(lead, "key long, code long, leader long")
-    return written(found, "buckets")
+    return written(dealt.mapInArrow(lead, "key long, code long").distinct(), "buckets")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -121,6 +129,95 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return written(joined.mapInArrow(compare, "a long, b long, n_common long, n_all long"), "compared")
 
 
+def _apart(table, end, *columns):
+    return table.select(*[F.col(c).alias(f"{c}_{end}") for c in columns])
+
+
+def _could_link(similarity):
+    """Whether the bins of two sets leave them similar; true of all similar sets."""
+    numerator, denominator = similarity
+    apart = F.aggregate(
+        F.zip_with("bins_a", "bins_b", lambda a, b: F.abs(a - b)), F.lit(0), lambda total, difference: total + difference
+    )
+    return apart * (denominator + numerator) <= (F.col("n_a") + F.col("n_b")) * (denominator - numerator)
+
+
+def _several_roots(state, key):
+    """The rows of `state` whose `key` has rows of several components."""
+    found = state.groupBy(key).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    return state.join(found.select(key), key, "left_semi")
+
+
+def _across_leaders(buckets, state, similarity):
+    """Pairs of a bucket, of different components and leaders, that their distances and bins do not rule out."""
+    numerator, denominator = similarity
+    rows = written(_several_roots(buckets.join(state, "code"), "key"), "unsettled")
+    rows = rows.withColumn("far", F.col("adds") + F.col("lacks"))
+    columns = ["key", "code", "n", "root", "leader", "centre", "far", "bins"]
+    both = _apart(rows, "a", *columns).join(_apart(rows, "b", *columns), F.col("key_a") == F.col("key_b"))
+    pairs = both.filter(
+        "root_a <> root_b and centre_a <> centre_b and code_a < code_b and code_a <> centre_b and code_b <> centre_a"
+    )
+    # How far two classes are apart is at least by how much their distances from a common leader differ.
+    least = F.when(F.col("leader_a") == F.col("leader_b"), F.abs(F.col("far_a") - F.col("far_b"))).otherwise(F.lit(0))
+    allowed = least * (denominator + numerator) <= (F.col("n_a") + F.col("n_b")) * (denominator - numerator)
+    pairs = pairs.filter(allowed & _could_link(similarity))
+    return pairs.select(F.col("code_a").alias("a"), F.col("code_b").alias("b")).distinct()
+
+
+def _within_leaders(state, class_texts, size, similarity):
+    """Pairs of one leader, of different components, that what they add to it and lack of it does not rule out."""
+    numerator, denominator = similarity
+    family = written(_several_roots(state.filter("code <> centre"), "centre"), "families")
+
+    # Without a common addition they differ by both additions and the difference of what they lack.
+    cell = ["centre", "root", "n", "adds", "lacks"]
+    cells = family.select(*cell).distinct()
+    both = _apart(cells, "a", *cell).join(_apart(cells, "b", *cell), F.col("centre_a") == F.col("centre_b"))
+    least = F.col("adds_a") + F.col("adds_b") + F.abs(F.col("lacks_a") - F.col("lacks_b"))
+    allowed = least * (denominator + numerator) <= (F.col("n_a") + F.col("n_b")) * (denominator - numerator)
+    both = both.filter(allowed & (F.col("root_a") < F.col("root_b")))
+    for end in "ab":
+        ends = [F.col(f"{c}_{end}") == F.col(c) for c in cell]
+        members = family.select("code", "bins", *cell)
+        both = both.join(members, ends).drop(*cell)
+        both = both.withColumnsRenamed({"code": f"code_{end}", "bins": f"bins_{end}"})
+    both = both.filter(_could_link(similarity))
+    close = both.select(F.col("code_a").alias("a"), F.col("code_b").alias("b"))
+
+    texts = class_texts.select("code", "text")
+    beside = family.select("code", "centre").join(texts, "code")
+    beside = beside.join(texts.select(F.col("code").alias("centre"), F.col("text").alias("centre_text")), "centre")
+
+    def additions(batches):
+        kept, kept_set = None, None
+        for batch in batches:
+            added = []
+            for text, centre in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if centre != kept:
+                    kept, kept_set = centre, shingle_codes(centre, size)
+                added.append(np.setdiff1d(shingle_codes(text, size), kept_set, assume_unique=True).view(np.int64))
+            columns = [*batch.columns[:2], pa.array(added, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["centre", "code", "added"])
+
+    beside = beside.select("centre", "code", "text", "centre_text")
+    added = beside.mapInArrow(additions, "centre long, code long, added array<long>")
+    added = added.select("centre", "code", F.explode("added").alias("shingle"))
+    added = written(added.join(family.select("code", "root"), "code"), "additions")
+    shared = added.groupBy("centre", "shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    shared = shared.filter("least <> most").select("centre", "shingle")
+    added = added.join(shared, ["centre", "shingle"], "left_semi")
+    columns = ["centre", "shingle", "code", "root"]
+    same = (F.col("centre_a") == F.col("centre_b")) & (F.col("shingle_a") == F.col("shingle_b"))
+    common = _apart(added, "a", *columns).join(_apart(added, "b", *columns), same).filter("root_a < root_b")
+    common = common.select("code_a", "code_b").distinct()
+    for end in "ab":
+        members = family.select(F.col("code").alias(f"code_{end}"), F.col("n").alias(f"n_{end}"), F.col("bins").alias(f"bins_{end}"))
+        common = common.join(members, f"code_{end}")
+    common = common.filter(_could_link(similarity))
+    return close.union(common.select(F.col("code_a").alias("a"), F.col("code_b").alias("b"))).distinct()
+
+
 def jaccard_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -140,64 +237,51 @@ def jaccard_classes(
     sets = _with_sets(texts, size, similarity)
     rows = written(sets, "signatures")
     known = rows.filter("code is not null and doc_id is not null")
-    classes = known.groupBy("code").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"))
+    classes = known.groupBy("code").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("bins").alias("bins"))
     classes = written(classes, "classes")
     buckets = _buckets(known.select("code", "keys", "heads").filter("size(keys) > 0"))
 
     # The texts of the classes that share a bucket, by one document of each.
     shared = buckets.select("code").distinct().join(classes, "code").withColumnRenamed("first_id", "doc_id")
-    class_texts = written(texts.join(shared, "doc_id").select("code", "n", "text").dropDuplicates(["code"]), "class-texts")
-    sizes = class_texts.select("code", "n")
+    class_texts = written(texts.join(shared, "doc_id").select("code", "n", "bins", "text").dropDuplicates(["code"]), "class-texts")
+    sizes = class_texts.select("code", "n", "bins")
 
     # 1. Each class and its most frequent leader.
-    met = buckets.filter("code <> leader").groupBy("code", "leader").agg(F.count(F.lit(1)).alias("times"))
-    often = F.max(F.struct("times", (-F.col("leader")).alias("least")))
-    chosen = met.groupBy("code").agg((-often["least"]).alias("b")).select(F.col("code").alias("a"), "b")
+    widths = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("width"))
+    fame = buckets.join(widths, "key").groupBy("code").agg(F.sum("width").alias("fame"))
+    placed = written(buckets.join(fame, "code"), "famed-buckets")
+    first = placed.groupBy("key").agg(F.max(F.struct("fame", "code"))["code"].alias("leader"))
+    met = placed.join(first, "key").filter("code <> leader").groupBy("code", "leader").agg(F.count(F.lit(1)).alias("times"))
+    chosen = met.groupBy("code").agg(F.max(F.struct("times", "leader"))["leader"].alias("b"))
+    compared = _verified(chosen.select(F.col("code").alias("a"), "b"), class_texts, size)
     similar = F.col("n_common") * denominator >= F.col("n_all") * numerator
-    led = _verified(chosen, class_texts, size).filter(similar)
-    led = led.withColumn("distance", 1 - F.col("n_common") / F.col("n_all"))
+    led = compared.filter(similar).select("a", "b")
     roots = components(led)
 
-    # 2. Buckets that hold several components.
-    state = sizes.join(roots.withColumnRenamed("node", "code"), "code", "left").join(
-        led.select(F.col("a").alias("code"), F.col("b").alias("centre"), "distance"), "code", "left"
-    )
+    # 2. Buckets and leaders that hold several components.
+    measured = compared.select(F.col("a").alias("code"), F.col("b").alias("leader"), "n_common", "n_all")
+    state = sizes.join(roots.withColumnRenamed("node", "code"), "code", "left").join(measured, "code", "left")
+    near = F.col("n_common") * FAMILY[1] >= F.col("n_all") * FAMILY[0]
     state = state.select(
         "code",
         "n",
+        "bins",
         F.coalesce("root", "code").alias("root"),
-        F.coalesce("centre", "code").alias("centre"),
-        F.coalesce("distance", F.lit(0.0)).alias("distance"),
-    )
-    placed = buckets.select("key", "code").distinct().join(state, "code")
-    placed = written(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-    unsettled = written(placed.join(open_keys.select("key"), "key", "left_semi"), "unsettled")
-
-    def ends(rows, end, *columns):
-        return rows.select("key", *[F.col(c).alias(f"{c}_{end}") for c in columns])
-
-    centres = unsettled.select("key", "root", "centre").distinct()
-    centre_pairs = ends(centres, "a", "root", "centre").join(ends(centres, "b", "root", "centre"), "key")
-    centre_pairs = centre_pairs.filter("root_a <> root_b and centre_a < centre_b")
-    centre_pairs = centre_pairs.select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b"))
-    between = _verified(centre_pairs, class_texts, size)
-    apart = between.select(
-        F.col("a").alias("low"), F.col("b").alias("high"), (1 - F.col("n_common") / F.col("n_all")).alias("between")
+        F.coalesce("leader", "code").alias("leader"),
+        F.when(near, F.col("leader")).otherwise(F.col("code")).alias("centre"),
+        (F.col("n") - F.coalesce("n_common", "n")).alias("adds"),
+        (F.coalesce("n_all", "n") - F.col("n")).alias("lacks"),
     )
-    columns = ["code", "n", "root", "centre", "distance"]
-    pairs = ends(unsettled, "a", *columns).join(ends(unsettled, "b", *columns), "key")
-    pairs = pairs.filter(
-        "root_a <> root_b and code_a < code_b and (centre_a <> code_a or centre_b <> code_b)"
-    ).filter(F.least("n_a", "n_b") * denominator >= F.greatest("n_a", "n_b") * numerator)
-    pairs = pairs.withColumns({"low": F.least("centre_a", "centre_b"), "high": F.greatest("centre_a", "centre_b")})
-    # Distances obey the triangle inequality; the last term covers rounding.
-    reach = (denominator - numerator) / denominator + F.col("distance_a") + F.col("distance_b") + 1e-9
-    pairs = pairs.join(apart, ["low", "high"]).filter(F.col("between") <= reach)
-    pairs = pairs.select(F.col("code_a").alias("a"), F.col("code_b").alias("b")).distinct()
-    more = _verified(pairs, class_texts, size)
-
-    links = led.select("a", "b").union(between.filter(similar).select("a", "b")).union(more.filter(similar).select("a", "b"))
+    state = written(state, "class-state")
+    more = [
+        _verified(pairs, class_texts, size).filter(similar).select("a", "b")
+        for pairs in (
+            _across_leaders(placed.select("key", "code"), state, similarity),
+            _within_leaders(state, class_texts, size, similarity),
+        )
+    ]
+
+    links = led.union(more[0]).union(more[1])
     names = classes.select("code", "first_id")
     links = links.join(names.toDF("a", "id_a"), "a").join(names.toDF("b", "id_b"), "b")
     linked = components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
