@@ -51,7 +51,10 @@ def encode_group(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     classes = _CLASSES[data]
     pair = _PAIRS[classes[:-1] * 64 + classes[1:]]
-    counts = np.bincount(of_byte[:-1] * BUCKETS + pair, minlength=total * BUCKETS).reshape(total, BUCKETS)
+    place = of_byte[:-1] * BUCKETS + pair
+    # Pairs of bytes of two texts go to a place of their own, which is cut off.
+    place[ends[:-1] - 1] = total * BUCKETS
+    counts = np.bincount(place, minlength=total * BUCKETS + 1)[:-1].reshape(total, BUCKETS)
     size = np.bincount(of_byte, minlength=total)
     length = np.bincount(of_word, minlength=total)
 
