@@ -30,6 +30,7 @@ def arguments(argv=None):
     parser.add_argument("--b", type=float, default=0.75)
     parser.add_argument("--stop-words", action="append", default=[], help="text file, one word per line; repeatable")
     parser.add_argument("--lexicon", help="tab-separated file: surface, Penn tag, lemma")
+    parser.add_argument("--shuffle-partitions", type=int, help="default: one for each 200 MB of input, 8 at least")
     parser.add_argument("--split", action="store_true", help="score the halves of the corpus apart and merge them")
     return parser.parse_args(argv)
 
@@ -40,7 +41,16 @@ def stop_list(spark, paths):
     return union_word_lists(*lists) if lists else None
 
 
+def partitions_for(spark, path):
+    """One shuffle partition for each 200 MB of files; reads their sizes only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    taken = files.selectExpr("coalesce(sum(length), 0)").first()[0]
+    return max(8, taken // (200 << 20) + 1)
+
+
 def run(spark, options):
+    partitions = options.shuffle_partitions or partitions_for(spark, options.input)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     if options.input_format == "tsv":
         docs = read_documents(spark, options.input)
     else:

@@ -1,10 +1,20 @@
 """DuckDB SQL for the registered queries, written from the definitions and not from the Spark plans."""
 
+import re
+import sys
+
 from registry.inputs import CONTRACTION_SWAPS, DENSE_TERMS, QUERIES, SINGLE_QUERY
 from termscale import rules
-from termscale.functions.text import DECIMAL_DIGIT, EDGE_PUNCTUATION, OTHER_DIGIT, SENTENCE_END, TOKEN
+from termscale.functions.text import EDGE_PUNCTUATION, TOKEN
+
+# Written apart from the Spark side, so that a wrong pattern shows.
+SENTENCE = r"""(?s)(.+?(?:[.!?]+["')\]}>]*|\z))(?:[ \t\r\n]+|\z)"""
+END_MARK = r"""[.!?]+["')\]}>]*\z"""
+DIGITS = "[" + "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isdigit()) + "]"
+
 
-DIGITS = DECIMAL_DIGIT + "|" + OTHER_DIGIT
+# The parameters of the weight, as SQL numbers.
+K1, B = "1.6::DOUBLE", "0.75::DOUBLE"
 
 
 def lit(text):
@@ -49,12 +59,12 @@ def token_tables(prefix, table, key):
     return [
         f"""{prefix}_sents AS (
   SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS sent_pos FROM (
-    SELECT {key} AS doc_id, list_filter(string_split_regex(text, {lit(SENTENCE_END)}), lambda x: x <> '') AS l
+    SELECT {key} AS doc_id, list_filter(regexp_extract_all(text, {lit(SENTENCE)}, 1), lambda x: x <> '') AS l
     FROM {table}))""",
         f"""{prefix}_tok AS (
   SELECT doc_id, sent_pos, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS tok_pos FROM (
-    SELECT doc_id, sent_pos, regexp_extract_all({stripped(expanded('sentence'))}, {lit(TOKEN)}, 0) AS l
-    FROM {prefix}_sents))""",
+    SELECT doc_id, sent_pos, regexp_extract_all({stripped(expanded('bare'))}, {lit(TOKEN)}, 0) AS l
+    FROM (SELECT *, regexp_replace(sentence, {lit(END_MARK)}, '') AS bare FROM {prefix}_sents)))""",
     ]
 
 
@@ -103,8 +113,8 @@ STATISTICS = [
   SELECT term, first_doc, row_number() OVER (ORDER BY first_doc, first_pos) - 1 AS term_id FROM (
     SELECT term, doc_id AS first_doc, first_pos FROM tf
     QUALIFY row_number() OVER (PARTITION BY term ORDER BY doc_id, first_pos) = 1))""",
-    """w AS (
-  SELECT doc_id, term, idf * a * 2.6::DOUBLE / (a + 1.6::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len)) AS weight
+    f"""w AS (
+  SELECT doc_id, term, idf * (a * ({K1} + 1)) / (a + {K1} * (1 - {B} + {B} * doc_len / avg_len)) AS weight
   FROM (SELECT tf.doc_id, tf.term, 0.5::DOUBLE + 0.5::DOUBLE * tf.tf / doc.max_tf AS a, terms.idf, doc.doc_len, corpus.avg_len
         FROM tf JOIN doc ON tf.doc_id = doc.doc_id JOIN terms ON tf.term = terms.term, corpus))""",
 ]
@@ -118,6 +128,8 @@ def query_values(queries):
 
 def sql(select, *extra, lexicon="lexicon", first=()):
     parts = FIXED + list(first) + TOKENS + form_tables(lexicon) + STATISTICS + list(extra)
+    # Computed once each, however often they are named.
+    parts = [re.sub(r"^(\w+) AS \(", r"\1 AS MATERIALIZED (", part) for part in parts]
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
@@ -160,7 +172,7 @@ def oracle():
         "stopword_union": sql(
             f"""SELECT m.word, coalesce(u.n, 0) AS n_tokens FROM (
   SELECT w AS word FROM stop UNION SELECT surface FROM lexicon WHERE {CLASS} IS NULL
-  UNION SELECT token FROM b_tok WHERE length(token) <= 3) m
+  UNION SELECT token FROM b_tok) m
 LEFT JOIN (SELECT token, count(*) AS n FROM d_tok GROUP BY token) u ON m.word = u.token""",
             *BENCHMARK_TOKENS,
         ),
@@ -179,9 +191,8 @@ LEFT JOIN (SELECT token, count(*) AS n FROM d_tok GROUP BY token) u ON m.word =
             first=BENCHMARK_TOKENS
             + [
                 """added AS (
-  SELECT DISTINCT lower(token) AS surface,
-    CASE length(lower(token)) % 3 WHEN 0 THEN 'VB' WHEN 1 THEN 'JJ' ELSE 'NN' END AS tag, lower(token) AS lemma
-  FROM b_tok WHERE length(lower(token)) >= 4 AND lower(token) NOT IN (SELECT surface FROM lexicon))"""
+  SELECT DISTINCT lower(token) AS surface, 'NN' AS tag, lower(token) AS lemma
+  FROM b_tok WHERE lower(token) NOT IN (SELECT surface FROM lexicon))"""
             ],
         ),
         "token_stream": sql("SELECT doc_id, sent_pos, tok_pos, term FROM stream"),
@@ -210,6 +221,17 @@ FROM tf JOIN doc ON tf.doc_id = doc.doc_id"""
         "doc_term_matrix": sql(
             "SELECT w.doc_id, v.term_id, round(w.weight, 6) AS weight FROM w JOIN vocab v ON w.term = v.term"
         ),
+        "sparse_vectors": sql(
+            """SELECT w.doc_id, string_agg(v.term_id::VARCHAR, ' ' ORDER BY v.term_id) AS term_ids,
+  round(sum(w.weight), 6) AS total FROM w JOIN vocab v ON w.term = v.term GROUP BY w.doc_id"""
+        ),
+        "tsv_round_trip": """SELECT doc_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS text FROM documents""",
+        "topk_docs_clustered": sql(TOP_DOCS, *ranking(QUERIES)),
+        "ranking_lines": sql(
+            """SELECT query_id, '[' || string_agg('(' || doc_id || ', ' || score || ')', ', ' ORDER BY rank) || ']' AS value
+FROM (SELECT query_id, rank, doc_id, round(score * 1000)::BIGINT AS score FROM ranked) GROUP BY query_id""",
+            *ranking(QUERIES),
+        ),
         "dense_matrix": sql(
             """SELECT d.doc_id, q.pos AS "column", coalesce(round(w.weight, 6), 0) AS weight
 FROM documents d CROSS JOIN q LEFT JOIN w ON w.doc_id = d.doc_id AND w.term = q.term""",

@@ -1,5 +1,7 @@
 """The registered queries: every operator over the whole of the driver's tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registry.inputs import CONTRACTION_SWAPS, DENSE_TERMS, QUERIES, SINGLE_QUERY
@@ -13,8 +15,10 @@ from termscale.operators import ranking as R
 from termscale.operators import scoring as S
 from termscale.operators import tokens as K
 from termscale.plans import ranking as P
+from termscale.session import work_folder
 from termscale.sources import local
 from termscale.sources import records as Rec
+from termscale.sources import sinks as Sinks
 
 
 def table(spark, sf_dir, name):
@@ -25,11 +29,6 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def spread_documents(spark, sf_dir):
-    """For queries that do not place the text by record themselves."""
-    return Rec.spread_small(documents(spark, sf_dir))
-
-
 def counts(spark, sf_dir):
     return I.term_counts(K.term_stream(K.by_record(documents(spark, sf_dir))))
 
@@ -48,7 +47,7 @@ def query_part(spark, sf_dir, queries):
 
 def tagged(spark, sf_dir, forms=None):
     stop = F.broadcast(local.default_stop_words(spark))
-    return K.tagged_tokens(spread_documents(spark, sf_dir), stop, forms or L.default_forms(spark))
+    return K.tagged_tokens(documents(spark, sf_dir), stop, forms or L.default_forms(spark))
 
 
 def rounded(df, *names):
@@ -74,7 +73,7 @@ def tsv_parse(spark, sf_dir):
         F.col("source"),
         F.col("lang"),
     ]
-    docs = Rec.spread_small(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     records = docs.select(Rec.parse_record(F.concat_ws("\t", *fields)).alias("record")).select("record.*")
     return records.select(
         F.col("id").cast("bigint").alias("doc_id"),
@@ -88,7 +87,7 @@ def tsv_parse(spark, sf_dir):
 
 
 def sentences(spark, sf_dir):
-    rows = K.sentence_rows(spread_documents(spark, sf_dir))
+    rows = K.sentence_rows(documents(spark, sf_dir))
     return rows.select("doc_id", F.col("sent_pos").cast("bigint").alias("sent_pos"), "sentence")
 
 
@@ -96,7 +95,7 @@ def expand_contractions(spark, sf_dir):
     text = "text"
     for word, swap in CONTRACTION_SWAPS:
         text = f"replace({text}, {T.literal(word)}, {T.literal(swap)})"
-    docs = spread_documents(spark, sf_dir).selectExpr("doc_id", f"{text} AS text")
+    docs = documents(spark, sf_dir).selectExpr("doc_id", f"{text} AS text")
     return docs.selectExpr("doc_id", f"{T.expand_contractions('text')} AS expanded")
 
 
@@ -105,12 +104,12 @@ def strip_digits(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
         F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text")
     )
-    both = Rec.spread_small(docs.unionByName(pages))
+    both = docs.unionByName(pages)
     return both.selectExpr("origin", "id", f"{T.strip_digits('text')} AS stripped")
 
 
 def tokenize(spark, sf_dir):
-    rows = K.raw_tokens(spread_documents(spark, sf_dir))
+    rows = K.raw_tokens(documents(spark, sf_dir))
     return rows.select(
         "doc_id",
         F.col("sent_pos").cast("bigint").alias("sent_pos"),
@@ -122,7 +121,7 @@ def tokenize(spark, sf_dir):
 def stopword_filter(spark, sf_dir):
     """Tokens of each document that the stop list leaves, with their number."""
     stop = F.broadcast(local.default_stop_words(spark))
-    kept = K.drop_stop_words(K.raw_tokens(spread_documents(spark, sf_dir)), stop)
+    kept = K.drop_stop_words(K.raw_tokens(documents(spark, sf_dir)), stop)
     return kept.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -130,13 +129,12 @@ def stopword_union(spark, sf_dir):
     """Three word lists merged, with the number of corpus tokens that each word would remove."""
     closed = local.default_lexicon(spark).filter(f"({T.word_class('tag')}) IS NULL")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    short = K.raw_tokens(items).filter(F.length("token") <= 3)
     merged = local.union_word_lists(
         local.default_stop_words(spark),
         closed.select(F.col("surface").alias("word")),
-        short.select(F.col("token").alias("word")),
+        K.raw_tokens(items).select(F.col("token").alias("word")),
     )
-    used = K.raw_tokens(spread_documents(spark, sf_dir)).groupBy(F.col("token").alias("word")).agg(
+    used = K.raw_tokens(documents(spark, sf_dir)).groupBy(F.col("token").alias("word")).agg(
         F.count(F.lit(1)).alias("n_tokens")
     )
     return merged.join(used, "word", "left").fillna(0, ["n_tokens"])
@@ -159,18 +157,17 @@ def pos_filter(spark, sf_dir):
 def word_shape(spark, sf_dir):
     """Every distinct white-space separated piece of documents and pages, and whether it is a word."""
     texts = documents(spark, sf_dir).select("text").union(table(spark, sf_dir, "pages").select("html"))
-    pieces = Rec.spread_small(texts).select(F.explode(F.split(F.lower("text"), "[ \\t\\r\\n]+")).alias("piece"))
+    pieces = texts.select(F.explode(F.split(F.lower("text"), "[ \\t\\r\\n]+")).alias("piece"))
     seen = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     return seen.selectExpr("piece", "n", f"{T.is_word('piece')} AS is_word")
 
 
 def benchmark_lexicon(spark, sf_dir):
-    """The shipped lexicon and the longer words of the benchmark table, classed by their length."""
+    """The shipped lexicon and the words of the benchmark table, as nouns."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     shipped = local.default_lexicon(spark)
-    words = K.raw_tokens(items).select(F.lower("token").alias("surface")).filter(F.length("surface") >= 4)
-    kind = F.length("surface") % 3
-    tag = F.when(kind == 0, "VB").when(kind == 1, "JJ").otherwise("NN")
+    words = K.raw_tokens(items).select(F.lower("token").alias("surface"))
+    tag = F.lit("NN")
     added = words.distinct().join(F.broadcast(shipped), "surface", "left_anti")
     return shipped.unionByName(added.select("surface", tag.alias("tag"), F.col("surface").alias("lemma")))
 
@@ -260,6 +257,24 @@ def doc_term_matrix(spark, sf_dir):
     return rounded(matrix.select("doc_id", "term_id", "weight"), "weight")
 
 
+def sparse_vectors(spark, sf_dir):
+    """Each document's vector: its term ids in order, and the sum of its values."""
+    vectors = M.sparse_vectors(M.document_term_matrix(built_index(spark, sf_dir)))
+    total = F.aggregate("values", F.lit(0.0), lambda a, b: a + b).alias("total")
+    ids = F.array_join(F.transform("indices", lambda i: i.cast("string")), " ").alias("term_ids")
+    return rounded(vectors.select("doc_id", ids, total), "total")
+
+
+def tsv_round_trip(spark, sf_dir):
+    """Documents written as record files with a header, and read back."""
+    text = F.translate("text", "\t\n\r", "   ")
+    named = {"id": F.col("doc_id").cast("string"), "abstract": text}
+    records = documents(spark, sf_dir).select(*[named.get(c, F.lit("")).alias(c) for c in Rec.RECORD_COLUMNS])
+    path = f"{work_folder(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
+    records.write.options(header="true", **Rec.FIELD_FORMAT).csv(path)
+    return Rec.read_documents(spark, path)
+
+
 def dense_matrix(spark, sf_dir):
     """All documents by a few terms, zeros included."""
     asked = local.query_table(spark, [DENSE_TERMS])
@@ -288,6 +303,20 @@ def topk_docs(spark, sf_dir):
     return rounded(P.rank_documents(documents(spark, sf_dir), queries), "score")
 
 
+def topk_docs_clustered(spark, sf_dir):
+    """The rankings of `topk_docs` from an index in term order, whose scan skips the other terms."""
+    queries = local.query_table(spark, QUERIES)
+    rows = P.query_part(P.cluster_index(built_index(spark, sf_dir)), queries)
+    return rounded(R.top_documents(rows, queries), "score")
+
+
+def ranking_lines(spark, sf_dir):
+    """The text lines that the line sink writes, with scores in whole thousandths."""
+    queries = local.query_table(spark, QUERIES)
+    ranks = P.rank_documents(documents(spark, sf_dir), queries)
+    return Sinks.ranking_lines(ranks.withColumn("score", F.round(F.col("score") * 1000).cast("bigint")), "doc_id")
+
+
 def topk_words(spark, sf_dir):
     return rounded(P.rank_words(built_index(spark, sf_dir)), "score")
 
@@ -329,10 +358,14 @@ ALL = [
     idf,
     bm25_weights,
     doc_term_matrix,
+    sparse_vectors,
+    tsv_round_trip,
     dense_matrix,
     query_scores,
     topk_docs_single,
     topk_docs,
+    topk_docs_clustered,
+    ranking_lines,
     topk_words,
     doc_position,
     split_merge_docs,

@@ -1,26 +1,34 @@
 """Text preparation as Spark SQL expressions: each function maps expression text to expression text,
 for `selectExpr` and `F.expr`, so they nest. All of them run inside the JVM."""
 
+import sys
 from functools import cache
 
 from termscale.rules import contraction_rules
 
-# A sentence ends at closing punctuation followed by white space or the end of the text.
-SENTENCE_END = r"""[.!?]+["')\]}>]*(?:[ \t\r\n]+|\z)"""
+# A sentence ends with closing punctuation, which it keeps, followed by white space or the end of the text.
+END_MARK = r"""[.!?]+["')\]}>]*"""
+SENTENCE = rf"""(?s)(.+?(?:{END_MARK}|\z))(?:[ \t\r\n]+|\z)"""
 
 # White space and the characters that a Treebank-style tokeniser splits off as tokens of their own.
 SEPARATORS = r"""\p{Z}\x01-\x20",;:@#$%&?!()\[\]{}<>`"""
 # A token is a run of other characters; an apostrophe belongs to it only between two of them.
 TOKEN = f"[^'{SEPARATORS}]+(?:'[^'{SEPARATORS}]+)*"
 
-DECIMAL_DIGIT = r"\p{Nd}"
-# Characters with a digit value outside the category of decimal digits.
-OTHER_DIGIT = (
-    r"[\x{00B2}-\x{00B3}\x{00B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
-    r"\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}"
-    r"\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}"
-    r"\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]"
-)
+def _ranges(characters) -> str:
+    """Ascending code points as the inside of a character class."""
+    found = []
+    for code in characters:
+        if found and found[-1][1] == code - 1:
+            found[-1][1] = code
+        else:
+            found.append([code, code])
+    return "".join(rf"\x{{{first:04X}}}-\x{{{last:04X}}}" for first, last in found)
+
+
+# All characters with a digit value, spelt out: the classes of regular expressions follow the Unicode version of
+# the engine.
+DIGIT = f"[{_ranges(code for code in range(sys.maxunicode + 1) if chr(code).isdigit())}]"
 
 # A word neither starts nor ends with one of these.
 EDGE_PUNCTUATION = r".<>-{}[]/:;\@!#$%^&*()"
@@ -32,8 +40,13 @@ def literal(text: str) -> str:
 
 
 def sentences(text: str) -> str:
-    """array<string> of the non-empty sentences; none for an empty or missing text."""
-    return f"filter(split(coalesce({text}, ''), {literal(SENTENCE_END)}), piece -> piece <> '')"
+    """array<string> of the sentences with their end marks; none for an empty or missing text."""
+    return f"regexp_extract_all(coalesce({text}, ''), {literal(SENTENCE)}, 1)"
+
+
+def without_end_mark(sentence: str) -> str:
+    """A sentence as it is tokenised: the end mark is no part of its last word."""
+    return f"regexp_replace({sentence}, {literal(END_MARK + chr(92) + 'z')}, '')"
 
 
 @cache
@@ -54,7 +67,7 @@ def expand_contractions(text: str) -> str:
 
 def strip_digits(text: str) -> str:
     # The long class is slow to test, so ASCII texts skip it and the look-ahead skips ASCII characters.
-    every_digit = rf"[0-9]|(?![\x00-\x7F])(?:{DECIMAL_DIGIT}|{OTHER_DIGIT})"
+    every_digit = rf"[0-9]|(?![\x00-\x7F]){DIGIT}"
     return (
         f"CASE WHEN octet_length({text}) > length({text}) THEN regexp_replace({text}, {literal(every_digit)}, '')"
         f" ELSE regexp_replace({text}, '[0-9]', '') END"

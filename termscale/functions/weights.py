@@ -17,7 +17,9 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 
 def length_damped(tf_part: Column, doc_len: Column, avg_len: Column, k1=K1, b=B) -> Column:
-    """The weight without its idf factor, which is the same in every document."""
+    """The weight without its idf factor, which is the same in every document; never negative."""
+    if k1 < 0 or not 0 <= b <= 1:
+        raise ValueError("k1 must not be negative and b must lie between 0 and 1")
     return tf_part * (k1 + 1) / (tf_part + k1 * ((1 - b) + b * doc_len / avg_len))
 
 

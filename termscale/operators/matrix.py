@@ -17,11 +17,11 @@ def vocabulary(counts: DataFrame) -> DataFrame:
         .groupBy("term")
         .agg(
             F.count(F.lit(1)).alias("df"),
-            F.min("doc_id").alias("first_doc"),
-            F.min_by("first_pos", "doc_id").alias("first_pos"),
+            F.min(F.struct("doc_id", "rec_id", "first_pos")).alias("first"),
         )
+        .select("term", "df", F.col("first.doc_id").alias("first_doc"), "first.rec_id", "first.first_pos")
     )
-    return number_rows(terms, ["first_doc", "first_pos", "term"], "term_id", start=0)
+    return number_rows(terms, ["first_doc", "rec_id", "first_pos", "term"], "term_id", start=0).drop("rec_id")
 
 
 def document_term_matrix(index: DataFrame, k1=W.K1, b=W.B, hot=HOT_TERMS) -> DataFrame:

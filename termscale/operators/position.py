@@ -35,16 +35,19 @@ def document_positions(documents: DataFrame) -> DataFrame:
     return number_rows(documents.select("doc_id", "rec_id"), ["doc_id", "rec_id"], "doc_pos")
 
 
-def halves(rows: DataFrame) -> tuple:
-    """A written index as two: the first half of its documents (rounded down), and the rest.
+def with_half(rows: DataFrame) -> DataFrame:
+    """A written index with a column `half`: 1 for the first half of its documents (rounded down), 2 for the rest.
 
-    The last document of the first half, one row, becomes a constant of both filters, which then
-    reach the scan.
+    The last document of the first half, one row, becomes a constant. Null ids come first, as they do in
+    the order of documents.
     """
     documents = rows.filter("term is null")
     half = documents.count() // 2
     last = document_positions(documents).filter(F.col("doc_pos") == half).select("doc_id", "rec_id").first()
     if last is None:
-        return rows.filter("false"), rows
-    in_first = f"doc_id < {last.doc_id} OR (doc_id = {last.doc_id} AND rec_id <= {last.rec_id})"
-    return rows.filter(in_first), rows.filter(f"NOT ({in_first})")
+        return rows.withColumn("half", F.lit(2))
+    same_id = F.col("doc_id").eqNullSafe(F.lit(last.doc_id)) & (F.col("rec_id") <= F.lit(last.rec_id))
+    in_first = same_id
+    if last.doc_id is not None:
+        in_first = same_id | F.col("doc_id").isNull() | (F.col("doc_id") < F.lit(last.doc_id))
+    return rows.withColumn("half", F.when(in_first, 1).otherwise(2))

@@ -11,41 +11,40 @@ from termscale.sources.local import broadcast_if_small
 K = 10
 # Sums run in any order, so equal scores may differ in the last bits; ranks compare this many digits.
 SCORE_DIGITS = 9
-# Query terms beyond this number are joined instead of compared with constants.
-MAX_CONSTANTS = 1000
+# Query terms become constants of the plan. A set of more is refused: run it in batches.
+MAX_TERMS = 100_000
 
 
 def _score_order():
     return F.round("score", SCORE_DIGITS).desc()
 
 
-def query_rows(index: DataFrame, queries: DataFrame, max_constants=MAX_CONSTANTS) -> DataFrame:
+def query_rows(index: DataFrame, queries: DataFrame, max_terms=MAX_TERMS) -> DataFrame:
     """The part of an index that the queries can touch: the document rows, which hold what the
     corpus statistics need, and the postings of query terms.
 
-    The terms of a usual query set become constants of a filter that reaches the scan; larger
-    sets are joined.
+    The terms become constants of a filter that reaches the scan, so nothing is shuffled, however
+    many rows have no term or a frequent one.
     """
     asked = queries.select("term").filter("term is not null").distinct()
-    terms = [row.term for row in asked.limit(max_constants + 1).collect()]
-    if len(terms) <= max_constants:
-        return index.filter(F.col("term").isNull() | F.col("term").isin(terms))
-    flagged = broadcast_if_small(asked.withColumn("asked", F.lit(True)), counted=queries)
-    return index.join(flagged, "term", "left").filter("asked or term is null").drop("asked")
+    terms = [row.term for row in asked.limit(max_terms + 1).collect()]
+    if len(terms) > max_terms:
+        raise ValueError(f"more than {max_terms} query terms; rank the queries in batches")
+    return index.filter(F.col("term").isNull() | F.col("term").isin(terms))
 
 
 def query_weights(
-    rows: DataFrame, queries: DataFrame, corpus: DataFrame, k1=W.K1, b=W.B, terms: DataFrame = None
+    rows: DataFrame, queries: DataFrame, corpus: DataFrame, k1=W.K1, b=W.B, terms: DataFrame = None, extra=()
 ) -> DataFrame:
-    """(query_id, rec_id, doc_id, weight) per matching query term, repeated terms repeated.
+    """(query_id, rec_id, doc_id, weight) and the `extra` columns of `rows` per matching query term, repeated terms repeated.
 
     Terms are compared as they are; a term the corpus lacks matches nothing. `terms` are the term
     statistics, where they are not those of `rows`.
     """
     asked = queries.filter("term is not null").select("query_id", "term")
     asked = asked.join(term_idf(rows, corpus) if terms is None else terms, "term")
-    hits = rows.filter("term is not null").join(broadcast_if_small(asked, counted=queries), "term")
-    return weigh(hits, corpus, k1, b).select("query_id", "rec_id", "doc_id", "weight")
+    hits = rows.filter("term is not null").join(broadcast_if_small(asked, measured=queries), "term")
+    return weigh(hits, corpus, k1, b).select("query_id", "rec_id", "doc_id", *extra, "weight")
 
 
 def query_scores(rows: DataFrame, queries: DataFrame, corpus: DataFrame, k1=W.K1, b=W.B) -> DataFrame:
@@ -58,7 +57,7 @@ def query_scores(rows: DataFrame, queries: DataFrame, corpus: DataFrame, k1=W.K1
 
 
 def filled_scores(
-    rows: DataFrame, queries: DataFrame, corpus: DataFrame, k=K, k1=W.K1, b=W.B, terms: DataFrame = None
+    rows: DataFrame, queries: DataFrame, corpus: DataFrame, k=K, k1=W.K1, b=W.B, terms: DataFrame = None, extra=()
 ) -> DataFrame:
     """Scores of the matching documents and of enough others, at zero, to fill every ranking.
 
@@ -66,19 +65,25 @@ def filled_scores(
     match scores above zero, so only the first k documents can fill a ranking that has fewer
     than k matches: k rows per query stand for the whole product of queries and documents.
     """
-    first = rows.filter("term is null").orderBy("doc_id", "rec_id").limit(k).select("rec_id", "doc_id")
+    documents = rows.filter("term is null").select("rec_id", "doc_id", *extra)
+    if extra:
+        place = F.row_number().over(Window.partitionBy(*extra).orderBy("doc_id", "rec_id"))
+        first = documents.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+    else:
+        first = documents.orderBy("doc_id", "rec_id").limit(k)
     fill = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("weight", F.lit(0.0))
     return (
-        query_weights(rows, queries, corpus, k1, b, terms)
+        query_weights(rows, queries, corpus, k1, b, terms, extra)
         .unionByName(fill)
-        .groupBy("query_id", "rec_id", "doc_id")
+        .groupBy("query_id", "rec_id", "doc_id", *extra)
         .agg(F.sum("weight").alias("score"))
     )
 
 
-def top_per_query(scores: DataFrame, k=K) -> DataFrame:
-    """(query_id, rank, doc_id, score). Each task keeps k rows per query before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(_score_order(), "doc_id", "rec_id")
+def top_per_query(scores: DataFrame, k=K, extra=()) -> DataFrame:
+    """(query_id, rank, doc_id, score). Each task keeps k rows per query before the shuffle. With `extra`
+    columns, a ranking for each of their values too."""
+    order = Window.partitionBy("query_id", *extra).orderBy(_score_order(), "doc_id", "rec_id")
     return (
         scores.withColumn("rank", F.row_number().over(order).cast("bigint"))
         .filter(F.col("rank") <= k)
@@ -98,8 +103,9 @@ def top_documents_single(rows: DataFrame, query: DataFrame, k=K, k1=W.K1, b=W.B)
     return scores.orderBy(_score_order(), "doc_id", "rec_id").limit(k).select("doc_id", "score")
 
 
-def word_parts(postings: DataFrame, corpus: DataFrame, k1=W.K1, b=W.B) -> DataFrame:
-    """(term, damped, df, first_doc, first_pos): what a part of the corpus adds to a word's score.
+def word_parts(postings: DataFrame, corpus: DataFrame, k1=W.K1, b=W.B, extra=()) -> DataFrame:
+    """(term, damped, df, first): what a part of the corpus adds to a word's score, for each value of the
+    `extra` columns; `first` is where the word appears first.
 
     The idf is the same in every document, so the column sum of weights is idf times the sum of
     the rest. df comes out of the same aggregate: no join of postings with term statistics.
@@ -109,12 +115,11 @@ def word_parts(postings: DataFrame, corpus: DataFrame, k1=W.K1, b=W.B) -> DataFr
     return (
         postings.filter("term is not null")
         .crossJoin(F.broadcast(corpus.select("avg_len")))
-        .groupBy("term")
+        .groupBy("term", *extra)
         .agg(
             F.sum(damped).alias("damped"),
             F.count(F.lit(1)).alias("df"),
-            F.min("doc_id").alias("first_doc"),
-            F.min_by("first_pos", "doc_id").alias("first_pos"),
+            F.min(F.struct("doc_id", "rec_id", "first_pos")).alias("first"),
         )
     )
 
@@ -123,24 +128,22 @@ def merge_word_parts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(
         F.sum("damped").alias("damped"),
         F.sum("df").alias("df"),
-        F.min("first_doc").alias("first_doc"),
-        F.min_by("first_pos", "first_doc").alias("first_pos"),
+        F.min("first").alias("first"),
     )
 
 
 def word_scores(parts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(term, score, first_doc, first_pos)"""
+    """(term, score, first)"""
     return parts.crossJoin(F.broadcast(corpus.select("n_docs"))).select(
         "term",
         (W.idf(F.col("n_docs"), F.col("df")) * F.col("damped")).alias("score"),
-        "first_doc",
-        "first_pos",
+        "first",
     )
 
 
 def top_words(scores: DataFrame, k=K) -> DataFrame:
     """(rank, term, score) of the k best words; ties in order of first appearance."""
-    order = (_score_order(), F.col("first_doc"), F.col("first_pos"))
+    order = (_score_order(), F.col("first"), F.col("term"))
     best = scores.orderBy(*order).limit(k)
     # The window sees the k rows that are left.
     return best.select(

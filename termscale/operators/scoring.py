@@ -7,6 +7,7 @@ from termscale.functions import weights as W
 from termscale.operators.index import document_frequency, known_corpus_stats
 from termscale.session import written
 
+#: A term with more than one in so many postings is hot; there can be no more hot terms than this.
 HOT_TERMS = 1000
 
 
@@ -22,11 +23,12 @@ def term_idf(counts: DataFrame, corpus: DataFrame) -> DataFrame:
 def join_terms(postings: DataFrame, terms: DataFrame, hot=HOT_TERMS) -> DataFrame:
     """`postings` inner-joined with a written per-term table that has a `df` column.
 
-    A frequent term would send a large share of all postings to one task. The `hot` most
-    frequent terms, a fixed number fetched once, are broadcast; every other term then has at most
-    1/hot of the postings, so the rest can be joined by a shuffle on the term.
+    A frequent term would send a large share of all postings to one task. Terms with more than 1/hot of
+    the postings, of which there are fewer than `hot`, are fetched once and broadcast; the rest is
+    joined by a shuffle on the term.
     """
-    most = terms.orderBy(F.desc("df"), "term").limit(hot)
+    total = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    most = terms.filter(F.col("df") * hot > total)
     frequent = F.broadcast(terms.sparkSession.createDataFrame(most.toArrow()))
     names = F.broadcast(frequent.select("term"))
     rare = terms.join(names, "term", "left_anti")

@@ -40,7 +40,7 @@ def raw_tokens(docs: DataFrame, keep_documents=False) -> DataFrame:
     ids = [c for c in rows.columns if c != "sentence"]
     explode = "posexplode_outer" if keep_documents else "posexplode"
     return (
-        rows.selectExpr(*ids, f"{T.expand_contractions('sentence')} AS sentence")
+        rows.selectExpr(*ids, f"{T.expand_contractions(T.without_end_mark('sentence'))} AS sentence")
         .selectExpr(*ids, f"{T.strip_digits('sentence')} AS sentence")
         .selectExpr(*ids, f"{explode}({T.tokens('sentence')}) AS (tok_pos, token)")
     )

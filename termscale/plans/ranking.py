@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from termscale.functions import weights as W
 from termscale.operators import ranking as R
 from termscale.operators.index import clustered_by_term, index_rows, known_corpus_stats
-from termscale.operators.position import halves
+from termscale.operators.position import with_half
 from termscale.session import written
 
 
@@ -43,15 +43,12 @@ def rank_documents_split(rows: DataFrame, queries: DataFrame, k=R.K, k1=W.K1, b=
     """
     corpus = known_corpus_stats(rows)
     terms = R.term_idf(rows, corpus)
-    parts = [
-        R.top_per_query(R.filled_scores(half, queries, corpus, k, k1, b, terms), k) for half in halves(rows)
-    ]
-    merged = parts[0].unionByName(parts[1]).drop("rank")
-    return R.top_per_query(merged, k).drop("rec_id")
+    scores = R.filled_scores(with_half(rows), queries, corpus, k, k1, b, terms, extra=("half",))
+    return R.top_per_query(R.top_per_query(scores, k, extra=("half",)).drop("rank"), k).drop("rec_id")
 
 
 def rank_words_split(index: DataFrame, k=R.K, k1=W.K1, b=W.B) -> DataFrame:
     """As `rank_words`, with the column sums of the two halves built apart and merged."""
     corpus = known_corpus_stats(index)
-    first, second = (R.word_parts(half, corpus, k1, b) for half in halves(index))
-    return R.top_words(R.word_scores(R.merge_word_parts(first.unionByName(second)), corpus), k)
+    parts = R.word_parts(with_half(index), corpus, k1, b, extra=("half",))
+    return R.top_words(R.word_scores(R.merge_word_parts(parts), corpus), k)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from termscale import rules
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_table(spark: SparkSession, columns: dict) -> DataFrame:
@@ -17,16 +17,17 @@ def local_table(spark: SparkSession, columns: dict) -> DataFrame:
     return spark.createDataFrame(pa.table(arrays, names=list(columns)))
 
 
-def broadcast_if_small(df: DataFrame, counted: DataFrame = None, max_rows=BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcast when it has at most `max_rows` rows; larger sides are left to AQE,
+def broadcast_if_small(df: DataFrame, measured: DataFrame = None, max_bytes=BROADCAST_BYTES) -> DataFrame:
+    """Mark `df` for broadcast when its values take at most `max_bytes`; larger sides are left to AQE,
     which joins them by a sorted shuffle and splits skewed partitions.
 
-    `counted` is a table with at least as many rows that is cheaper to count.
+    A string counts with its bytes, any other value with 8, and each row with 16 more. `measured` is a
+    table with at least as many rows that is cheaper to measure.
     """
-    counted = df if counted is None else counted
-    if counted.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    measured = df if measured is None else measured
+    sizes = [F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(8) for name, kind in measured.dtypes]
+    taken = F.coalesce(F.sum(sum(sizes, F.lit(16))), F.lit(0))
+    return F.broadcast(df) if measured.agg(taken).first()[0] <= max_bytes else df
 
 
 def query_table(spark: SparkSession, queries) -> DataFrame:

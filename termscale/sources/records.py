@@ -33,11 +33,3 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of a tab-separated record file or folder."""
     return as_documents(read_record_lines(spark, path))
 
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores for an input that the scan would cut into fewer pieces than there are cores.
-
-    The shuffle this adds is bounded by cores x the scan's split size; larger inputs are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -23,6 +23,7 @@ def ranking_lines(ranking: DataFrame, item: str) -> DataFrame:
 
 
 def write_ranking_lines(ranking: DataFrame, item: str, path: str, mode="append"):
-    """Write the lines of `ranking_lines` as text in query order: k entries per query, one file."""
-    lines = ranking_lines(ranking, item)
-    lines.coalesce(1).sortWithinPartitions("query_id").select("value").write.mode(mode).text(path)
+    """Write the lines of `ranking_lines` as text in query order, k entries per query, in as many files as the
+    range partitions of the queries need."""
+    lines = ranking_lines(ranking, item).repartitionByRange("query_id").sortWithinPartitions("query_id")
+    lines.select("value").write.mode(mode).text(path)

@@ -19,7 +19,7 @@ from termscale.sources.local import query_table
 
 INDEX = "rec_id BIGINT, doc_id BIGINT, term STRING, tf BIGINT, first_pos BIGINT, doc_len BIGINT, max_tf BIGINT"
 
-# A published ranking: its corpus statistics, the documents it names, and the scores it prints.
+# A published ranking, its corpus statistics, the documents it names, and the scores it prints.
 GOLDEN_DF = {"object-oriented": 211, "deductive": 49, "database": 1004, "language": 232}
 GOLDEN_DOCS = {
     1: (5, 1, "oo ded db lang"),
@@ -77,7 +77,7 @@ def test_published_ranking(spark):
     assert last.score == pytest.approx(13.874359164787545, abs=1e-9)
 
 
-def brute_force(docs):
+def brute_force(docs, k1=1.6, b=0.75):
     """Weights by the definition: {position: {term: weight}}, from a list of term lists."""
     bags = [Counter(d) for d in docs]
     df = Counter(t for bag in bags for t in bag)
@@ -88,7 +88,8 @@ def brute_force(docs):
         for term, f in bag.items():
             tf = 0.5 + 0.5 * f / max(bag.values())
             idf = 1 + math.log(len(docs) / df[term])
-            row[term] = idf * tf * 2.6 / (tf + 1.6 * (0.25 + 0.75 * sum(bag.values()) / avg_len))
+            length_norm = 1 - b + b * sum(bag.values()) / avg_len
+            row[term] = idf * (tf * (k1 + 1)) / (tf + k1 * length_norm)
         weights.append(row)
     return weights
 
@@ -231,14 +232,49 @@ def test_equal_ids_are_separate_records(spark):
         for x in (same, apart)
     ]
     assert scores[0] == scores[1] and len(scores[0]) == 9
-    for part, size in zip(Po.halves(same), (4, 5)):
-        assert part.filter("term is null").count() == size
+    halves = Po.with_half(same).filter("term is null").groupBy("half").count().collect()
+    assert {r.half: r["count"] for r in halves} == {1: 4, 2: 5}
 
 
-def test_query_terms_as_constants_or_joined(spark, index):
+def test_query_rows_are_a_filter(spark, index):
     queries = query_table(spark, [["zip", "pow"], ["none"], ["kapow"]])
-    rows = [sorted(map(str, R.query_rows(index, queries, n).select(index.columns).collect())) for n in (1000, 1)]
-    assert rows[0] == rows[1]
+    rows = R.query_rows(index, queries)
+    wanted = [r for r in index.collect() if r.term in (None, "zip", "pow", "kapow")]
+    assert sorted(map(str, rows.collect())) == sorted(map(str, wanted))
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        R.query_rows(index, queries, 3)
+
+
+@pytest.mark.parametrize("kind", ["string", "null", "equal"])
+def test_split_is_the_whole_for_any_ids(spark, kind):
+    """String ids, null ids and repeated ids; the halves are scored apart and merged."""
+    texts = ["zip pow", "bang zap", "zip zip bang", "pow", "kapow zip", "", "zap bang pow"]
+    ids = {"string": [f"d{i % 10}" for i in range(7)], "null": [None] * 4 + [3, 1, None], "equal": [7] * 5 + [1, 9]}[kind]
+    schema = f"doc_id {'STRING' if kind == 'string' else 'BIGINT'}, text STRING"
+    built = P.build_index(spark.createDataFrame(list(zip(ids, texts)), schema).repartition(3))
+    queries = query_table(spark, [["zip"], ["pow", "bang"], ["none"]])
+    rows = P.query_part(built, queries)
+    for whole, split in (
+        (R.top_documents(rows, queries, 4), P.rank_documents_split(rows, queries, 4)),
+        (P.rank_words(built, 4), P.rank_words_split(built, 4)),
+    ):
+        rounded = [sorted(str((*r[:-1], round(r.score, 9))) for r in x.collect()) for x in (whole, split)]
+        assert rounded[0] == rounded[1] and rounded[0]
+
+
+def test_words_of_equal_ids_in_order_of_first_appearance(spark):
+    docs = spark.createDataFrame([(7, "zip pow"), (7, "bang zap")], "doc_id BIGINT, text STRING").coalesce(1)
+    built = P.build_index(docs)
+    ordered = [r.term for r in M.vocabulary(built).orderBy("term_id").collect()]
+    assert ordered == ["zip", "pow", "bang", "zap"]
+    assert [r.term for r in P.rank_words(built).orderBy("rank").collect()] == ordered
+
+
+def test_weight_parameters_are_checked():
+    for k1, b in ((-0.1, 0.5), (1.2, 1.5), (1.2, -0.5)):
+        with pytest.raises(ValueError):
+            W.length_damped(None, None, None, k1, b)
 
 
 def test_clustered_index_gives_the_same_ranking(spark, index):

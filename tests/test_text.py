@@ -66,22 +66,26 @@ def test_digits(spark):
     others = ["½", "a", "Ⅷ", "一", "٪"]
     got = evaluate(spark, T.strip_digits("x"), ["a1b²c٣d①e½", "12 ab 3", *every, *others])
     assert got[:2] == ["abcde½", " ab "]
-    # Digits of newer Unicode versions than the JVM's are left.
-    assert sum(g != "" for g in got[2 : 2 + len(every)]) <= len(every) - 700
+    assert len(every) > 700 and got[2 : 2 + len(every)] == [""] * len(every)
     assert got[2 + len(every) :] == others
 
 
 def test_sentences(spark):
     texts = ["One. Two!  Three", "v1.2 is (out.) now", "", None, "End.", "...", "A?\nB."]
     assert evaluate(spark, T.sentences("x"), texts) == [
-        ["One", "Two", "Three"],
-        ["v1.2 is (out", "now"],
+        ["One.", "Two!", "Three"],
+        ["v1.2 is (out.)", "now"],
         [],
         [],
-        ["End"],
-        [],
-        ["A", "B"],
+        ["End."],
+        ["..."],
+        ["A?", "B."],
+    ]
+    quoted = 'He left (early.) Then "why?" she asked [twice!] ... No mark '
+    assert evaluate(spark, T.sentences("x"), [quoted]) == [
+        ["He left (early.)", 'Then "why?"', "she asked [twice!]", "...", "No mark "]
     ]
+    assert evaluate(spark, T.without_end_mark("x"), ["a (b.)", 'c?!"', "d. e", ""]) == ["a (b", "c", "d. e", ""]
 
 
 def test_tokens(spark):
@@ -153,24 +157,14 @@ def test_stop_words_are_case_sensitive(spark):
     assert sorted(r.token for r in kept.collect()) == ["The", "file"]
 
 
+# The first document and its terms are a known result.
 SAMPLE = {
     1: (
         "A Rule-based Language for Deductive Object-Oriented Databases.",
         ["rule-based", "language", "deductive", "object-oriented", "database"],
     ),
-    2: ("Bill-of-Material Configuration Generation.", ["bill-of-material", "configuration", "generation"]),
-    3: (
-        "Title, General Chairman's Message, Program Chairman's Message, Reviewers, Table of Contents, Author Index.",
-        "title general chairman message program chairman message reviewer table content author index".split(),
-    ),
-    4: (
-        "The Generalized Grid File: Description and Performance Aspects.",
-        "generalize grid file description performance aspect".split(),
-    ),
-    5: (
-        "Join Index, Materialized View, and Hybrid-Hash Join: A Performance Analysis.",
-        "join index materialize view hybrid-hash join performance analysis".split(),
-    ),
+    2: ("Quux-based Zorks, the Blarg.", ["quux-based", "zorks", "blarg"]),
+    3: ("Snarf! A zip2 of 7 wibbles; (grue) and -frob- again.", ["snarf", "zip", "wibbles", "grue"]),
 }
 
 
