@@ -11,7 +11,7 @@ from termscale.operators.tokens import by_record, term_stream
 
 
 def term_counts(stream: DataFrame) -> DataFrame:
-    """(rec_id, doc_id, term, tf, first_pos); the null term's tf counts dropped tokens.
+    """(rec_id, doc_id, term, tf, first_pos); the null term's tf counts the record and tokens that are no words.
 
     `first_pos` packs sentence and token position into one number.
     """

@@ -58,7 +58,7 @@ def tagged_tokens(docs: DataFrame, stop: DataFrame, forms: DataFrame) -> DataFra
 
 
 def term_stream(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None) -> DataFrame:
-    """The analyser: one row per token with its term, or a null term for a dropped token.
+    """The analyser: one row per token outside the stop list with its term, or a null term if it is no word.
 
     Every record also has one row without a token, so that records without terms stay visible.
     `stop` (word) and `lexicon` (surface, tag, lemma) default to the shipped tables.
@@ -66,9 +66,9 @@ def term_stream(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = No
     spark = docs.sparkSession
     stop = F.broadcast(default_stop_words(spark)) if stop is None else broadcast_if_small(stop.distinct())
     forms = default_forms(spark) if lexicon is None else checked_forms(lexicon)
-    stop = stop.selectExpr("word AS token", "true AS is_stop")
-    marked = raw_tokens(docs, keep_documents=True).join(stop, "token", "left")
-    found = look_up_forms(marked.selectExpr("*", "lower(token) AS surface"), forms)
-    keep = f"is_stop IS NULL AND class IS NOT NULL AND {T.is_word('surface')}"
+    # Stop words go before the look-up; the rows without a token match no stop word.
+    kept = drop_stop_words(raw_tokens(docs, keep_documents=True), stop)
+    found = look_up_forms(kept.selectExpr("*", "lower(token) AS surface"), forms)
+    keep = f"class IS NOT NULL AND {T.is_word('surface')}"
     ids = [c for c in docs.columns if c != "text"]
     return found.selectExpr(*ids, "sent_pos", "tok_pos", f"CASE WHEN {keep} THEN lemma END AS term")
