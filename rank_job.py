@@ -11,7 +11,7 @@ import argparse
 
 from termscale.operators.ranking import K, top_documents
 from termscale.plans.ranking import build_index, query_part, rank_documents_split, rank_words, rank_words_split
-from termscale.session import build_session
+from termscale.session import build_session, drop_written
 from termscale.sources.local import query_table, union_word_lists
 from termscale.sources.records import read_documents
 from termscale.sources.sinks import write_ranking, write_ranking_lines
@@ -75,5 +75,8 @@ def run(spark, options):
 
 if __name__ == "__main__":
     session = build_session("rank documents and words")
-    run(session, arguments())
-    session.stop()
+    try:
+        run(session, arguments())
+    finally:
+        drop_written(session)
+        session.stop()

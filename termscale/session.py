@@ -6,6 +6,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of the tables that `written` made.
+_WRITTEN = []
+
+
 def build_session(app_name="termscale", master=None, shuffle_partitions=None, **conf):
     """A session with the settings the jobs are written for; everything else is the cluster's.
 
@@ -52,4 +56,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Remove the tables that `written` made in this process; nothing may be read from them afterwards."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

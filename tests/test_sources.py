@@ -1,11 +1,15 @@
 """Record files, sinks and the job."""
 
+from pathlib import Path
+
 import pytest
 
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from rank_job import arguments, run
+from rank_job import arguments, partitions_for, run
+from termscale import session
+from termscale.session import drop_written, written
 from termscale.sources import records as Rec
 from termscale.sources.sinks import write_ranking, write_ranking_lines
 
@@ -67,6 +71,22 @@ def test_job(spark, tmp_path, extra):
     assert spark.read.text(str(out / "words")).first().value.startswith("[(grid, ")
 
 
+def test_written_tables_can_be_dropped(spark):
+    kept = written(spark.range(3), "kept")
+    path = Path(kept.inputFiles()[0].removeprefix("file:")).parent
+    assert path.is_dir() and kept.count() == 3
+    before = list(session._WRITTEN)
+    session._WRITTEN[:] = [p for p in before if p.endswith(path.name)]
+    drop_written(spark)
+    session._WRITTEN[:] = [p for p in before if not p.endswith(path.name)]
+    assert not path.exists()
+
+
+def test_partitions_follow_the_input(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("x" * 1000)
+    assert partitions_for(spark, str(tmp_path)) == 8
+
+
 def test_job_options(spark, tmp_path):
     stop, lexicon = tmp_path / "stop.txt", tmp_path / "lexicon.tsv"
     stop.write_text("grid\nGrid\n")
