@@ -411,7 +411,7 @@ def score_documents(docs: DataFrame, train, order: int = 2, id_col: str = "doc_i
 
     def add_up(left, right):
         tables = []
-        for row in left.to_pylist():
+        for at, row in enumerate(left.to_pylist()):
             block = Block(row, right.to_pylist(), sums, parts)
             base = np.log10((block.counts + 1) / (sums["tokens"] + sums["words"] + 1))[block.tokens]
 
@@ -419,7 +419,7 @@ def score_documents(docs: DataFrame, train, order: int = 2, id_col: str = "doc_i
                 return pa.array(np.add.reduceat(values, first))
 
             columns = [
-                left.column("doc_ids").combine_chunks().flatten() if len(left) == 1 else pa.array(row["doc_ids"]),
+                left.slice(at, 1).column("doc_ids").combine_chunks().flatten(),
                 pa.array(row["trains"]),
                 pa.array(block.sizes),
                 per_document((block.counts > 0).astype(np.int64)[block.tokens]),
