@@ -17,7 +17,7 @@ from termscale.llm.shingles import mixed
 BAND_RATIO = 1.5
 #: The costs that an allocation weighs: a signature costs 1; chance partners of a segment cost RIVALS, times
 #: ALIKE for each element that they would have to share.
-RIVALS, ALIKE = 4096.0, 0.25
+RIVALS, ALIKE = 256.0, 0.25
 #: Segments with need 1 are made in excess by this factor, and each set indexes its largest ones.
 EXCESS = 1.5
 
