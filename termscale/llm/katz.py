@@ -7,7 +7,8 @@ the other, for n-grams of 1, 2, ... words:
   probability that the level below gives their last word;
 * the partition that owns a context (hot contexts are dealt over all partitions, and their sums are added up apart)
   adds up the counts and writes them as one part of the level's table;
-* from that table and the discounts of the whole level it answers with the probability of each n-gram asked for.
+* from that table and the discounts of the whole level it answers with the count of each n-gram asked for, and with
+  the size and the backed-off rest of each context, which give the block its probabilities.
 
 Discounted probabilities of seen n-grams and the backed-off rest add up to one for every context.
 """
@@ -37,14 +38,17 @@ END = 1
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Whole numbers from 0, in the smallest type that holds them, compressed."""
+    """Whole numbers from 0, in the smallest type that holds them, compressed: all low bytes first, all high ones last."""
     most = int(numbers.max()) if len(numbers) else 0
-    kind = next(k for k in ("u1", "u2", "u4", "u8") if most < 1 << (8 * int(k[1])))
-    return kind[1].encode() + zlib.compress(numbers.astype("<" + kind).tobytes(), 1)
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+    planes = numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return str(width).encode() + zlib.compress(planes.tobytes(), 1)
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed[1:]), f"<u{packed[:1].decode()}").astype(np.int64)
+    width = int(packed[:1])
+    planes = np.frombuffer(zlib.decompress(packed[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def pack_rising(numbers: np.ndarray) -> bytes:
@@ -145,8 +149,14 @@ class Block:
             ids, chances = np.zeros(len(self.codes), np.int64), np.zeros(len(self.codes) + 1)
             for part, at in self.places(self.owners()).items():
                 answer = by_level[level][part]
-                chances[at] = unpack_floats(answer["known"], answer["numbers"])
-                ids[at] = unpack_rising(answer["ids"])
+                counts, contexts = unpack(answer["numbers"]), self.contexts[at]
+                run = np.cumsum(np.concatenate([[0], np.diff(contexts) != 0]))
+                size, rest = unpack(answer["sizes"])[run], np.frombuffer(answer["rests"], "<f8")[run]
+                kept, lower = discounted(counts, sums["factors"][level]), self.lower[at]
+                seen = np.where(counts > 0, kept / np.maximum(size, 1), rest * lower)
+                chances[at] = np.where(size == 0, lower, seen)
+                if answer["ids"] is not None:
+                    ids[at] = unpack_rising(answer["ids"])
             self.ids = ids
             self.chances = np.where(self.grams >= 0, chances[self.grams], self.chances)
 
@@ -192,7 +202,7 @@ class Block:
 # --- levels -------------------------------------------------------------------------------------------------------
 
 _ASKED = "part long, block long, contexts binary, lasts binary, numbers binary, known binary, lower binary"
-_ANSWER = "level int, block long, part long, ids binary, known binary, numbers binary"
+_ANSWER = "level int, block long, part long, ids binary, numbers binary, sizes binary, rests binary"
 
 
 def _ask(block, number):
@@ -328,39 +338,46 @@ def discounts(classes: list[int]) -> np.ndarray:
     return factors
 
 
-def backed_off(contexts, counts, lower, factors, hot=None):
-    """The probability of each n-gram (sorted by context), seen or not; `hot` has the sums of contexts held elsewhere too."""
+def discounted(counts, factors):
+    return np.where(counts > MOST_DISCOUNTED, counts, counts * factors[np.minimum(counts, MOST_DISCOUNTED)])
+
+
+def context_sums(contexts, counts, lower, factors, hot):
+    """For each context of the n-grams (sorted by context): its size, 0 if training lacks it, and the factor of what it
+    leaves to the level below. `hot` has the sums of contexts that other partitions hold too."""
     starts = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
-    kept = np.where(counts > MOST_DISCOUNTED, counts, counts * factors[np.minimum(counts, MOST_DISCOUNTED)])
+    kept = discounted(counts, factors)
     total, mass = np.add.reduceat(counts, starts).astype(float), np.add.reduceat(kept, starts)
     below = np.add.reduceat(np.where(counts > 0, lower, 0.0), starts)
-    for i in np.flatnonzero(np.isin(contexts[starts], list(hot or ()))).tolist():
+    for i in np.flatnonzero(np.isin(contexts[starts], list(hot))).tolist():
         sums = hot[int(contexts[starts[i]])]
         total[i], below[i] = sums[0], sums[-1]
         mass[i] = sums[1] + sum(c * factors[c] * sums[1 + c] for c in range(1, MOST_DISCOUNTED + 1))
     # A context none of whose counts is discounted gets one more count, which it leaves to the level below.
     size = np.where(mass >= total, total + 1, total)
-    rest = (1 - mass / size) / (1 - below)
-    run = np.cumsum(np.concatenate([[0], np.diff(contexts) != 0]))
-    return np.where(total[run] == 0, lower, np.where(counts > 0, kept / size[run], rest[run] * lower))
+    rest = np.where(total > 0, (1 - mass / size) / (1 - below), 0.0)
+    return np.where(total > 0, size, 0).astype(np.int64), rest
 
 
 def _answers(table, level, factors, hot, parts, last_level):
-    """What each block asked for: the probability of its n-grams and, below the last level, their numbers."""
+    """What each block asked for: the counts of its n-grams, the sums of their contexts and, below the last level, the
+    numbers of the n-grams in the table."""
 
     def answer(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 contexts, counts = unpack_rising(row["contexts"]), unpack(row["counts"])
-                values = backed_off(contexts, counts, unpack_floats(row["known"], row["lower"]), factors, hot)
+                sizes, rests = context_sums(contexts, counts, unpack_floats(row["known"], row["lower"]), factors, hot)
+                number = np.cumsum(np.concatenate([[0], np.diff(contexts) != 0]))
                 out = []
                 for block, place in zip(row["blocks"], row["places"], strict=True):
                     at = unpack_rising(place)
-                    known, number = pack_floats(values[at])
-                    ids = pack_rising(np.zeros(len(at), np.int64) if last_level else at * parts + row["part"])
-                    out.append(
-                        {"level": level, "block": block, "part": row["part"], "ids": ids, "known": known, "numbers": number}
-                    )
+                    asked = np.unique(number[at])
+                    told = {"level": level, "block": block, "part": row["part"], "numbers": pack(counts[at])}
+                    told |= {"sizes": pack(sizes[asked]), "rests": rests[asked].astype("<f8").tobytes()}
+                    if not last_level:
+                        told["ids"] = pack_rising(at * parts + row["part"])
+                    out.append(told)
                 yield from _table(out, _ANSWER).to_batches()
 
     columns = ["part", "contexts", "counts", "known", "lower", "blocks", "places"]
@@ -383,7 +400,7 @@ def score_documents(docs: DataFrame, train, order: int = 2, id_col: str = "doc_i
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     blocks = _blocks(rows, parts)
-    sums = {"tokens": blocks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0))).first()[0]}
+    sums = {"factors": {}, "tokens": blocks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0))).first()[0]}
     answers = _first_level(blocks, parts, sums)
     for level in range(2, order + 1):
 
@@ -397,7 +414,7 @@ def score_documents(docs: DataFrame, train, order: int = 2, id_col: str = "doc_i
         table = _merge(asked, parts, sums["hot"][level], sums["tokens"])
         # A row of class sums, and the hot contexts: at most HOT_CONTEXTS rows once they are added up.
         classes = table.select([F.sum(F.get("classes", F.lit(i))) for i in range(MOST_DISCOUNTED + 1)]).first()
-        factors = discounts([n or 0 for n in classes])
+        factors = sums["factors"][level] = discounts([n or 0 for n in classes])
         each = table.select(F.explode(F.arrays_zip("hot_ids", "hot_sums")).alias("x"))
         fields = [F.sum(F.get("x.hot_sums", F.lit(i))) for i in range(MOST_DISCOUNTED + 3)]
         hot = {row[0]: list(row[1:]) for row in each.groupBy("x.hot_ids").agg(*fields).collect()}
