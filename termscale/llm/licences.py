@@ -54,14 +54,17 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, "template_id int, licence string, template string")
 
 
-def with_bigrams(rows: DataFrame, text_col: str) -> DataFrame:
-    """`rows` with `bigrams`, the distinct pairs of neighbouring words; words are lower-cased letters and digits."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda word: word != "")
-    rows = rows.withColumn("words", words).filter(F.size("words") > 1)
-    after = F.slice("words", 2, F.size("words") - 1)
-    before = F.slice("words", 1, F.size("words") - 1)
-    pairs = F.array_distinct(F.zip_with(before, after, lambda a, b: F.concat_ws(" ", a, b)))
-    return rows.withColumn("bigrams", pairs).drop("words")
+def words_of(text):
+    """The lower-cased runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda word: word != "")
+
+
+def bigrams_of(words):
+    """The distinct pairs of neighbouring words, as 64-bit codes; of no use for fewer than two words."""
+    codes = F.transform(words, lambda word: F.xxhash64(word))
+    after = F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0)))
+    before = F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0)))
+    return F.array_distinct(F.zip_with(before, after, lambda a, b: F.xxhash64(a, b)))
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,17 +99,21 @@ def licence_notices(
     """
     if templates is None:
         templates = template_table(docs.sparkSession)
-    known = with_bigrams(templates, "template").withColumn("n_template", F.size("bigrams"))
+    known = templates.select("template_id", "licence", bigrams_of(words_of(F.col("template"))).alias("bigrams"))
+    known = known.withColumn("n_template", F.size("bigrams"))
     known = known.select("template_id", "licence", "n_template", F.explode("bigrams").alias("bigram"))
-    found = with_bigrams(units(docs, id_col, text_col), "unit").withColumn("n_unit", F.size("bigrams"))
     # Dice of sets of sizes m <= n is at most 2 m / (m + n), which bounds n by (2 - s) / s times m.
     factor = (2 - similarity) / similarity
-    sizes = known.agg(F.min("n_template").alias("least"), F.max("n_template").alias("most"))
-    within = (F.col("n_unit") * factor >= F.col("least")) & (F.col("n_unit") <= F.col("most") * factor)
-    found = found.join(F.broadcast(sizes), within).drop("least", "most")
+    # Units of too few words, or of so many different ones that they have too many bigrams, end here.
+    found = units(docs, id_col, text_col).withColumn("words", words_of(F.col("unit")))
+    bounds = known.agg(F.min("n_template").alias("least"), F.max("n_template").alias("most"))
+    enough = F.size("words") - 1 >= F.col("least") / factor
+    few = F.size(F.array_distinct("words")) - 1 <= F.col("most") * factor
+    found = found.join(F.broadcast(bounds), (F.size("words") > 1) & enough & few)
+    found = found.withColumn("bigrams", bigrams_of(F.col("words"))).withColumn("n_unit", F.size("bigrams"))
     key = ["row_id", "doc_id", "kind", "number", "unit", "n_unit"]
-    pairs = found.select(*key, F.explode("bigrams").alias("bigram")).join(known, "bigram")
     larger, smaller = F.greatest("n_unit", "n_template"), F.least("n_unit", "n_template")
+    pairs = found.select(*key, F.explode("bigrams").alias("bigram")).join(known, "bigram")
     pairs = pairs.filter(larger <= smaller * factor)
     counted = pairs.groupBy(*key, "template_id", "licence", "n_template").agg(F.count(F.lit(1)).alias("n_common"))
     counted = counted.withColumn("dice", 2 * F.col("n_common") / (F.col("n_unit") + F.col("n_template")))
