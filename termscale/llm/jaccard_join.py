@@ -72,6 +72,17 @@ def _with_sets(texts: DataFrame, size: int, similarity: tuple[int, int]) -> Data
     return texts.mapInArrow(made, schema)
 
 
+def _counted(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles of each text."""
+
+    def count(batches):
+        for batch in batches:
+            numbers = [len(shingle_codes(text, size)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64())], ["doc_id", "n_shingles"])
+
+    return texts.mapInArrow(count, f"doc_id {dict(texts.dtypes)['doc_id']}, n_shingles long")
+
+
 def _buckets(sets: DataFrame) -> DataFrame:
     """key, code of the signatures that two classes or more have."""
     rows = sets.select("code", F.explode(F.arrays_zip("keys", "heads")).alias("x"))
@@ -234,9 +245,10 @@ def jaccard_classes(
     """
     numerator, denominator = similarity
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = _with_sets(texts, size, similarity)
+    # Rows with a null id connect nothing, so they must not be the ones that carry signatures for others of a batch.
+    sets = _with_sets(texts.filter("doc_id is not null"), size, similarity)
     rows = written(sets, "signatures")
-    known = rows.filter("code is not null and doc_id is not null")
+    known = rows.filter("code is not null")
     classes = known.groupBy("code").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("bins").alias("bins"))
     classes = written(classes, "classes")
     buckets = _buckets(known.select("code", "keys", "heads").filter("size(keys) > 0"))
@@ -288,10 +300,12 @@ def jaccard_classes(
     named = names.join(linked.toDF("first_id", "root"), "first_id", "left")
     named = written(named.select("code", F.coalesce("root", "first_id").alias("component_id")), "class-components")
     # Rows that link with nothing take no part in the join, so no null key gathers them.
-    inside = "code is not null and doc_id is not null"
-    alone = rows.filter(f"not ({inside})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = rows.filter(inside).select("doc_id", "n_shingles", "code").join(named, "code")
-    return joined.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = rows.filter("code is null").select("doc_id", "n_shingles")
+    alone = alone.unionByName(_counted(texts.filter("doc_id is null"), size))
+    joined = known.select("doc_id", "n_shingles", "code").join(named, "code")
+    return joined.select("doc_id", "n_shingles", "component_id").unionByName(
+        alone.withColumn("component_id", F.col("doc_id"))
+    )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -9,6 +9,7 @@ from termscale.llm.components import components
 from termscale.llm.jaccard_join import jaccard_classes, one_of_each
 from termscale.llm.partition_index import allocate, bands, signatures
 from termscale.llm.queries import JACCARD_JOIN, op10_jaccard_join
+from termscale.llm.shingles import shingle_codes
 
 
 def shingles(text, size):
@@ -94,6 +95,24 @@ def test_odd_rows(spark):
     assert jaccard_classes(no_documents(spark)).count() == 0
 
 
+def in_batches(spark, *batches):
+    """A table whose partitions are the batches."""
+    rows = spark.sparkContext.parallelize(batches, len(batches)).flatMap(list)
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_null_ids_carry_no_signatures_of_other_rows(spark):
+    words = [f"a{i}" for i in range(60)]
+    text, last, first = " ".join(words), " ".join([*words[:-1], "z"]), " ".join(["y", *words[1:]])
+    expected = {None: (57, None), 7: (57, 7), 9: (57, 7)}
+    assert result(jaccard_classes(in_batches(spark, [(None, text), (7, text), (9, last)]))) == expected
+    assert result(jaccard_classes(in_batches(spark, [(None, text), (7, text)], [(9, last)]))) == expected
+    # All that rows 7 and 9 share is headed by the row with a null id.
+    made = [set(signatures(shingle_codes(t, 4), 85, 100).tolist()) for t in (text, last, first)]
+    assert made[1] & made[2] and made[1] & made[2] <= made[0]
+    assert result(jaccard_classes(in_batches(spark, [(None, text), (7, last)], [(9, first)]))) == expected
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (200, 199), (200, 199)]
     random.Random(2).shuffle(edges)
