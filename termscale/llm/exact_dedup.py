@@ -21,10 +21,14 @@ def normalised(text):
     return F.regexp_replace(spaces, " {2,}", " ")
 
 
+def digest_of(text):
+    """SHA-256 of the normalised text."""
+    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and SHA-256 of the normalised text, one row per row of `docs`."""
-    digest = F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    return docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"))
+    return docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
 
 
 class DigestIndex:
@@ -83,6 +87,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
 def first_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `deduplicate` keeps, with all their columns."""
-    name = unused(docs, "kept_id")
-    kept = deduplicate(docs, index, id_col, text_col).filter("kept").select(F.col("doc_id").alias(name))
-    return docs.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    kept_id, kept_text, own_text = (unused(docs, name) for name in ("kept_id", "kept_text", "own_text"))
+    kept = deduplicate(docs, index, id_col, text_col).filter("kept")
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_text)).distinct()
+    # An id alone does not name a row: null and repeated ids can have texts that are kept and texts that are not.
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own_text) == F.col(kept_text))
+    return docs.withColumn(own_text, digest_of(F.col(text_col))).join(kept, same, "left_semi").drop(own_text)

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termscale.llm.columns import unused
 from termscale.llm.passages import WIDTH, encode_passages
 
 #: Labelled documents that the model is fitted on, at most; the choice is by a hash of the id.
@@ -127,14 +126,30 @@ def train_quality(
     return fit(documents, np.array([row.label for row in sample], float))
 
 
+def _scorer(model):
+    """A function of texts that gives their scores; `model` is broadcast."""
+
+    def score(texts):
+        parts = [np.zeros(0)]
+        for vectors, passages in encode_passages(texts):
+            known = model.value
+            parts.append(np.full(len(passages), 0.5) if known is None else _sigmoid(_forward(known, vectors, passages)[0]))
+        return np.concatenate(parts)
+
+    return score
+
+
 def without_rejected(
     docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose id no row with a score below the threshold has."""
-    scores = score_quality(docs, model, id_col, text_col, threshold).filter("predicted = 0")
-    name = unused(docs, "rejected_id")
-    rejected = scores.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    """The rows of `docs`, with all their columns, whose own text has no score below the threshold; ids are not read."""
+    score_of, place = _scorer(docs.sparkSession.sparkContext.broadcast(model)), docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(score_of(batch.column(place).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def score_quality(
@@ -145,15 +160,11 @@ def score_quality(
     All passages of the whole text count. A null text counts as empty, which is one passage without words. Without a
     model every score is 0.5. Repeated rows and null ids stay; other columns are not read; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    score_of = _scorer(docs.sparkSession.sparkContext.broadcast(model))
 
     def score(batches):
         for batch in batches:
-            parts = [np.zeros(0)]
-            for vectors, passages in encode_passages(batch.column(1).to_pylist()):
-                known = shared.value
-                parts.append(np.full(len(passages), 0.5) if known is None else _sigmoid(_forward(known, vectors, passages)[0]))
-            scores = np.concatenate(parts)
+            scores = score_of(batch.column(1).to_pylist())
             predicted = (scores >= threshold).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores), pa.array(predicted)], ["doc_id", "score", "predicted"]

@@ -130,3 +130,14 @@ def test_odd_rows(spark):
     assert len(rows) == len(ODD) and und == [0, 3, 4, 5, 6] and all(0 <= r.score <= 1 for r in rows)
     assert {r.lang_pred for r in predict_languages(odd_documents(spark), None).collect()} == {"und"}
     assert predict_languages(no_documents(spark), languages).count() == 0
+
+
+def test_each_row_is_rejected_by_its_own_text(spark):
+    good, junk = "This is a plain sentence about rivers and towns.", "### @@@ ### ### !!! ### @@@"
+    model = quality.train_quality(
+        spark.createDataFrame([(i, junk if i % 2 else good) for i in range(40)], "doc_id long, text string"),
+        spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int"),
+    )
+    rows = [(None, good), (None, junk), (1, junk), (1, good), (2, junk), (3, good)]
+    kept = quality.without_rejected(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, good), (1, good), (3, good)], key=str)

@@ -41,6 +41,13 @@ def test_odd_rows(spark, index):
     spark.sql(f"DROP TABLE {index.table}_2")
 
 
+def test_first_copies_tells_rows_of_one_id_apart(spark, index):
+    rows = [(None, "kept"), (None, "copy"), (1, "copy"), (2, "other"), (3, "own"), (3, "other")]
+    kept = first_copies(spark.createDataFrame(rows, "doc_id long, text string"), index).collect()
+    expected = [(1, "copy"), (2, "other"), (3, "own"), (None, "kept")]
+    assert sorted(map(tuple, kept), key=str) == sorted(expected, key=str)
+
+
 def test_second_batch_meets_the_index(spark, index):
     first = spark.createDataFrame([(5, "a  b"), (6, "c")], "doc_id long, text string")
     second = spark.createDataFrame([(1, "a\tb"), (2, "d"), (3, "d ")], "doc_id long, text string")
