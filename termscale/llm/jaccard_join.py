@@ -31,7 +31,7 @@ FAMILY = (2, 10)
 
 
 def _with_sets(texts: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """doc_id, n_shingles, code (null without shingles), bins, keys, heads: the signatures of each text.
+    """doc_id, text_key, n_shingles, code (null without shingles), bins, keys, heads: the signatures of each text.
 
     `bins` counts the shingles by range of their codes; sets differ at least by what their bins differ.
 
@@ -41,7 +41,7 @@ def _with_sets(texts: DataFrame, size: int, similarity: tuple[int, int]) -> Data
     def made(batches):
         for batch in batches:
             numbers, codes, bins, keys, seen = [], [], [], [], {}
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingle_codes(text, size)
                 numbers.append(len(found))
                 codes.append(set_code(found) if len(found) else None)
@@ -57,19 +57,19 @@ def _with_sets(texts: DataFrame, size: int, similarity: tuple[int, int]) -> Data
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array(numbers, pa.int64()),
                     pa.array(codes, pa.int64()),
                     pa.array(bins, pa.list_(pa.int32())),
                     pa.ListArray.from_arrays(offsets, pa.array(flat)),
                     pa.ListArray.from_arrays(offsets, pa.array(owners[first[place]] if len(flat) else flat)),
                 ],
-                ["doc_id", "n_shingles", "code", "bins", "keys", "heads"],
+                ["doc_id", "text_key", "n_shingles", "code", "bins", "keys", "heads"],
             )
 
     kind = dict(texts.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_shingles long, code long, bins array<int>, keys array<long>, heads array<long>"
-    return texts.mapInArrow(made, schema)
+    schema = f"doc_id {kind}, text_key long, n_shingles long, code long, bins array<int>, keys array<long>, heads array<long>"
+    return texts.select("doc_id", "text_key", "text").mapInArrow(made, schema)
 
 
 def _counted(texts: DataFrame, size: int) -> DataFrame:
@@ -80,7 +80,8 @@ def _counted(texts: DataFrame, size: int) -> DataFrame:
             numbers = [len(shingle_codes(text, size)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64())], ["doc_id", "n_shingles"])
 
-    return texts.mapInArrow(count, f"doc_id {dict(texts.dtypes)['doc_id']}, n_shingles long")
+    kind = dict(texts.dtypes)["doc_id"]
+    return texts.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_shingles long")
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
@@ -240,22 +241,38 @@ def jaccard_classes(
 
     Two documents link when similarity[1] * |common shingles| >= similarity[0] * |all shingles|; component_id is the
     smallest doc_id that links reach. Null, empty and wordless texts have no shingles and link with nothing; a text of
-    fewer words than `size` is one shingle. Repeated rows stay and are of one component. A row with a null id has a null
+    fewer words than `size` is one shingle. Repeated rows stay and are of one component; different texts of one id are
+    judged apart. A row with a null id has a null
     component and connects nothing; its shingles are counted. Other columns are not read. An empty table gives no rows.
     """
+    return _classified(docs, id_col, text_col, size, similarity).drop("text_key")
+
+
+def _text_key(text):
+    """Tells texts of one id apart."""
+    return F.xxhash64(text)
+
+
+def _classified(docs, id_col="doc_id", text_col="text", size=SHINGLE, similarity=SIMILARITY):
+    """The rows of `jaccard_classes` with their text_key."""
     numerator, denominator = similarity
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("doc_id"), _text_key(text).alias("text_key"), text.alias("text"))
     # Rows with a null id connect nothing, so they must not be the ones that carry signatures for others of a batch.
     sets = _with_sets(texts.filter("doc_id is not null"), size, similarity)
     rows = written(sets, "signatures")
     known = rows.filter("code is not null")
-    classes = known.groupBy("code").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("bins").alias("bins"))
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    classes = known.groupBy("code").agg(first, F.min("n_shingles").alias("n"), F.min("bins").alias("bins"))
+    classes = classes.select("code", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), "n", "bins")
     classes = written(classes, "classes")
     buckets = _buckets(known.select("code", "keys", "heads").filter("size(keys) > 0"))
 
-    # The texts of the classes that share a bucket, by one document of each.
-    shared = buckets.select("code").distinct().join(classes, "code").withColumnRenamed("first_id", "doc_id")
-    class_texts = written(texts.join(shared, "doc_id").select("code", "n", "bins", "text").dropDuplicates(["code"]), "class-texts")
+    # The texts of the classes that share a bucket, by one row of each; an id can have several texts.
+    shared = buckets.select("code").distinct().join(classes, "code")
+    shared = shared.withColumnsRenamed({"first_id": "doc_id", "first_key": "text_key"})
+    class_texts = texts.join(shared, ["doc_id", "text_key"]).select("code", "n", "bins", "text").dropDuplicates(["code"])
+    class_texts = written(class_texts, "class-texts")
     sizes = class_texts.select("code", "n", "bins")
 
     # 1. Each class and its most frequent leader.
@@ -294,23 +311,25 @@ def jaccard_classes(
     ]
 
     links = led.union(more[0]).union(more[1])
-    names = classes.select("code", "first_id")
-    links = links.join(names.toDF("a", "id_a"), "a").join(names.toDF("b", "id_b"), "b")
-    linked = components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    named = names.join(linked.toDF("first_id", "root"), "first_id", "left")
-    named = written(named.select("code", F.coalesce("root", "first_id").alias("component_id")), "class-components")
+    # A node is a class, not an id: an id with several texts does not connect them.
+    names = classes.select("code", F.struct("first_id", "code").alias("node"))
+    links = links.join(names.toDF("a", "node_a"), "a").join(names.toDF("b", "node_b"), "b")
+    linked = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    linked = linked.select(F.col("node.code").alias("code"), F.col("root.first_id").alias("component_id"))
+    named = classes.select("code", "first_id").join(linked, "code", "left")
+    named = written(named.select("code", F.coalesce("component_id", "first_id").alias("component_id")), "class-components")
     # Rows that link with nothing take no part in the join, so no null key gathers them.
     alone = rows.filter("code is null").select("doc_id", "n_shingles")
     alone = alone.unionByName(_counted(texts.filter("doc_id is null"), size))
-    joined = known.select("doc_id", "n_shingles", "code").join(named, "code")
-    return joined.select("doc_id", "n_shingles", "component_id").unionByName(
-        alone.withColumn("component_id", F.col("doc_id"))
-    )
+    alone = alone.select("doc_id", F.lit(None).cast("long").alias("text_key"), "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = known.select("doc_id", "text_key", "n_shingles", "code").join(named, "code")
+    return joined.select("doc_id", "text_key", "n_shingles", "component_id").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, with all their columns, whose id is that of their component; rows with a null id stay."""
-    found = jaccard_classes(docs, id_col, text_col, **options).filter("component_id <> doc_id")
-    name = unused(docs, "lost_id")
-    lost = found.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(lost, F.col(id_col) == F.col(name), "left_anti")
+    found = _classified(docs, id_col, text_col, **options).filter("component_id <> doc_id")
+    lost_id, lost_key = unused(docs, "lost_id"), unused(docs, "lost_key")
+    lost = found.select(F.col("doc_id").alias(lost_id), F.col("text_key").alias(lost_key)).distinct()
+    same = (F.col(id_col) == F.col(lost_id)) & (_text_key(F.col(text_col)) == F.col(lost_key))
+    return docs.join(lost, same, "left_anti")

@@ -113,6 +113,16 @@ def test_null_ids_carry_no_signatures_of_other_rows(spark):
     assert result(jaccard_classes(in_batches(spark, [(None, text), (7, last)], [(9, first)]))) == expected
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    one, other = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    near_one, near_other = " ".join([*one[:-1], "z"]), " ".join([*other[:-1], "z"])
+    rows = [(5, " ".join(one)), (5, " ".join(other)), (3, near_other), (8, near_one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id) for r in jaccard_classes(docs).collect())
+    assert found == [(3, 3), (5, 3), (5, 5), (8, 5)]
+    assert sorted((r.doc_id, r.text) for r in one_of_each(docs).collect()) == [(3, near_other), (5, " ".join(one))]
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (200, 199), (200, 199)]
     random.Random(2).shuffle(edges)
