@@ -3,12 +3,21 @@
 Every line, and every paragraph of several lines, is compared with those templates whose size allows the wanted
 coefficient. Only bigrams that a template holds go on to the count, so most text ends in the join with the
 templates' bigrams.
+
+A notice can also share its line or paragraph with other text, or go over several of them. So windows of as many
+words as a template has are compared with it, wherever in the text so many of its bigrams stand together that the
+coefficient can be reached.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termscale.session import written
+from termscale.sources.local import broadcast_if_small
+
 SIMILARITY = 0.8
+#: What parts lines and paragraphs.
+LINE, PARAGRAPH = "\n", "\n[ \t\r]*\n"
 
 # Notices as their licences ask for them or as they are commonly written.
 TEMPLATES = [
@@ -59,30 +68,139 @@ def words_of(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda word: word != "")
 
 
-def bigrams_of(words):
-    """The distinct pairs of neighbouring words, as 64-bit codes; of no use for fewer than two words."""
+def pairs_of(words):
+    """The pairs of neighbouring words, as 64-bit codes; of no use for fewer than two words."""
     codes = F.transform(words, lambda word: F.xxhash64(word))
     after = F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0)))
     before = F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0)))
-    return F.array_distinct(F.zip_with(before, after, lambda a, b: F.xxhash64(a, b)))
+    return F.zip_with(before, after, lambda a, b: F.xxhash64(a, b))
+
+
+def bigrams_of(words):
+    """The distinct ones of `pairs_of`."""
+    return F.array_distinct(pairs_of(words))
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, doc_id, kind, number, unit: the lines (kind line) and paragraphs of several lines of each text."""
+    """row_id, doc_id, text_key, kind, number, unit: the lines (kind line) and paragraphs of several lines of each text."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
+        F.monotonically_increasing_id().alias("row_id"),
+        F.col(id_col).alias("doc_id"),
+        F.xxhash64(text_col).alias("text_key"),
+        F.col(text_col).alias("text"),
     )
 
     def numbered(kind, found):
         return F.transform(found, lambda unit, at: F.struct(F.lit(kind).alias("kind"), at.alias("number"), unit.alias("unit")))
 
-    lines = numbered("line", F.split("text", "\n"))
-    paragraphs = numbered("paragraph", F.split("text", "\n[ \t\r]*\n"))
-    found = rows.select("row_id", "doc_id", F.explode(F.concat(lines, paragraphs)).alias("x"))
-    found = found.select("row_id", "doc_id", "x.*")
+    lines = numbered("line", F.split("text", LINE))
+    paragraphs = numbered("paragraph", F.split("text", PARAGRAPH))
+    found = rows.select("row_id", "doc_id", "text_key", F.explode(F.concat(lines, paragraphs)).alias("x"))
+    found = found.select("row_id", "doc_id", "text_key", "x.*")
     return found.filter("kind = 'line' or contains(unit, '\n')")
 
 
+def _plain_words(text):
+    """The words of a text without the words that mark lines as comments; other comment marks are no words."""
+    return words_of(F.regexp_replace(text, r"(?im)^[ \t]*(?:dnl|rem)\b", " "))
+
+
+def _windows(docs, templates, noticed, id_col, text_col, similarity):
+    """The rows of `licence_notices` for windows; `noticed` has the notices that are lines and paragraphs."""
+    known = templates.select("template_id", "licence", _plain_words(F.col("template")).alias("template_words"))
+    known = known.withColumn("template_bigrams", bigrams_of(F.col("template_words")))
+    known = known.select(
+        "template_id",
+        "licence",
+        "template_bigrams",
+        F.size("template_bigrams").alias("n_template"),
+        F.size("template_words").alias("width"),
+        # Of a window with c common bigrams the coefficient is at most 2 c / (c + n_template).
+        F.ceil(F.size("template_bigrams") * (similarity / (2 - similarity)) - 1e-9).cast("int").alias("need"),
+    )
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    row = ["doc_id", "text_key"]
+
+    # Where the bigrams of each template stand in each text.
+    spread = texts.select(*row, _plain_words(F.col("text")).alias("words")).filter("size(words) > 1")
+    at = spread.select(*row, F.posexplode(pairs_of(F.col("words"))).alias("at", "bigram"))
+    wanted = known.select("template_id", "width", "need", F.explode("template_bigrams").alias("bigram"))
+    hits = at.join(broadcast_if_small(wanted, measured=wanted), "bigram")
+    places = hits.groupBy(*row, "template_id", "width", "need").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    # A window starts at a bigram of its template and has to hold enough places.
+    starts = F.filter("places", lambda p, i: F.get("places", i + F.col("need") - 1) <= p + F.col("width") - 2)
+    starts = places.select(*row, "template_id", starts.alias("starts")).filter(F.size("starts") > 0)
+    found = written(starts, "licence-windows").join(known, "template_id")
+    fields = ["template_id", "licence", "template_bigrams", "n_template", "width", "starts"]
+    found = found.groupBy(*row).agg(F.collect_list(F.struct(*fields)).alias("templates"))
+    fields = ["kind", "number", "licence", "dice"]
+    noticed = noticed.groupBy(*row).agg(F.collect_set(F.struct(*fields)).alias("noticed"))
+
+    # Only texts with such a window are split into words again.
+    found, noticed = found.toDF("hit_doc", "hit_key", "templates"), noticed.toDF("unit_doc", "unit_key", "noticed")
+    texts = texts.join(found, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_key")))
+    same = F.col("doc_id").eqNullSafe(F.col("unit_doc")) & (F.col("text_key") == F.col("unit_key"))
+    texts = texts.join(noticed, same, "left")
+
+    def words_before(kind, number):
+        """How many words stand before a line or paragraph."""
+        lines = F.array_join(F.slice(F.split("text", LINE), 1, number.cast("int")), "\n")
+        paragraphs = F.array_join(F.slice(F.split("text", PARAGRAPH), 1, number.cast("int")), "\n\n")
+        return F.size(_plain_words(F.when(kind == "line", lines).otherwise(paragraphs)))
+
+    taken = F.transform(
+        F.coalesce("noticed", F.array().cast(noticed.schema["noticed"].dataType)),
+        lambda u: F.struct(
+            u["licence"], u["dice"], words_before(u["kind"], u["number"]), words_before(u["kind"], u["number"] + 1)
+        ),
+    ).cast("array<struct<licence: string, dice: double, start: int, end: int>>")
+    texts = texts.select(
+        F.monotonically_increasing_id().alias("row_id"),
+        "doc_id",
+        _plain_words(F.col("text")).alias("words"),
+        taken.alias("taken"),
+        F.explode("templates").alias("t"),
+    )
+    windows = texts.select("row_id", "doc_id", "words", "taken", "t", F.explode("t.starts").alias("start"))
+    windows = windows.withColumn("words", F.slice("words", F.col("start") + 1, F.col("t.width")))
+    windows = windows.withColumn("bigrams", bigrams_of(F.col("words"))).withColumn("n_unit", F.size("bigrams"))
+    windows = windows.withColumn("n_common", F.size(F.array_intersect("bigrams", "t.template_bigrams")))
+    windows = windows.withColumn("dice", 2 * F.col("n_common") / (F.col("n_unit") + F.col("t.n_template")))
+    windows = windows.withColumn("end", F.col("start") + F.size("words")).filter(F.col("dice") >= similarity)
+    # What a line or paragraph says as well is not said again.
+    said = F.exists(
+        "taken",
+        lambda u: (u["start"] < F.col("end"))
+        & (F.col("start") < u["end"])
+        & ((u["licence"] == F.col("t.licence")) | (u["dice"] >= F.col("dice"))),
+    )
+    fields = [(-F.col("dice")).alias("least"), F.col("t.template_id").alias("template_id"), "start", "end"]
+    fields += [F.col("t.licence").alias("licence"), "n_common", "n_unit", F.col("t.n_template").alias("n_template"), "dice"]
+    fields += [F.array_join("words", " ").alias("unit")]
+    windows = windows.filter(~said).select("row_id", "doc_id", F.struct(*fields).alias("w"))
+    windows = windows.groupBy("row_id", "doc_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    # Of windows that overlap the best stays.
+    best = F.aggregate(
+        "w",
+        F.array().cast(windows.schema["w"].dataType),
+        lambda kept, w: F.when(
+            F.exists(kept, lambda k: (k["start"] < w["end"]) & (w["start"] < k["end"])), kept
+        ).otherwise(F.concat(kept, F.array(w))),
+    )
+    return windows.select("doc_id", F.explode(best).alias("w")).select(
+        "doc_id",
+        F.lit("window").alias("kind"),
+        F.col("w.start").cast("long").alias("number"),
+        "w.licence",
+        F.col("w.template_id").cast("long").alias("template_id"),
+        F.col("w.n_common").cast("long").alias("n_common"),
+        F.col("w.n_unit").cast("long").alias("n_unit"),
+        F.col("w.n_template").cast("long").alias("n_template"),
+        "w.dice",
+        "w.unit",
+    )
+
+
 def licence_notices(
     docs: DataFrame,
     templates: DataFrame | None = None,
@@ -92,7 +210,11 @@ def licence_notices(
 ) -> DataFrame:
     """doc_id, kind, number, licence, template_id, n_common, n_unit, n_template, dice, unit: the best template of each unit.
 
-    `number` counts lines or paragraphs of the text from 0. Units and templates are sets of word bigrams; dice is
+    `number` counts lines or paragraphs of the text from 0. A unit of kind window is as many neighbouring words as the
+    template has (fewer at the end of the text), wherever they stand, and starts with a bigram of the template; `number`
+    counts the words before it, without `dnl` and `rem` at the start of a line. Of windows that overlap the one with the
+    largest dice stays (then of the smallest template_id, then the first); a window that overlaps a reported line or
+    paragraph is left out if that has the same licence or no smaller dice. Units and templates are sets of word bigrams; dice is
     2 n_common / (n_unit + n_template), and is `similarity` or more. Of equal coefficients the smallest template_id is
     taken. Null and empty texts, and units of fewer than two words, have no notice. Repeated rows are reported each,
     null ids as null; other columns are not read. An empty table or no template gives no rows.
@@ -111,7 +233,7 @@ def licence_notices(
     few = F.size(F.array_distinct("words")) - 1 <= F.col("most") * factor
     found = found.join(F.broadcast(bounds), (F.size("words") > 1) & enough & few)
     found = found.withColumn("bigrams", bigrams_of(F.col("words"))).withColumn("n_unit", F.size("bigrams"))
-    key = ["row_id", "doc_id", "kind", "number", "unit", "n_unit"]
+    key = ["row_id", "doc_id", "text_key", "kind", "number", "unit", "n_unit"]
     larger, smaller = F.greatest("n_unit", "n_template"), F.least("n_unit", "n_template")
     pairs = found.select(*key, F.explode("bigrams").alias("bigram")).join(known, "bigram")
     pairs = pairs.filter(larger <= smaller * factor)
@@ -120,8 +242,9 @@ def licence_notices(
     counted = counted.filter(F.col("dice") >= similarity)
     fields = [(-F.col("dice")).alias("least"), "template_id", "licence", "n_common", "n_template", "dice"]
     best = counted.groupBy(*key).agg(F.min(F.struct(*fields)).alias("best"))
-    return best.select(
+    best = best.select(
         "doc_id",
+        "text_key",
         "kind",
         F.col("number").cast("long").alias("number"),
         "best.licence",
@@ -132,3 +255,6 @@ def licence_notices(
         "best.dice",
         "unit",
     )
+    best = written(best, "licence-units")
+    windows = _windows(docs, templates, best.select("doc_id", "text_key", "kind", "number", "licence", "dice"), id_col, text_col, similarity)
+    return best.drop("text_key").unionByName(windows)

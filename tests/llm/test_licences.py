@@ -1,7 +1,7 @@
 from compare import connection, spark_rows, sql_rows
 from odd import no_documents, odd_documents
 
-from termscale.llm.licences import licence_notices, template_table
+from termscale.llm.licences import TEMPLATES, licence_notices, template_table
 from termscale.llm.queries import LICENCES, op7_licences
 
 
@@ -39,6 +39,34 @@ def test_planted_cases(spark):
     ]
 
 
+def test_notices_beside_other_text(spark):
+    gpl = next(text for licence, text in TEMPLATES if licence == "GPL-3.0-or-later").split()
+    header = [" ".join(gpl[i : i + 7]) for i in range(0, len(gpl), 7)]
+    around = ["Frobnicator, a tool that turns one thing into another.", "It is slow, but it does not stop before the end."] * 4
+    texts = {
+        1: "Copyright (c) 2024 Acme Inc. All rights reserved.",
+        2: "\n".join(f" * {line}" for line in [*around, *header, *around]),
+        3: "\n".join(f"dnl {line}" for line in [*around, *header, *around]),
+        4: "Copyright 2020 Acme. All rights reserved. The rest is released under the MIT License. Ask us for more.",
+        5: "Licensed under the MIT License.\n\nAll rights of the river are reserved for others.",
+        6: "\n\n".join([*around, *header, *around]),
+    }
+    docs = spark.createDataFrame([*texts.items(), (None, texts[1]), (1, texts[1])], "doc_id long, text string")
+    found = sorted(((r.doc_id or 0, r.kind, r.number, r.licence, r.dice) for r in licence_notices(docs).collect()))
+    before = sum(len(line.replace(",", "").split()) for line in around)
+    assert found == [
+        (0, "window", 5, "All-Rights-Reserved", 1.0),
+        (1, "window", 5, "All-Rights-Reserved", 1.0),
+        (1, "window", 5, "All-Rights-Reserved", 1.0),
+        (2, "window", before, "GPL-3.0-or-later", 1.0),
+        (3, "window", before, "GPL-3.0-or-later", 1.0),
+        (4, "window", 3, "All-Rights-Reserved", 1.0),
+        (4, "window", 9, "MIT", 1.0),
+        (5, "line", 0, "MIT", 1.0),
+        (6, "window", before, "GPL-3.0-or-later", 1.0),
+    ]
+
+
 def test_odd_rows(spark):
     own = spark.createDataFrame(
         [(3, "own", "one row without an id of its own"), (4, "own", "a row without an id of its own"), (5, "none", "x")],
