@@ -6,6 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from termscale.llm.byte_bpe import decode_ids, encode_texts
 from termscale.llm.decontaminate import overlaps
 from termscale.llm.exact_dedup import DigestIndex, deduplicate
 from termscale.llm.jaccard_join import jaccard_classes
@@ -18,6 +19,7 @@ from termscale.llm.token_counts import token_counts
 from termscale.llm.toxicity import score_toxicity, train_toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark, sf_dir, name):
@@ -167,6 +169,16 @@ SELECT d.doc_id, len(s) AS n_shingles, c.component_id
 FROM sets d JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c ON d.doc_id = c.doc_id"""
 
 
+def op11_byte_bpe(spark, sf_dir):
+    encoded = encode_texts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return decode_ids(encoded, RANKS).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
 LLM_QUERIES = {
     query.__name__: query
     for query in (
@@ -180,6 +192,7 @@ LLM_QUERIES = {
         op8_packing,
         op9_language_id,
         op10_jaccard_join,
+        op11_byte_bpe,
         corpus_pipeline.pipeline,
     )
 }
