@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termscale.llm.perfect_hash import PerfectHash
+from termscale.llm.portions import portions
 
 #: Characters of text that are split before their pre-tokens are looked up together.
 AT_ONCE = 1 << 22
@@ -120,18 +121,6 @@ class Encoder:
         return [b"".join([packed[piece] for piece in found]) for found in split]
 
 
-def portions(sizes: list[int], most: int):
-    """Slices of rows that follow each other, each of at most `most` in size or of one row."""
-    start, taken = 0, 0
-    for i, size in enumerate(sizes):
-        if i > start and taken + size > most:
-            yield slice(start, i)
-            start, taken = i, 0
-        taken += size
-    if start < len(sizes):
-        yield slice(start, len(sizes))
-
-
 def encode_texts(
     docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from termscale.llm.byte_bpe import decode_ids, encode_texts
+from termscale.llm.conversation_repair import repair_conversations, text_digests
 from termscale.llm.decontaminate import overlaps
 from termscale.llm.exact_dedup import DigestIndex, deduplicate
 from termscale.llm.jaccard_join import jaccard_classes
@@ -14,6 +15,7 @@ from termscale.llm.katz import score_documents
 from termscale.llm.language_id import predict_languages, train_languages
 from termscale.llm.licences import TEMPLATES, licence_notices
 from termscale.llm.packing import pack
+from termscale.llm.periodic_runs import greatest_run, periodic_runs
 from termscale.llm.quality import score_quality, train_quality
 from termscale.llm.token_counts import token_counts
 from termscale.llm.toxicity import score_toxicity, train_toxicity
@@ -179,6 +181,77 @@ def op11_byte_bpe(spark, sf_dir):
     )
 
 
+def with_repeats(docs):
+    """doc_id and text; of every tenth text by the crc32 of its id, the words from place a on repeat with period p.
+
+    The remaining digits g of the crc32 give a = g % n and p = 1 + (n - a) div (3 + g % 8) for n words. A null
+    id has no crc32, and its text stays.
+    """
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def repeated(made):
+        # A variable of a lambda, so that the text is split once and not once per word.
+        w, n, g = made["words"], F.size(made["words"]), F.floor(made["crc"] / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda word, i: F.when(i < a, word).otherwise(F.get(w, a + (i - a) % p))), " ")
+
+    made = F.array(F.struct(words.alias("words"), crc.alias("crc")))
+    text = F.when(crc % 10 == 0, F.get(F.transform(made, repeated), F.lit(0))).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", greatest_run(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(turns):
+    """Turns dropped, emptied, cut, repeated or given the user's role, by the crc32 of conversation and turn; nulls are one space."""
+    conv, turn = (F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn"))
+    rows = turns.select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", F.lit(" ")).alias("role"),
+        F.coalesce("text", F.lit(" ")).alias("text"),
+        (F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20).alias("fate"),
+    ).filter("fate <> 0")
+    fate = F.col("fate")
+    text = F.when(fate == 1, "").when(fate == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(fate == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")
+    role = F.when(fate == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies).drop("copy")
+
+
+def op13_conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    found, repaired = repair_conversations(damaged(turns))
+    digests = text_digests(repaired)
+    ids = turns.select(F.col("conv_id").alias("own_id")).distinct()
+    joined = ids.join(found, F.col("own_id").eqNullSafe(found.conv_id), "left").join(
+        digests, F.col("own_id").eqNullSafe(digests.conv_id), "left"
+    )
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return joined.select(
+        F.col("own_id").alias("conv_id"),
+        *(F.coalesce(name, F.lit(0)).alias(name) for name in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 LLM_QUERIES = {
     query.__name__: query
     for query in (
@@ -193,6 +266,8 @@ LLM_QUERIES = {
         op9_language_id,
         op10_jaccard_join,
         op11_byte_bpe,
+        op12_periodic_runs,
+        op13_conversation_repair,
         corpus_pipeline.pipeline,
     )
 }
