@@ -1,19 +1,28 @@
 """Text preparation as Spark SQL expressions: each function maps expression text to expression text,
 for `selectExpr` and `F.expr`, so they nest. All of them run inside the JVM."""
 
+import re
+import string
 import sys
 from functools import cache
 
 from termscale.rules import contraction_rules
 
-# A sentence ends with closing punctuation, which it keeps, followed by white space or the end of the text.
-END_MARK = r"""[.!?]+["')\]}>]*"""
-SENTENCE = rf"""(?s)(.+?(?:{END_MARK}|\z))(?:[ \t\r\n]+|\z)"""
+# Every repeat below is possessive: none gives back what it took, so a match takes a time in proportion to its text and no
+# stack, whatever the text repeats.
+#
+# An end mark is a run of closing punctuation with the quotes and brackets behind it.
+END_MARK = r"""[.!?]++["')\]}>]*+"""
+# A sentence runs to the first end mark, which it keeps, followed by white space or the end of the text. One
+# mark that begins a sentence does not end it.
+SENTENCE = (
+    rf"(?!\z)((?:[.!?](?![.!?]))?+(?:[^.!?]++|{END_MARK}(?![ \t\r\n]|\z))*+(?:{END_MARK})?+)(?:[ \t\r\n]++|\z)"
+)
 
 # White space and the characters that a Treebank-style tokeniser splits off as tokens of their own.
 SEPARATORS = r"""\p{Z}\x01-\x20",;:@#$%&?!()\[\]{}<>`"""
 # A token is a run of other characters; an apostrophe belongs to it only between two of them.
-TOKEN = f"[^'{SEPARATORS}]+(?:'[^'{SEPARATORS}]+)*"
+TOKEN = f"[^'{SEPARATORS}]++(?:'[^'{SEPARATORS}]++)*+"
 
 def _ranges(characters) -> str:
     """Ascending code points as the inside of a character class."""
@@ -46,31 +55,69 @@ def sentences(text: str) -> str:
 
 def without_end_mark(sentence: str) -> str:
     """A sentence as it is tokenised: the end mark is no part of its last word."""
-    return f"regexp_replace({sentence}, {literal(END_MARK + chr(92) + 'z')}, '')"
+    return f"regexp_replace({sentence}, {literal('(?<![.!?])' + END_MARK + chr(92) + 'z')}, '')"
+
+
+def once(expression: str, body) -> str:
+    """`body` of a variable that holds the value of `expression`, which is computed once however often it is named."""
+    return f"transform(array({expression}), it -> {body('it')})[0]"
+
+
+# A run of letters and apostrophes, with one apostrophe at least.
+CLUSTER = "(?<![A-Za-z])[A-Za-z]*+'[A-Za-z']*+"
+# In such a run only what has an apostrophe before a small letter can be a contraction.
+CONTRACTED = "'[a-z]"
+CLUSTER_CHARACTERS = string.ascii_letters + "'"
 
 
 @cache
-def contraction_array() -> str:
-    """The rules as a constant array, folded to one literal when the plan is optimised."""
-    pairs = [f"struct({literal(k)} AS search, {literal(v)} AS replacement)" for k, v in contraction_rules()]
-    return f"array({', '.join(pairs)})"
+def _contraction_tables() -> tuple[list, str, str]:
+    """The rules that come before all others and begin with an apostrophe; the others as a constant array; and what the
+    others make of each of their keys, as a constant map."""
+    rules = contraction_rules()
+    n = next(i for i, (key, _) in enumerate(rules) if not key.startswith("'"))
+    first, rest = rules[:n], rules[n:]
+    if any(set(key) - set(CLUSTER_CHARACTERS) or not re.search(CONTRACTED, key) for key, _ in rest):
+        raise ValueError("a contraction has other characters than letters, or no apostrophe before a small letter")
+    made = {}
+    for key, _ in rest:
+        made[key] = key
+        for search, replacement in rest:
+            made[key] = made[key].replace(search, replacement)
+    pairs = [f"struct({literal(k)} AS search, {literal(v)} AS replacement)" for k, v in rest]
+    known = [literal(text) for pair in made.items() for text in pair]
+    return first, f"array({', '.join(pairs)})", f"map({', '.join(known)})"
 
 
 def expand_contractions(text: str) -> str:
-    """Apply every contraction rule in table order, each to the result of the one before."""
-    # Every rule's key holds an apostrophe, so texts without one skip the fold.
-    return (
-        f"CASE WHEN contains({text}, {literal(chr(39))}) THEN aggregate({contraction_array()}, {text}, "
-        f"(done, rule) -> replace(done, rule.search, rule.replacement)) ELSE {text} END"
-    )
+    """Apply every contraction rule in table order, each to the result of the one before, in one pass over the text.
+
+    The first rules are a few endings and are applied as they are. The keys of all others consist of
+    letters and apostrophes, so a match lies within a run of such characters, before and after any
+    replacement; what the rules make of a text is what they make of each run. Runs that are a key are looked up,
+    others are short, and the rest of the text is only copied.
+    """
+    first, rules, known = _contraction_tables()
+    begun = "it"
+    for search, replacement in first:
+        begun = f"replace({begun}, {literal(search)}, {literal(replacement)})"
+    fold = f"aggregate({rules}, cluster, (done, rule) -> replace(done, rule.search, rule.replacement))"
+    found = f"coalesce(element_at({known}, cluster), {fold})"
+    expanded = f"cluster -> CASE WHEN cluster RLIKE {literal(CONTRACTED)} THEN {found} ELSE cluster END"
+    clusters = f"transform(regexp_extract_all(it, {literal(CLUSTER)}, 0), {expanded})"
+    gaps = f"split(it, {literal(CLUSTER)}, -1)"
+    joined = f"array_join(zip_with({gaps}, {clusters}, (gap, word) -> concat(gap, coalesce(word, ''))), '')"
+    rewritten = once(begun, lambda it: f"CASE WHEN contains({it}, {literal(chr(39))}) THEN {joined} ELSE {it} END")
+    return once(text, lambda it: f"CASE WHEN contains({it}, {literal(chr(39))}) THEN {rewritten} ELSE {it} END")
 
 
 def strip_digits(text: str) -> str:
     # The long class is slow to test, so ASCII texts skip it and the look-ahead skips ASCII characters.
     every_digit = rf"[0-9]|(?![\x00-\x7F]){DIGIT}"
-    return (
-        f"CASE WHEN octet_length({text}) > length({text}) THEN regexp_replace({text}, {literal(every_digit)}, '')"
-        f" ELSE regexp_replace({text}, '[0-9]', '') END"
+    return once(
+        text,
+        lambda it: f"CASE WHEN octet_length({it}) > length({it}) THEN regexp_replace({it}, {literal(every_digit)}, '')"
+        f" ELSE translate({it}, '0123456789', '') END",
     )
 
 
