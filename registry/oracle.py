@@ -5,9 +5,11 @@ import sys
 
 from registry.inputs import CONTRACTION_SWAPS, DENSE_TERMS, QUERIES, SINGLE_QUERY
 from termscale import rules
-from termscale.functions.text import EDGE_PUNCTUATION, TOKEN
 
-# Written apart from the Spark side, so that a wrong pattern shows.
+# Patterns and tables are written apart from the Spark side, so that a wrong one shows.
+EDGE_PUNCTUATION = ".<>-{}[]/:;\\@!#$%^&*()"
+SPLIT = r"""\p{Z}\x01-\x20",;:@#$%&?!()\[\]{}<>`"""
+TOKEN = f"[^'{SPLIT}]+(?:'[^'{SPLIT}]+)*"
 SENTENCE = r"""(?s)(.+?(?:[.!?]+["')\]}>]*|\z))(?:[ \t\r\n]+|\z)"""
 END_MARK = r"""[.!?]+["')\]}>]*\z"""
 DIGITS = "[" + "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isdigit()) + "]"
