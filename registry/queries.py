@@ -8,6 +8,7 @@ from registry.inputs import CONTRACTION_SWAPS, DENSE_TERMS, QUERIES, SINGLE_QUER
 from termscale.functions import text as T
 from termscale.functions import weights as W
 from termscale.operators import index as I
+from termscale.operators import inrow
 from termscale.operators import lexicon as L
 from termscale.operators import matrix as M
 from termscale.operators import position as Po
@@ -29,8 +30,9 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def counts(spark, sf_dir):
-    return I.term_counts(K.term_stream(K.by_record(documents(spark, sf_dir))))
+def spread_documents(spark, sf_dir):
+    """The documents for work on their texts: a table in a single file would occupy one core."""
+    return local.spread(documents(spark, sf_dir))
 
 
 def index(spark, sf_dir):
@@ -47,7 +49,7 @@ def query_part(spark, sf_dir, queries):
 
 def tagged(spark, sf_dir, forms=None):
     stop = F.broadcast(local.default_stop_words(spark))
-    return K.tagged_tokens(documents(spark, sf_dir), stop, forms or L.default_forms(spark))
+    return K.tagged_tokens(spread_documents(spark, sf_dir), stop, forms or L.default_forms(spark))
 
 
 def rounded(df, *names):
@@ -87,7 +89,7 @@ def tsv_parse(spark, sf_dir):
 
 
 def sentences(spark, sf_dir):
-    rows = K.sentence_rows(documents(spark, sf_dir))
+    rows = K.sentence_rows(spread_documents(spark, sf_dir))
     return rows.select("doc_id", F.col("sent_pos").cast("bigint").alias("sent_pos"), "sentence")
 
 
@@ -95,7 +97,7 @@ def expand_contractions(spark, sf_dir):
     text = "text"
     for word, swap in CONTRACTION_SWAPS:
         text = f"replace({text}, {T.literal(word)}, {T.literal(swap)})"
-    docs = documents(spark, sf_dir).selectExpr("doc_id", f"{text} AS text")
+    docs = spread_documents(spark, sf_dir).selectExpr("doc_id", f"{text} AS text")
     return docs.selectExpr("doc_id", f"{T.expand_contractions('text')} AS expanded")
 
 
@@ -109,7 +111,7 @@ def strip_digits(spark, sf_dir):
 
 
 def tokenize(spark, sf_dir):
-    rows = K.raw_tokens(documents(spark, sf_dir))
+    rows = K.raw_tokens(spread_documents(spark, sf_dir))
     return rows.select(
         "doc_id",
         F.col("sent_pos").cast("bigint").alias("sent_pos"),
@@ -121,7 +123,7 @@ def tokenize(spark, sf_dir):
 def stopword_filter(spark, sf_dir):
     """Tokens of each document that the stop list leaves, with their number."""
     stop = F.broadcast(local.default_stop_words(spark))
-    kept = K.drop_stop_words(K.raw_tokens(documents(spark, sf_dir)), stop)
+    kept = K.drop_stop_words(K.raw_tokens(spread_documents(spark, sf_dir)), stop)
     return kept.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -134,7 +136,7 @@ def stopword_union(spark, sf_dir):
         closed.select(F.col("surface").alias("word")),
         K.raw_tokens(items).select(F.col("token").alias("word")),
     )
-    used = K.raw_tokens(documents(spark, sf_dir)).groupBy(F.col("token").alias("word")).agg(
+    used = K.raw_tokens(spread_documents(spark, sf_dir)).groupBy(F.col("token").alias("word")).agg(
         F.count(F.lit(1)).alias("n_tokens")
     )
     return merged.join(used, "word", "left").fillna(0, ["n_tokens"])
@@ -198,7 +200,7 @@ def _term_text(spark, sf_dir, *order):
     line = F.array_join(
         F.transform(entries, lambda e: F.concat(e["term"], F.lit(":"), e["tf"].cast("string"))), " "
     )
-    return I.document_terms(counts(spark, sf_dir)).select("doc_id", line.alias("terms"))
+    return inrow.record_terms(documents(spark, sf_dir)).select("doc_id", line.alias("terms"))
 
 
 def analyze(spark, sf_dir):
@@ -213,24 +215,24 @@ def doc_term_map(spark, sf_dir):
 
 
 def term_freq(spark, sf_dir):
-    return I.term_frequencies(counts(spark, sf_dir)).select("doc_id", "term", "tf")
+    return I.term_frequencies(index(spark, sf_dir)).select("doc_id", "term", "tf")
 
 
 def doc_freq(spark, sf_dir):
-    return I.document_frequency(counts(spark, sf_dir))
+    return I.document_frequency(index(spark, sf_dir))
 
 
 def corpus_stats(spark, sf_dir):
     """Documents, tokens, average length and vocabulary size: the shape of the matrix and its sums."""
-    return rounded(I.corpus_shape(counts(spark, sf_dir)), "avg_len")
+    return rounded(I.corpus_shape(index(spark, sf_dir)), "avg_len")
 
 
 def doc_stats(spark, sf_dir):
-    return I.document_stats(counts(spark, sf_dir)).select("doc_id", "doc_len", "max_tf")
+    return I.document_stats(index(spark, sf_dir)).select("doc_id", "doc_len", "max_tf")
 
 
 def vocabulary(spark, sf_dir):
-    return M.vocabulary(counts(spark, sf_dir)).select("term", "term_id", "first_doc")
+    return M.vocabulary(index(spark, sf_dir)).select("term", "term_id", "first_doc")
 
 
 # --- weights ------------------------------------------------------------------------------------

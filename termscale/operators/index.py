@@ -7,8 +7,13 @@ one row with a null term, its document row, so documents without terms count lik
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termscale.operators import inrow
+from termscale.operators.lexicon import word_forms
 from termscale.operators.tokens import by_record, term_stream
 
+#: A caller's stop list or forms of at most so many rows become constants of the plan.
+CONSTANT_ROWS = 2000
+
 
 def term_counts(stream: DataFrame) -> DataFrame:
     """(rec_id, doc_id, term, tf, first_pos); the null term's tf counts the record and tokens that are no words.
@@ -32,10 +37,36 @@ def with_document_stats(counts: DataFrame) -> DataFrame:
     )
 
 
-def index_rows(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None, bucketed=False) -> DataFrame:
-    """The index of (doc_id, text) documents, as a lazy plan with one shuffle, or none for a
-    bucketed table (see `by_record`)."""
-    return with_document_stats(term_counts(term_stream(by_record(docs, bucketed), stop, lexicon)))
+def joined_index_rows(docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None, bucketed=False) -> DataFrame:
+    """The index by joins with the stop list and the forms, whatever their size: one shuffle, or none for a bucketed
+    table (see `by_record`)."""
+    rows = with_document_stats(term_counts(term_stream(by_record(docs, bucketed), stop, lexicon)))
+    own = {"tf": "CASE WHEN term IS NULL THEN 1L ELSE tf END", "first_pos": "CASE WHEN term IS NOT NULL THEN first_pos END"}
+    return rows.withColumns({name: F.expr(kept) for name, kept in own.items()})
+
+
+def _constants(table: DataFrame, limit):
+    """The rows of a short table, None for a longer one."""
+    rows = [tuple(row) for row in table.limit(limit + 1).collect()]
+    return rows if len(rows) <= limit else None
+
+
+def index_rows(
+    docs: DataFrame, stop: DataFrame = None, lexicon: DataFrame = None, bucketed=False, constant_rows=CONSTANT_ROWS
+) -> DataFrame:
+    """The index of (doc_id, text) documents, as a lazy plan.
+
+    A document is analysed within its row and nothing is shuffled. A stop list or lexicon with more than `constant_rows`
+    rows is joined instead (`joined_index_rows`), with the same result; `bucketed` serves those joins only.
+    """
+    words = forms = None
+    if stop is not None:
+        words = _constants(stop.select("word").filter("word is not null").distinct(), constant_rows)
+    if lexicon is not None:
+        forms = _constants(word_forms(lexicon), constant_rows)
+    if (stop is not None and words is None) or (lexicon is not None and forms is None):
+        return joined_index_rows(docs, stop, lexicon, bucketed)
+    return inrow.index_rows(docs, None if words is None else [word for (word,) in words], forms)
 
 
 def clustered_by_term(index: DataFrame) -> DataFrame:
@@ -49,17 +80,9 @@ def term_frequencies(counts: DataFrame) -> DataFrame:
     return counts.filter("term is not null").select("rec_id", "doc_id", "term", "tf", "first_pos")
 
 
-def document_stats(counts: DataFrame) -> DataFrame:
+def document_stats(index: DataFrame) -> DataFrame:
     """(rec_id, doc_id, doc_len, max_tf), one row per record."""
-    return counts.groupBy("rec_id", "doc_id").agg(
-        F.expr(f"coalesce(sum({TERM_TF}), 0) AS doc_len"), F.expr(f"coalesce(max({TERM_TF}), 0) AS max_tf")
-    )
-
-
-def document_terms(counts: DataFrame) -> DataFrame:
-    """(rec_id, doc_id, terms): each record's terms as array<struct<term, tf, first_pos>>."""
-    entry = "CASE WHEN term IS NOT NULL THEN struct(term, tf, first_pos) END"
-    return counts.groupBy("rec_id", "doc_id").agg(F.expr(f"collect_list({entry}) AS terms"))
+    return index.filter("term is null").select("rec_id", "doc_id", "doc_len", "max_tf")
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:

@@ -1,7 +1,5 @@
 """Word forms: which tag and lemma a surface form has."""
 
-from functools import cache
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +38,18 @@ def word_forms(lexicon: DataFrame) -> DataFrame:
     )
 
 
-@cache
-def _shipped_form_rows(spark) -> list:
-    return [tuple(row) for row in word_forms(default_lexicon(spark)).collect()]
+_SHIPPED = []
+
+
+def shipped_form_rows(spark) -> list:
+    """(surface, tag, lemma) of the forms of the shipped lexicon: some hundred rows, a fixed number, kept after the first call."""
+    if not _SHIPPED:
+        _SHIPPED.extend(tuple(row) for row in word_forms(default_lexicon(spark)).collect())
+    return _SHIPPED
 
 
 def default_forms(spark) -> DataFrame:
-    """The forms of the shipped lexicon: some hundred rows, a fixed number, kept after the first call."""
-    return F.broadcast(form_table(spark, _shipped_form_rows(spark)))
+    return F.broadcast(form_table(spark, shipped_form_rows(spark)))
 
 
 def checked_forms(lexicon: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from termscale import rules
 
 BROADCAST_BYTES = 64 << 20
+#: Size of a scan's split by default.
+SPLIT_BYTES = 128 << 20
 
 
 def local_table(spark: SparkSession, columns: dict) -> DataFrame:
@@ -30,6 +32,16 @@ def broadcast_if_small(df: DataFrame, measured: DataFrame = None, max_bytes=BROA
     return F.broadcast(df) if measured.agg(taken).first()[0] <= max_bytes else df
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows`, dealt out over the cores where the table cannot occupy them: it has fewer files than there are cores, and less
+    than one split of the default size for each of them. Larger tables stay in place."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SPLIT_BYTES:
+        return rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def query_table(spark: SparkSession, queries) -> DataFrame:
     """(query_id, pos, term) from a list of term lists; ids count from 1. A query without terms
     keeps one row with a null term, so that it still gets a ranking."""

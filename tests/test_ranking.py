@@ -293,7 +293,7 @@ def test_bucketed_documents_are_not_shuffled(spark, index, tmp_path):
     docs = corpus(spark, TEXTS)
     docs.write.bucketBy(4, "doc_id").option("path", str(tmp_path / "docs")).saveAsTable("bucketed_docs")
     try:
-        rows = I.index_rows(spark.table("bucketed_docs"), bucketed=True)
+        rows = I.joined_index_rows(spark.table("bucketed_docs"), bucketed=True)
         assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
         columns = ["doc_id", "term", "tf", "first_pos", "doc_len", "max_tf"]
         assert sorted(map(str, rows.select(columns).collect())) == sorted(map(str, index.select(columns).collect()))
@@ -322,8 +322,8 @@ def test_numbers_are_consecutive_over_partitions(spark):
 def test_plan_shape(spark):
     docs = written(corpus(spark, TEXTS), "docs")
     plan = I.index_rows(docs)._jdf.queryExecution().executedPlan().toString()
-    # The text is shuffled once, by record; counting and document statistics need no shuffle.
-    assert plan.count("Exchange hashpartitioning") == 1
+    # Counting and document statistics need no shuffle; a small table is dealt out over the cores.
+    assert "Exchange hashpartitioning" not in plan and plan.count("Exchange") <= 1
     assert "SortMergeJoin" not in plan and "Python" not in plan
     index = P.build_index(docs)
     words = P.rank_words(index)._jdf.queryExecution().executedPlan().toString()

@@ -1,5 +1,8 @@
 """Text functions and the analyser against plain Python and the sample records."""
 
+import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -88,6 +91,30 @@ def test_sentences(spark):
     assert evaluate(spark, T.without_end_mark("x"), ["a (b.)", 'c?!"', "d. e", ""]) == ["a (b", "c", "d. e", ""]
 
 
+LAZY_SENTENCE = re.compile(r"""(.+?(?:[.!?]+["')\]}>]*|\Z))(?:[ \t\r\n]+|\Z)""", re.DOTALL)
+LAZY_END_MARK = re.compile(r"""[.!?]+["')\]}>]*\Z""")
+
+
+def test_sentences_equal_the_lazy_definition(spark):
+    draw = random.Random(1)
+    texts = ["".join(draw.choice(".!?\")' \n\tab") for _ in range(draw.randint(0, 14))) for _ in range(3000)]
+    assert evaluate(spark, T.sentences("x"), texts) == [LAZY_SENTENCE.findall(text) for text in texts]
+    assert evaluate(spark, T.without_end_mark("x"), texts) == [LAZY_END_MARK.sub("", text) for text in texts]
+
+
+# Texts that make a backtracking pattern deep or slow; each took minutes or ended the process.
+HARD = ["." * 10**6 + "a", ("." + ")" * 10) * 10**5 + "a", "a'" * 10**6 + "a", "'" * 10**6, "a. " * 10**5, "!" * 10**6, "a" * 10**6]
+
+
+def test_long_runs_take_linear_time(spark):
+    begun = time.monotonic()
+    for expression in (T.sentences("x"), T.without_end_mark("x"), T.tokens("x"), T.expand_contractions("x")):
+        assert len(evaluate(spark, f"length(CAST({expression} AS STRING))", HARD)) == len(HARD)
+    assert evaluate(spark, T.tokens("x"), ["b'" * 10**6 + "c 'd'"]) == [["b'" * 10**6 + "c", "d"]]
+    assert evaluate(spark, f"size({T.sentences('x')})", HARD) == [1, 1, 1, 1, 10**5, 1, 1]
+    assert time.monotonic() - begun < 120
+
+
 def test_tokens(spark):
     texts = ["Bill-of-Material, O'Brien's 'x' a/b foo@bar.com", "Title, General Chairman is", "-a- ''", "été où"]
     assert evaluate(spark, T.tokens("x"), texts) == [
@@ -174,8 +201,35 @@ def sample(spark):
 
 
 def test_sample_records(spark, sample):
-    counts = I.term_frequencies(I.term_counts(K.term_stream(K.by_record(sample)))).collect()
+    counts = I.term_frequencies(I.index_rows(sample)).collect()
     for doc_id, (_, terms) in SAMPLE.items():
         rows = sorted((r for r in counts if r.doc_id == doc_id), key=lambda r: r.first_pos)
         assert {r.term: r.tf for r in rows} == dict(Counter(terms))
         assert [r.term for r in rows] == list(dict.fromkeys(terms))
+
+
+def test_analysis_in_the_row_equals_the_joins(spark):
+    draw = random.Random(6)
+    pieces = ["the", "The", "cities", "glass", "isn't", "zork.", "e.g.", "a1b2", "'quoted'", "x-", "-", "!!", "?\n", "half-way", "(men)", "é"]
+    texts = [" ".join(draw.choice(pieces) for _ in range(draw.randint(0, 40))) for _ in range(60)] + [None, "", "...", "a"]
+    docs = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "doc_id INT, text STRING").coalesce(1)
+    lexicon = spark.createDataFrame(LEXICON, "surface STRING, tag STRING, lemma STRING")
+    stop = spark.createDataFrame([("the",), ("isn",), (None,), ("the",)], "word STRING")
+    for tables in ({}, {"stop": stop}, {"lexicon": lexicon}, {"stop": stop, "lexicon": lexicon}):
+        within = I.index_rows(docs, **tables)
+        joined = I.joined_index_rows(docs, **tables)
+        columns = ["doc_id", "term", "tf", "first_pos", "doc_len", "max_tf"]
+        rows = [sorted(map(str, x.select(columns).collect())) for x in (within, joined)]
+        assert rows[0] == rows[1] and len(rows[0]) > 60
+        assert I.index_rows(docs, **tables, constant_rows=0).columns == within.columns
+
+
+def test_a_table_in_many_files_is_not_shuffled(spark, sample, tmp_path):
+    sample.repartition(9).write.parquet(str(tmp_path / "many"))
+    sample.union(sample).repartition(9).write.mode("append").parquet(str(tmp_path / "many"))
+    docs = spark.read.parquet(str(tmp_path / "many"))
+    assert len(docs.inputFiles()) >= spark.sparkContext.defaultParallelism
+    plan = I.term_frequencies(I.index_rows(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
+    few = I.index_rows(spark.read.parquet(str(tmp_path / "many")).limit(3)).filter("term is null")
+    assert few.count() == 3
