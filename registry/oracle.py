@@ -229,6 +229,18 @@ FROM tf JOIN doc ON tf.doc_id = doc.doc_id"""
         ),
         "tsv_round_trip": """SELECT doc_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS text FROM documents""",
         "topk_docs_clustered": sql(TOP_DOCS, *ranking(QUERIES)),
+        "topk_docs_pruned": sql(TOP_DOCS, *ranking(QUERIES)),
+        "topk_docs_items": sql(
+            """SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, score
+  FROM (
+    SELECT i.query_id, d.doc_id, coalesce(s.score, 0) AS score
+    FROM (SELECT DISTINCT doc_id AS query_id FROM b_tok) i CROSS JOIN documents d
+    LEFT JOIN (SELECT b.doc_id AS query_id, w.doc_id, sum(weight) AS score FROM b_tok b JOIN w ON lower(b.token) = w.term GROUP BY ALL) s
+      ON s.query_id = i.query_id AND s.doc_id = d.doc_id)
+  QUALIFY rank <= 10)""",
+            *BENCHMARK_TOKENS,
+        ),
         "ranking_lines": sql(
             """SELECT query_id, '[' || string_agg('(' || doc_id || ', ' || score || ')', ', ' ORDER BY rank) || ']' AS value
 FROM (SELECT query_id, rank, doc_id, round(score * 1000)::BIGINT AS score FROM ranked) GROUP BY query_id""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from registry.inputs import CONTRACTION_SWAPS, DENSE_TERMS, QUERIES, SINGLE_QUERY
 from termscale.functions import text as T
 from termscale.functions import weights as W
+from termscale.operators import blockmax as B
 from termscale.operators import index as I
 from termscale.operators import inrow
 from termscale.operators import lexicon as L
@@ -16,7 +17,7 @@ from termscale.operators import ranking as R
 from termscale.operators import scoring as S
 from termscale.operators import tokens as K
 from termscale.plans import ranking as P
-from termscale.session import work_folder
+from termscale.session import work_folder, written
 from termscale.sources import local
 from termscale.sources import records as Rec
 from termscale.sources import sinks as Sinks
@@ -312,6 +313,25 @@ def topk_docs_clustered(spark, sf_dir):
     return rounded(R.top_documents(rows, queries), "score")
 
 
+def topk_docs_pruned(spark, sf_dir):
+    """The rankings of `topk_docs` from blocks with maxima, of which only those are read that can matter."""
+    blocks = B.build_blocks(built_index(spark, sf_dir))
+    return rounded(B.top_documents_pruned(blocks, local.query_table(spark, QUERIES)), "score")
+
+
+def item_queries(spark, sf_dir):
+    """Each benchmark item as a query of all its words, repeats included."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return K.raw_tokens(items).select(F.col("doc_id").alias("query_id"), F.lower("token").alias("term"))
+
+
+def topk_docs_items(spark, sf_dir):
+    """The documents nearest to each benchmark item: as many query terms as the table has, joined and not constants."""
+    queries = written(item_queries(spark, sf_dir), "item-queries")
+    rows = written(R.query_rows(built_index(spark, sf_dir), queries, max_constants=0), "query-rows")
+    return rounded(R.top_documents(rows, queries), "score")
+
+
 def ranking_lines(spark, sf_dir):
     """The text lines that the line sink writes, with scores in whole thousandths."""
     queries = local.query_table(spark, QUERIES)
@@ -367,6 +387,8 @@ ALL = [
     topk_docs_single,
     topk_docs,
     topk_docs_clustered,
+    topk_docs_pruned,
+    topk_docs_items,
     ranking_lines,
     topk_words,
     doc_position,

@@ -5,32 +5,84 @@ from pyspark.sql import functions as F
 
 from termscale.functions import weights as W
 from termscale.operators.index import known_corpus_stats
-from termscale.operators.scoring import term_idf, weigh
+from termscale.operators.scoring import HOT_TERMS, term_idf, weigh
 from termscale.sources.local import broadcast_if_small
 
 K = 10
 # Sums run in any order, so equal scores may differ in the last bits; ranks compare this many digits.
 SCORE_DIGITS = 9
-# Query terms become constants of the plan. A set of more is refused: run it in batches.
-MAX_TERMS = 100_000
+# Query terms become constants of the plan up to this number, and a table to join with beyond it.
+MAX_CONSTANTS = 10_000
+#: Parts into which the postings of a hot term are dealt where its queries are too many to broadcast.
+SALTS = 64
 
 
 def _score_order():
     return F.round("score", SCORE_DIGITS).desc()
 
 
-def query_rows(index: DataFrame, queries: DataFrame, max_terms=MAX_TERMS) -> DataFrame:
+def term_filter(asked: DataFrame, max_constants=MAX_CONSTANTS, hot=HOT_TERMS):
+    """A function that keeps the rows whose `term` is among the distinct terms `asked`, for any number of them.
+
+    A few terms become constants of a filter that reaches the scan. More are a table: broadcast if it is small, so that the rows
+    stay in place; otherwise both sides are dealt by term, but for the terms that have more than 1/`hot` of the rows, of
+    which there are fewer than `hot`: those are found by a count with map-side combine and filtered in place.
+    """
+    terms = [row.term for row in asked.limit(max_constants + 1).collect()]
+    if len(terms) <= max_constants:
+        return lambda rows: rows.filter(F.col("term").isin(terms))
+    small = broadcast_if_small(asked)
+    if small is not asked:
+        return lambda rows: rows.join(small, "term", "left_semi")
+    spark = asked.sparkSession
+
+    def joined(rows):
+        sizes = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.filter(F.col("n") * hot > rows.count()).select("term")
+        names = F.broadcast(spark.createDataFrame(most.toArrow()))
+        wanted = F.broadcast(spark.createDataFrame(asked.join(names, "term", "left_semi").toArrow()))
+        rare = asked.join(names, "term", "left_anti")
+        return rows.join(wanted, "term", "left_semi").unionByName(
+            rows.join(names, "term", "left_anti").join(rare, "term", "left_semi")
+        )
+
+    return joined
+
+
+def query_rows(index: DataFrame, queries: DataFrame, max_constants=MAX_CONSTANTS, hot=HOT_TERMS) -> DataFrame:
     """The part of an index that the queries can touch: the document rows, which hold what the
     corpus statistics need, and the postings of query terms.
 
-    The terms become constants of a filter that reaches the scan, so nothing is shuffled, however
-    many rows have no term or a frequent one.
+    Up to `max_constants` terms this is one filter and nothing is shuffled, however many rows have no term or a
+    frequent one. More terms are joined (`term_filter`); `index` should then be a written table, as it is read more than once.
     """
     asked = queries.select("term").filter("term is not null").distinct()
-    terms = [row.term for row in asked.limit(max_terms + 1).collect()]
-    if len(terms) > max_terms:
-        raise ValueError(f"more than {max_terms} query terms; rank the queries in batches")
-    return index.filter(F.col("term").isNull() | F.col("term").isin(terms))
+    terms = [row.term for row in asked.limit(max_constants + 1).collect()]
+    if len(terms) <= max_constants:
+        return index.filter(F.col("term").isNull() | F.col("term").isin(terms))
+    postings = term_filter(asked, max_constants, hot)(index.filter("term is not null"))
+    return index.filter("term is null").unionByName(postings)
+
+
+def join_queries(
+    hits: DataFrame, asked: DataFrame, measured: DataFrame = None, by="rec_id", hot=HOT_TERMS, salts=SALTS
+) -> DataFrame:
+    """`hits` (term, rec_id, ...) joined with `asked` (term, df, ...), which may have a term in many queries.
+
+    A small `asked` is broadcast. Otherwise the hits of a hot term, one with more than 1/`hot` of all of them, are dealt out by
+    the column `by` over `salts` parts, each of which gets that term's queries; the rest is joined by term.
+    """
+    small = broadcast_if_small(asked, measured=measured)
+    if small is not asked:
+        return hits.join(small, "term")
+    total = asked.select("term", "df").distinct().agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    most = asked.select("term", "df").distinct().filter(F.col("df") * hot > total).select("term")
+    names = F.broadcast(hits.sparkSession.createDataFrame(most.toArrow()))
+    salted = hits.join(names, "term", "left_semi").withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    copies = asked.join(names, "term", "left_semi").withColumn("salt", parts)
+    rare = hits.join(names, "term", "left_anti").join(asked.join(names, "term", "left_anti"), "term")
+    return salted.join(copies, ["term", "salt"]).drop("salt").unionByName(rare)
 
 
 def query_weights(
@@ -43,7 +95,7 @@ def query_weights(
     """
     asked = queries.filter("term is not null").select("query_id", "term")
     asked = asked.join(term_idf(rows, corpus) if terms is None else terms, "term")
-    hits = rows.filter("term is not null").join(broadcast_if_small(asked, measured=queries), "term")
+    hits = join_queries(rows.filter("term is not null"), asked, queries)
     return weigh(hits, corpus, k1, b).select("query_id", "rec_id", "doc_id", *extra, "weight")
 
 

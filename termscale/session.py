@@ -47,15 +47,15 @@ def work_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder.
+def written(df: DataFrame, label: str, by=()) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, with a folder for each value of the columns `by`.
 
     For results with several consumers: the work is done once, survives the loss of executors,
     holds no executor memory, and each consumer reads only the columns it needs.
     """
     spark = df.sparkSession
     path = f"{work_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,6 +1,7 @@
 """Weights and rankings: a published ranking, a hand-made corpus, and brute force."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termscale.functions import weights as W
+from termscale.operators import blockmax as B
 from termscale.operators import index as I
 from termscale.operators import matrix as M
 from termscale.operators import position as Po
@@ -242,8 +244,87 @@ def test_query_rows_are_a_filter(spark, index):
     wanted = [r for r in index.collect() if r.term in (None, "zip", "pow", "kapow")]
     assert sorted(map(str, rows.collect())) == sorted(map(str, wanted))
     assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
-    with pytest.raises(ValueError):
-        R.query_rows(index, queries, 3)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_any_number_of_query_terms(spark, index, monkeypatch, broadcast):
+    """200,000 terms, joined; the few that the corpus has, as constants."""
+    words = ["zip", "pow", "kapow", "bang", "zap"]
+    few = query_table(spark, [["zip", "zip", "pow"], ["kapow", "bang"], ["zap"], ["none"]])
+    padding = spark.range(200_000).selectExpr("1 + id % 4 AS query_id", "id AS pos", "concat('w', id) AS term")
+    many = few.unionByName(padding)
+    if not broadcast:
+        monkeypatch.setattr("termscale.sources.local.broadcast_if_small.__defaults__", (None, 1))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # `hot` 2 and 6 send some of the terms, or none, down the path of frequent ones.
+        for hot in (2, 6, 1000):
+            rows = written(R.query_rows(index, many, hot=hot), "rows")
+            wanted = [r for r in index.collect() if r.term is None or r.term in words]
+            assert sorted(map(str, rows.collect())) == sorted(map(str, wanted))
+            corpus = I.known_corpus_stats(rows)
+            terms = written(R.term_idf(rows, corpus), "terms")
+            asked = many.select("query_id", "term").join(terms, "term")
+            hits = rows.filter("term is not null")
+            both = [
+                sorted(map(str, R.join_queries(hits, asked, hot=hot, salts=3).select("query_id", "rec_id", "term", "idf").collect())),
+                sorted(map(str, hits.join(asked, "term").select("query_id", "rec_id", "term", "idf").collect())),
+            ]
+            assert both[0] == both[1] and both[0]
+        ranks = [
+            sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in R.top_documents(x, y, k=4).collect())
+            for x, y in ((rows, many), (P.query_part(index, few), few))
+        ]
+        assert ranks[0] == ranks[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def block_corpus(spark, n, seed=3):
+    draw = random.Random(seed)
+    vocabulary = ["zip", "pow", "bang", *[f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)]]
+    texts = []
+    for _ in range(n):
+        size = draw.choice([0, 1, 2, 5, 20, 60])
+        texts.append(" ".join(vocabulary[min(int(draw.expovariate(0.12)), 62)] for _ in range(size)))
+    return corpus(spark, texts, [i % (n - 7) for i in range(n)])
+
+
+@pytest.mark.parametrize("first, span", [(4, 1), (16, 4), (1000, 7), (1, 1000)])
+def test_pruned_rankings_are_the_whole(spark, first, span):
+    built = P.build_index(block_corpus(spark, 300))
+    asked = [["zip"], ["zip", "pow", "bang"], ["wordak", "zip", "zip"], ["wordjk", "wordbl"], ["none"], [], ["wordjo", "none"]]
+    queries = query_table(spark, asked)
+    blocks = B.build_blocks(built, first=first, span=span)
+    assert blocks.blocks.agg(F.sum("n")).first()[0] == built.filter("term is not null").count()
+    for k in (1, 5, 400):
+        plain, pruned = (
+            sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in x.collect())
+            for x in (R.top_documents(P.query_part(built, queries), queries, k), B.top_documents_pruned(blocks, queries, k))
+        )
+        assert plain == pruned and len(plain) == len(asked) * min(k, 300)
+
+
+def test_fewer_blocks_are_read(spark):
+    built = P.build_index(block_corpus(spark, 2000))
+    queries = query_table(spark, [["zip"], ["pow", "bang"], ["zip", "pow"]])
+    blocks = B.build_blocks(built, first=32, span=8)
+    reads = []
+    pruned = B.top_documents_pruned(blocks, queries, 5, reads=reads).collect()
+    plain = R.top_documents(P.query_part(built, queries), queries, 5).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in pruned) == sorted((r.query_id, r["rank"], r.doc_id) for r in plain)
+    tiers = blocks.blocks.select("tier").distinct().count()
+    asked = blocks.blocks.filter(F.col("term").isin("zip", "pow", "bang")).count()
+    read = sum(n for _, n, _ in reads)
+    # Each of the terms but one is in two queries, so a block may be read twice.
+    assert read < asked / 2 and len(reads) < tiers
+    plan = blocks.blocks.filter("tier = 1 AND term = 'zip'").select("top")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tier" in plan and "postings" not in plan
+
+
+def test_blocks_of_an_empty_corpus(spark):
+    blocks = B.build_blocks(P.build_index(corpus(spark, ["x"]).filter("doc_id < 0")))
+    assert B.top_documents_pruned(blocks, query_table(spark, [["zip"], []])).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["string", "null", "equal"])
