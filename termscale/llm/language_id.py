@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hash buckets of n-grams, the longest n-gram, texts made into vectors at once.
-BUCKETS, LONGEST, AT_ONCE = 8192, 4, 128
+#: Hash buckets of n-grams, the longest n-gram, texts or passages made into vectors at once, bytes of a passage.
+BUCKETS, LONGEST, AT_ONCE, PASSAGE = 8192, 4, 128, 4096
 #: Training texts of a language, landmarks of all languages, ridge, sharpness of the final scores.
 PER_LANGUAGE, LANDMARKS, RIDGE, SHARPNESS = 500, 256, 0.1, 4.0
 UNKNOWN = "und"
@@ -22,30 +22,53 @@ _BYTES = np.arange(256, dtype=np.uint32)
 _BYTES[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """One row per text: 1 for each bucket that one of its n-grams falls in, scaled to length one."""
-    coded = [text.lower().encode() + b" " for text in texts]
-    data = _BYTES[np.frombuffer(b"".join(coded), np.uint8)]
-    row = np.repeat(np.arange(len(coded), dtype=np.int64) * BUCKETS, [len(c) for c in coded])
-    found = np.zeros(len(coded) * BUCKETS, np.float32)
+def passages(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The bytes of all texts in passages of at most `PASSAGE`, and the number of the text that each is of.
+
+    The presence of n-grams says little of a text that holds nearly all of them, so a long text is many passages.
+    """
+    made, owner = [], []
+    for i, text in enumerate(texts):
+        coded = text.lower().encode() + b" "
+        made += [coded[start : start + PASSAGE] for start in range(0, len(coded), PASSAGE)]
+        owner += [i] * (len(made) - len(owner))
+    return made, np.array(owner, np.int64)
+
+
+def presence(parts: list[bytes]) -> np.ndarray:
+    """One row per passage: 1 for each bucket that one of its n-grams falls in, scaled to length one."""
+    data = _BYTES[np.frombuffer(b"".join(parts), np.uint8)]
+    row = np.repeat(np.arange(len(parts), dtype=np.int64) * BUCKETS, [len(part) for part in parts])
+    found = np.zeros(len(parts) * BUCKETS, np.float32)
     code = np.zeros(len(data), np.uint32)
     for n in range(LONGEST):
-        # N-grams that run over the end of a text differ from those within it by no more than a few per text.
         code = code[: len(data) - n] * np.uint32(263) + data[n:]
         bucket = ((code + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(19)
-        found[row[: len(bucket)] + bucket] = 1
-    found = found.reshape(len(coded), BUCKETS)
+        # An n-gram lies within one passage, so that no row depends on the one behind it.
+        begins = row[: len(bucket)]
+        within = begins == row[n:]
+        found[begins[within] + bucket[within]] = 1
+    found = found.reshape(len(parts), BUCKETS)
     return found / np.sqrt(found.sum(axis=1, keepdims=True))
 
 
+def kernel(texts: list[str], marks: np.ndarray) -> np.ndarray:
+    """The kernel of each text with each landmark (a column of `marks`), the mean of those of its passages."""
+    parts, owner = passages(texts)
+    total = np.zeros((len(texts), marks.shape[1]))
+    for start in range(0, len(parts), AT_ONCE):
+        np.add.at(total, owner[start : start + AT_ONCE], presence(parts[start : start + AT_ONCE]) @ marks)
+    return total / np.bincount(owner, minlength=len(texts))[:, None]
+
+
 def fit(texts: list[str], languages: list[str]) -> dict:
     """Landmarks and regression of a labelled sample, in the given order."""
     names = sorted(set(languages))
-    vectors = np.concatenate([presence(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)])
     by_name = [[i for i, name in enumerate(languages) if name == wanted] for wanted in names]
     turns = [i for turn in zip_longest(*by_name) for i in turn if i is not None]
-    marks = vectors[turns[:LANDMARKS]]
-    known = (vectors @ marks.T).astype(np.float64)
+    # The first passage of each of these texts is a landmark.
+    marks = presence([passages([texts[i]])[0][0] for i in turns[:LANDMARKS]])
+    known = kernel(texts, marks.T)
     target = np.where(np.array(languages)[:, None] == np.array(names), 1.0, -1.0)
     # Languages count alike, however many texts each has.
     weight = (1 / np.array([len(by_name[names.index(name)]) for name in languages]))[:, None] * len(texts) / len(names)
@@ -95,7 +118,8 @@ def predict_languages(docs: DataFrame, model: dict | None, id_col: str = "doc_id
             lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if known else []
             for start in range(0, len(lettered), AT_ONCE):
                 some = lettered[start : start + AT_ONCE]
-                values = SHARPNESS * (presence([texts[i] for i in some]) @ marks) @ known["solved"]
+                # Rounded, as the last bits of a product depend on how many rows it has.
+                values = np.round(SHARPNESS * (kernel([texts[i] for i in some], marks) @ known["solved"]), 4)
                 values = np.exp(values - values.max(axis=1, keepdims=True))
                 best = values.argmax(axis=1)
                 names[some] = np.array(known["names"], object)[best]

@@ -46,7 +46,7 @@ def op2_katz(spark, sf_dir):
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train_quality(docs, table(spark, sf_dir, "labels"), usable=lambda doc_id: remainder(doc_id, 5) != 0)
-    held_out = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
     return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
@@ -144,7 +144,7 @@ def op8_packing(spark, sf_dir):
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train_languages(docs, usable=lambda doc_id: remainder(doc_id, 4) != 2)
-    held_out = (remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     return predict_languages(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from odd import ODD, no_documents, odd_documents
 
-from termscale.llm import quality
+from termscale.llm import language_id, quality
 from termscale.llm.language_id import fit as fit_languages
-from termscale.llm.language_id import predict_languages, presence
+from termscale.llm.language_id import predict_languages, train_languages
 from termscale.llm.passages import WIDTH, encode_group
 from termscale.llm.queries import op3_quality, op6_toxicity, op9_language_id
 from termscale.llm.toxicity import fit_chain, probabilities, score_toxicity, train_toxicity, word_numbers
@@ -94,20 +94,44 @@ def test_languages_on_held_out_documents(spark, truth):
     assert np.mean([r.lang_pred == truth[r.doc_id].lang for r in rows if r.held_out]) > 0.97
 
 
-def test_presence_kernel_by_definition():
-    texts = ["ab ab", "abc", ""]
+def grams(data):
+    return {data[i : i + n] for n in range(1, 5) for i in range(len(data) - n + 1)}
 
-    def grams(text):
-        data = text.encode() + b" "
-        return {data[i : i + n] for n in range(1, 5) for i in range(len(data) - n + 1)}
 
-    vectors = [presence([t])[0] for t in texts]
-    for a, va in zip(texts, vectors, strict=True):
-        for b, vb in zip(texts, vectors, strict=True):
+def test_presence_kernel_by_definition():
+    texts = ["ab ab", "abc", "", "a", "the quick brown fox", "der schnelle Fuchs"]
+    parts, _ = language_id.passages(texts)
+    # All texts in one call: no n-gram runs into the next one.
+    vectors = language_id.presence(parts)
+    for a, va in zip(parts, vectors, strict=True):
+        for b, vb in zip(parts, vectors, strict=True):
             expected = len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
             assert va @ vb == pytest.approx(expected, abs=0.02)
 
 
+def test_kernel_of_a_long_text_is_the_mean_of_its_passages(monkeypatch):
+    monkeypatch.setattr(language_id, "PASSAGE", 16)
+    text, marks = "abc def ghi jkl mno pqr stu", language_id.presence([b"abc ", b"xyz "]).T
+    coded = text.encode() + b" "
+    each = [language_id.presence([coded[:16]]) @ marks, language_id.presence([coded[16:]]) @ marks]
+    assert language_id.kernel([text, "zz"], marks)[0] == pytest.approx(np.mean(each, axis=0)[0], abs=1e-6)
+
+
+def test_a_language_is_a_function_of_the_text(spark):
+    """Alone, beside any others, and on any partition a text has the same language and score."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang")
+    cut = docs.selectExpr("doc_id + 10000 AS doc_id", "left(text, 12) AS text", "lang")
+    long = docs.filter("lang = 'en'").limit(1).selectExpr("-1L AS doc_id", "repeat(text || ' ', 2000000 div (1 + length(text))) AS text", "lang")
+    every = docs.union(cut).union(long)
+    model = train_languages(docs)
+    found = [
+        {r.doc_id: (r.lang_pred, r.score) for r in predict_languages(x, model).collect()}
+        for x in (every.coalesce(1), every.repartition(4), every.repartition(37, "text"))
+    ]
+    assert found[0] == found[1] == found[2]
+    assert found[0][-1][0] == "en" and found[0][-1][1] > 0.9
+
+
 def test_odd_rows(spark):
     model = quality.train_quality(odd_documents(spark), spark.createDataFrame([(1, 1), (6, 0), (3, None)], "doc_id long, quality int"))
     rows = quality.score_quality(odd_documents(spark), model).collect()
