@@ -157,6 +157,47 @@ QUALIFY rank <= 10"""
 
 BENCHMARK_TOKENS = token_tables("b", "benchmark", "item_id")
 
+# A hidden Markov model of word languages, and Viterbi as a recursion over places.
+TAGGING = (
+    *BENCHMARK_TOKENS,
+    "tt AS (SELECT t.doc_id, sent_pos, tok_pos, lower(token) AS surface, lang AS tag FROM d_tok t JOIN documents d ON t.doc_id = d.doc_id WHERE lang IS NOT NULL)",
+    "wt AS (SELECT surface, tag, count(*) AS n FROM tt GROUP BY ALL)",
+    "tags AS (SELECT tag, sum(n) AS total, row_number() OVER (ORDER BY tag) AS no FROM wt GROUP BY tag)",
+    "moves AS (SELECT coalesce(lag(tag) OVER (PARTITION BY doc_id, sent_pos ORDER BY tok_pos), '') AS before, tag FROM tt)",
+    """trans AS (
+  SELECT b.tag AS before, t.tag, t.no, ln((coalesce(n, 0) + 1) / (sum(coalesce(n, 0) + 1) OVER (PARTITION BY b.tag))) AS move
+  FROM (SELECT tag FROM tags UNION ALL SELECT '') b CROSS JOIN tags t
+  LEFT JOIN (SELECT before, tag, count(*) AS n FROM moves GROUP BY ALL) m ON m.before = b.tag AND m.tag = t.tag)""",
+    "rare AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY surface) AS size FROM wt) WHERE size <= 10)",
+    """ends AS (
+  SELECT ending, tag, sum(n) AS n FROM (
+    SELECT right(surface, k) AS ending, tag, n FROM rare, (VALUES (1), (2), (3)) v(k) WHERE k < length(surface)
+    UNION ALL SELECT '', tag, n FROM wt) GROUP BY ALL)""",
+    """likely AS (
+  SELECT ending, tag, ln((n / sum(n) OVER (PARTITION BY ending)) / (total / (SELECT sum(total) FROM tags))) AS own
+  FROM ends JOIN tags USING (tag))""",
+    "items AS (SELECT doc_id, sent_pos, tok_pos, lower(token) AS surface FROM b_tok)",
+    """longest AS (
+  SELECT surface, max(length(ending)) AS k FROM (SELECT DISTINCT surface FROM items WHERE surface NOT IN (SELECT surface FROM wt)) s
+  JOIN (SELECT DISTINCT ending FROM likely) e ON right(surface, length(ending)) = ending AND length(ending) < length(surface) OR ending = ''
+  GROUP BY surface)""",
+    """choices AS (
+  SELECT surface, tag, ln(n / total) AS own FROM wt JOIN tags USING (tag)
+  UNION ALL SELECT surface, tag, own FROM longest JOIN likely ON ending = CASE WHEN k = 0 THEN '' ELSE right(surface, k) END)""",
+    """walk(doc_id, sent_pos, tok_pos, tag, score, path) AS (
+  SELECT doc_id, sent_pos, tok_pos, c.tag, move + own, [c.tag] FROM items i JOIN choices c USING (surface)
+  JOIN trans ON before = '' AND trans.tag = c.tag WHERE tok_pos = 0
+  UNION ALL
+  SELECT * FROM (
+    SELECT i.doc_id, i.sent_pos, i.tok_pos, c.tag, w.score + move + own AS score, list_append(path, c.tag) AS path
+    FROM walk w JOIN items i ON i.doc_id = w.doc_id AND i.sent_pos = w.sent_pos AND i.tok_pos = w.tok_pos + 1
+    JOIN choices c ON c.surface = i.surface JOIN trans ON before = w.tag AND trans.tag = c.tag
+    QUALIFY row_number() OVER (PARTITION BY i.doc_id, i.sent_pos, i.tok_pos, c.tag ORDER BY w.score + move DESC, w.tag) = 1))""",
+    """ended AS (
+  SELECT doc_id, sent_pos, path FROM walk
+  QUALIFY row_number() OVER (PARTITION BY doc_id, sent_pos ORDER BY tok_pos DESC, score DESC, tag) = 1)""",
+)
+
 
 def oracle():
     return {
@@ -184,6 +225,11 @@ LEFT JOIN (SELECT token, count(*) AS n FROM d_tok GROUP BY token) u ON m.word =
         "pos_filter": sql(
             "SELECT doc_id, surface, class, count(*) AS n FROM tagged WHERE class IS NOT NULL GROUP BY ALL"
         ),
+        "tag_context": sql(
+            """SELECT i.doc_id AS item_id, i.sent_pos, i.tok_pos, i.surface, path[i.tok_pos + 1] AS tag
+FROM items i JOIN ended e ON i.doc_id = e.doc_id AND i.sent_pos = e.sent_pos""",
+            *TAGGING,
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
         "word_shape": f"""SELECT piece, count(*) AS n, {is_word('piece')} AS is_word FROM (
   SELECT unnest(string_split_regex(lower(text), '[ \\t\\r\\n]+')) AS piece
   FROM (SELECT text FROM documents UNION ALL SELECT html FROM pages)) GROUP BY piece""",

@@ -15,6 +15,7 @@ from termscale.operators import matrix as M
 from termscale.operators import position as Po
 from termscale.operators import ranking as R
 from termscale.operators import scoring as S
+from termscale.operators import tagging as G
 from termscale.operators import tokens as K
 from termscale.plans import ranking as P
 from termscale.session import work_folder, written
@@ -157,6 +158,17 @@ def pos_filter(spark, sf_dir):
     return kept.groupBy("doc_id", "surface", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
+def tag_context(spark, sf_dir):
+    """Words of the benchmark items tagged from context, by a model of the documents: each word's tag there is the language of
+    its text, so words of several languages are ambiguous and unknown ones go by their endings."""
+    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select("doc_id", "lang", "text")
+    learnt = K.sentence_tokens(local.spread(docs)).selectExpr("transform(surfaces, s -> struct(s AS surface, lang AS tag)) AS tokens")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    tagged = G.tag_sentences(K.sentence_tokens(items), G.train_tagger(learnt))
+    rows = tagged.selectExpr("item_id", "sent_pos", "posexplode(arrays_zip(surfaces, tags)) AS (tok_pos, t)")
+    return rows.selectExpr("item_id", "CAST(sent_pos AS BIGINT) AS sent_pos", "CAST(tok_pos AS BIGINT) AS tok_pos", "t.surfaces AS surface", "t.tags AS tag")
+
+
 def word_shape(spark, sf_dir):
     """Every distinct white-space separated piece of documents and pages, and whether it is a word."""
     texts = documents(spark, sf_dir).select("text").union(table(spark, sf_dir, "pages").select("html"))
@@ -366,6 +378,7 @@ ALL = [
     stopword_union,
     pos_class,
     pos_filter,
+    tag_context,
     word_shape,
     lemmatize,
     token_stream,

@@ -46,6 +46,14 @@ def raw_tokens(docs: DataFrame, keep_documents=False) -> DataFrame:
     )
 
 
+def sentence_tokens(docs: DataFrame) -> DataFrame:
+    """One row per sentence with its lower-cased tokens as an array `surfaces`."""
+    rows = sentence_rows(docs)
+    kept = [c for c in rows.columns if c != "sentence"]
+    plain = T.strip_digits(T.expand_contractions(T.without_end_mark("sentence")))
+    return rows.selectExpr(*kept, f"transform({T.tokens(plain)}, t -> lower(t)) AS surfaces")
+
+
 def drop_stop_words(tokens: DataFrame, stop: DataFrame) -> DataFrame:
     """Tokens not in the stop list; the test is case-sensitive."""
     return tokens.join(stop.select(F.col("word").alias("token")), "token", "left_anti")
