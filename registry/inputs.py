@@ -22,3 +22,6 @@ CONTRACTION_SWAPS = [
     (" la ", " i'Didn'tShe'll've "),
     (" el ", " DON'T "),
 ]
+
+# The documents hold no abbreviations either.
+ABBREVIATION_SWAPS = [(" the ", " e.g. "), (" of ", " (approx. "), (" de ", " Dr. "), (" und ", " z.B. ")]

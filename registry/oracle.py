@@ -3,7 +3,7 @@
 import re
 import sys
 
-from registry.inputs import CONTRACTION_SWAPS, DENSE_TERMS, QUERIES, SINGLE_QUERY
+from registry.inputs import ABBREVIATION_SWAPS, CONTRACTION_SWAPS, DENSE_TERMS, QUERIES, SINGLE_QUERY
 from termscale import rules
 
 # Patterns and tables are written apart from the Spark side, so that a wrong one shows.
@@ -199,11 +199,48 @@ TAGGING = (
 )
 
 
+OPENING, CLOSING = "([{<\"'", ")]}>\"',;:"
+BLANKS = "chr(9) || chr(10) || chr(13) || ' '"
+LEARNT_SENTENCES = f"""WITH docs AS MATERIALIZED (SELECT doc_id, {replaced('text', ABBREVIATION_SWAPS)} AS text FROM documents),
+cleaned AS (
+  SELECT lower(rtrim(ltrim(piece, {lit(OPENING)}), {lit(CLOSING)})) AS w
+  FROM (SELECT unnest(string_split_regex(text, '[ \\t\\r\\n]+')) AS piece FROM docs)),
+words AS (
+  SELECT CASE WHEN ends_with(w, '.') THEN left(w, length(w) - 1) ELSE w END AS word, ends_with(w, '.') AS stop FROM cleaned),
+counted AS (
+  SELECT word, count(*) FILTER (stop) AS s, count(*) FILTER (NOT stop) AS o FROM words
+  WHERE regexp_matches(word, '\\p{{L}}') GROUP BY word),
+chance AS (SELECT sum(s) / sum(s + o) AS p FROM counted),
+short AS MATERIALIZED (
+  SELECT word FROM (
+    SELECT word, s, o, p, length(replace(word, '.', '')) AS letters, length(word) - length(replace(word, '.', '')) AS inner_stops
+    FROM counted, chance WHERE s > 0)
+  WHERE 2 * (s * (ln(0.99::DOUBLE) - ln(p)) + o * (ln(1 - 0.99::DOUBLE) - ln(1 - p)))
+    * exp(-letters) * (inner_stops + 1) * pow(letters, -o) >= 0.3),
+pieces AS (
+  SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS place
+  FROM (SELECT doc_id, list_filter(regexp_extract_all(text, {lit(SENTENCE)}, 0), lambda x: x <> '') AS l FROM docs)),
+lasts AS (
+  SELECT *, list_extract(string_split_regex(rtrim(piece, {BLANKS}), '[ \\t\\r\\n]'), -1) AS final FROM pieces),
+flagged AS (
+  SELECT doc_id, place, piece, regexp_matches(piece, '[.!?]+["'')\\]}}>]*[ \\t\\r\\n]*\\z') AS ended,
+    ends_with(final, '.') AND lower(ltrim(left(final, length(final) - 1), {lit(OPENING)})) IN (SELECT word FROM short) AS goes_on
+  FROM lasts),
+numbered AS (
+  SELECT *, coalesce(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (
+    PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sent_pos FROM flagged),
+joined AS (
+  SELECT doc_id, sent_pos, string_agg(piece, '' ORDER BY place) AS whole, last(ended ORDER BY place) AS ended
+  FROM numbered GROUP BY doc_id, sent_pos)
+SELECT doc_id, sent_pos, CASE WHEN ended THEN rtrim(whole, {BLANKS}) ELSE whole END AS sentence FROM joined"""
+
+
 def oracle():
     return {
         "tsv_parse": """SELECT doc_id, source AS conf, 'a "title"' || chr(9) || 'in ' || chr(92) || lang AS title,
   '' AS author, n_chars AS year, regexp_replace(text, '[\\t\\r\\n]', ' ', 'g') AS abstract, lang AS theme FROM documents""",
         "sentences": sql("SELECT doc_id, sent_pos, sentence FROM d_sents"),
+        "sentences_learnt": LEARNT_SENTENCES,
         "expand_contractions": f"SELECT doc_id, {expanded('text')} AS expanded FROM "
         f"(SELECT doc_id, {replaced('text', CONTRACTION_SWAPS)} AS text FROM documents)",
         "strip_digits": f"SELECT 'documents' AS origin, doc_id AS id, {stripped('text')} AS stripped FROM documents "

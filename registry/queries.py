@@ -4,9 +4,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from registry.inputs import CONTRACTION_SWAPS, DENSE_TERMS, QUERIES, SINGLE_QUERY
+from registry.inputs import ABBREVIATION_SWAPS, CONTRACTION_SWAPS, DENSE_TERMS, QUERIES, SINGLE_QUERY
 from termscale.functions import text as T
 from termscale.functions import weights as W
+from termscale.operators import abbreviations as Ab
 from termscale.operators import blockmax as B
 from termscale.operators import index as I
 from termscale.operators import inrow
@@ -95,6 +96,17 @@ def sentences(spark, sf_dir):
     return rows.select("doc_id", F.col("sent_pos").cast("bigint").alias("sent_pos"), "sentence")
 
 
+def sentences_learnt(spark, sf_dir):
+    """Sentences that do not end at abbreviations, which are learnt from the same texts."""
+    text = "text"
+    for word, swap in ABBREVIATION_SWAPS:
+        text = f"replace({text}, {T.literal(word)}, {T.literal(swap)})"
+    docs = spread_documents(spark, sf_dir).selectExpr("doc_id", f"{text} AS text")
+    made = Ab.sentence_arrays(docs, Ab.abbreviations(docs))
+    rows = made.selectExpr("doc_id", "posexplode(sentences) AS (sent_pos, sentence)")
+    return rows.withColumn("sent_pos", F.col("sent_pos").cast("bigint"))
+
+
 def expand_contractions(spark, sf_dir):
     text = "text"
     for word, swap in CONTRACTION_SWAPS:
@@ -371,6 +383,7 @@ def split_merge_words(spark, sf_dir):
 ALL = [
     tsv_parse,
     sentences,
+    sentences_learnt,
     expand_contractions,
     strip_digits,
     tokenize,
