@@ -201,6 +201,7 @@ TAGGING = (
 
 OPENING, CLOSING = "([{<\"'", ")]}>\"',;:"
 BLANKS = "chr(9) || chr(10) || chr(13) || ' '"
+HIDDEN = "hidden AS (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id % 2 = 0)"
 LEARNT_SENTENCES = f"""WITH docs AS MATERIALIZED (SELECT doc_id, {replaced('text', ABBREVIATION_SWAPS)} AS text FROM documents),
 cleaned AS (
   SELECT lower(rtrim(ltrim(piece, {lit(OPENING)}), {lit(CLOSING)})) AS w
@@ -324,6 +325,16 @@ FROM tf JOIN doc ON tf.doc_id = doc.doc_id"""
   QUALIFY rank <= 10)""",
             *BENCHMARK_TOKENS,
         ),
+        "segments_doc_freq": sql(
+            "SELECT term, count(*)::BIGINT AS df FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM hidden) GROUP BY term", HIDDEN
+        ),
+        "segments_topk_docs": sql(
+            TOP_DOCS,
+            *ranking(QUERIES),
+            first=[HIDDEN, "left_over AS (SELECT * FROM whole_table WHERE doc_id NOT IN (SELECT doc_id FROM hidden))"],
+        )
+        .replace("documents", "left_over")
+        .replace("whole_table", "documents"),
         "ranking_lines": sql(
             """SELECT query_id, '[' || string_agg('(' || doc_id || ', ' || score || ')', ', ' ORDER BY rank) || ']' AS value
 FROM (SELECT query_id, rank, doc_id, round(score * 1000)::BIGINT AS score FROM ranked) GROUP BY query_id""",

@@ -18,6 +18,7 @@ from termscale.operators import ranking as R
 from termscale.operators import scoring as S
 from termscale.operators import tagging as G
 from termscale.operators import tokens as K
+from termscale.operators.segments import SegmentedIndex
 from termscale.plans import ranking as P
 from termscale.session import work_folder, written
 from termscale.sources import local
@@ -356,6 +357,29 @@ def topk_docs_items(spark, sf_dir):
     return rounded(R.top_documents(rows, queries), "score")
 
 
+def stored_batches(spark, sf_dir):
+    """The documents indexed in two batches, those labelled toxic deleted between them; toxic documents of the second batch stay, as they came after the deletion."""
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    stored = SegmentedIndex(spark, f"{work_folder(spark).rstrip('/')}/segments-{uuid.uuid4().hex}")
+    stored.append(docs.filter("doc_id % 2 = 0"), "even")
+    stored.delete(labels.filter("toxic = 1"), "toxic")
+    stored.append(docs.filter("doc_id % 2 = 1"), "odd")
+    return stored
+
+
+def segments_doc_freq(spark, sf_dir):
+    """Document frequencies as sums over segments, less the deleted documents."""
+    return stored_batches(spark, sf_dir).document_frequency()
+
+
+def segments_topk_docs(spark, sf_dir):
+    """Rankings of an index that was built in batches, with deletions, and compacted."""
+    stored = stored_batches(spark, sf_dir)
+    stored.compact("all")
+    queries = local.query_table(spark, QUERIES)
+    return rounded(R.top_documents(P.query_part(stored.read(), queries), queries), "score")
+
+
 def ranking_lines(spark, sf_dir):
     """The text lines that the line sink writes, with scores in whole thousandths."""
     queries = local.query_table(spark, QUERIES)
@@ -415,6 +439,8 @@ ALL = [
     topk_docs_clustered,
     topk_docs_pruned,
     topk_docs_items,
+    segments_doc_freq,
+    segments_topk_docs,
     ranking_lines,
     topk_words,
     doc_position,
