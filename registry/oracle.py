@@ -281,6 +281,26 @@ FROM items i JOIN ended e ON i.doc_id = e.doc_id AND i.sent_pos = e.sent_pos""",
   FROM b_tok WHERE lower(token) NOT IN (SELECT surface FROM lexicon))"""
             ],
         ),
+        "lemma_rules": sql(
+            """SELECT surface, class, coalesce(known, made, surface) AS lemma FROM (
+  SELECT w.surface, w.class, o.lemma AS known, left(w.surface, length(w.surface) - length(cut)) || put AS made FROM words w
+  LEFT JOIN own o ON o.surface = w.surface AND o.class = w.class
+  LEFT JOIN best b ON b.class = w.class AND right(w.surface, length(ending)) = ending AND length(ending) <= length(w.surface)
+   AND (length(cut) < length(w.surface) OR put <> '')
+  QUALIFY row_number() OVER (PARTITION BY w.surface, w.class ORDER BY length(ending) DESC NULLS LAST) = 1)""",
+            "learnt AS (SELECT DISTINCT surface, class, lemma FROM entries WHERE class IS NOT NULL)",
+            """edits AS (
+  SELECT surface, class, surface[shared + 1:] AS cut, lemma[shared + 1:] AS put FROM (
+    SELECT *, (SELECT max(k) FROM range(0, 40) r(k)
+      WHERE k <= length(surface) AND k <= length(lemma) AND left(surface, k) = left(lemma, k)) AS shared FROM learnt))""",
+            """best AS (
+  SELECT class, ending, cut, put FROM (
+    SELECT class, CASE WHEN k = 0 THEN '' ELSE right(surface, k) END AS ending, cut, put, count(*) AS n FROM edits, range(0, 6) r(k)
+    WHERE k BETWEEN length(cut) AND length(surface) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY class, ending ORDER BY n DESC, length(cut), cut, put) = 1)""",
+            "own AS (SELECT surface, class, first(lemma ORDER BY length(lemma), lemma) AS lemma FROM learnt GROUP BY ALL)",
+            "words AS (SELECT DISTINCT lower(token) AS surface, class FROM d_tok, (VALUES ('n'), ('v')) v(class))",
+        ),
         "token_stream": sql("SELECT doc_id, sent_pos, tok_pos, term FROM stream"),
         "analyze": sql(
             """SELECT d.doc_id, coalesce(string_agg(term || ':' || tf, ' ' ORDER BY first_pos), '') AS terms
@@ -310,6 +330,13 @@ FROM tf JOIN doc ON tf.doc_id = doc.doc_id"""
         "sparse_vectors": sql(
             """SELECT w.doc_id, string_agg(v.term_id::VARCHAR, ' ' ORDER BY v.term_id) AS term_ids,
   round(sum(w.weight), 6) AS total FROM w JOIN vocab v ON w.term = v.term GROUP BY w.doc_id"""
+        ),
+        "vocabulary_batches": sql(
+            """SELECT w.doc_id, w.term, term_id, round(w.weight, 6) AS weight FROM w JOIN (
+  SELECT v.term, row_number() OVER (ORDER BY f.term IS NULL, f.doc_id, f.first_pos, v.first_doc, v.term_id) - 1 AS term_id
+  FROM vocab v LEFT JOIN (
+    SELECT term, doc_id, first_pos FROM tf WHERE doc_id % 2 = 0
+    QUALIFY row_number() OVER (PARTITION BY term ORDER BY doc_id, first_pos) = 1) f ON f.term = v.term) i ON w.term = i.term"""
         ),
         "tsv_round_trip": """SELECT doc_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS text FROM documents""",
         "topk_docs_clustered": sql(TOP_DOCS, *ranking(QUERIES)),

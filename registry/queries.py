@@ -11,6 +11,7 @@ from termscale.operators import abbreviations as Ab
 from termscale.operators import blockmax as B
 from termscale.operators import index as I
 from termscale.operators import inrow
+from termscale.operators import lemmas as Le
 from termscale.operators import lexicon as L
 from termscale.operators import matrix as M
 from termscale.operators import position as Po
@@ -18,6 +19,7 @@ from termscale.operators import ranking as R
 from termscale.operators import scoring as S
 from termscale.operators import tagging as G
 from termscale.operators import tokens as K
+from termscale.operators.dictionary import Dictionary
 from termscale.operators.segments import SegmentedIndex
 from termscale.plans import ranking as P
 from termscale.session import work_folder, written
@@ -209,6 +211,14 @@ def lemmatize(spark, sf_dir):
     )
 
 
+def lemma_rules(spark, sf_dir):
+    """Every word of the documents as a noun and as a verb, with the lemma that rules learnt from the lexicon give it."""
+    lexicon = local.default_lexicon(spark)
+    words = K.raw_tokens(spread_documents(spark, sf_dir)).select(F.lower("token").alias("surface")).distinct()
+    words = words.withColumn("class", F.explode(F.array(F.lit("n"), F.lit("v"))))
+    return Le.lemmatize_words(words, Le.lemma_rules(lexicon), lexicon)
+
+
 def token_stream(spark, sf_dir):
     """Terms in text order; dropped tokens leave gaps in the positions."""
     kept = tagged(spark, sf_dir).filter(f"class IS NOT NULL AND {T.is_word('surface')}")
@@ -293,6 +303,16 @@ def sparse_vectors(spark, sf_dir):
     return rounded(vectors.select("doc_id", ids, total), "total")
 
 
+def vocabulary_batches(spark, sf_dir):
+    """The matrix of all documents with the ids of a dictionary that two batches have extended: first the even documents, then all."""
+    docs, whole = documents(spark, sf_dir), built_index(spark, sf_dir)
+    ids = Dictionary(spark, f"{work_folder(spark).rstrip('/')}/dictionary-{uuid.uuid4().hex}")
+    ids.extend(P.build_index(docs.filter("doc_id % 2 = 0")), "even")
+    ids.extend(whole, "all")
+    cells = M.document_term_matrix(whole, ids=ids.read())
+    return rounded(cells.select("doc_id", "term", "term_id", "weight"), "weight")
+
+
 def tsv_round_trip(spark, sf_dir):
     """Documents written as record files with a header, and read back."""
     text = F.translate("text", "\t\n\r", "   ")
@@ -418,6 +438,7 @@ ALL = [
     tag_context,
     word_shape,
     lemmatize,
+    lemma_rules,
     token_stream,
     analyze,
     term_freq,
@@ -431,6 +452,7 @@ ALL = [
     bm25_weights,
     doc_term_matrix,
     sparse_vectors,
+    vocabulary_batches,
     tsv_round_trip,
     dense_matrix,
     query_scores,

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termscale.functions import weights as W
-from termscale.operators.index import known_corpus_stats
+from termscale.operators.index import document_frequency, known_corpus_stats
 from termscale.operators.position import number_rows
 from termscale.operators.scoring import HOT_TERMS, join_terms, term_idf, weigh
 from termscale.session import written
@@ -24,10 +24,14 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     return number_rows(terms, ["first_doc", "rec_id", "first_pos", "term"], "term_id", start=0).drop("rec_id")
 
 
-def document_term_matrix(index: DataFrame, k1=W.K1, b=W.B, hot=HOT_TERMS) -> DataFrame:
-    """(rec_id, doc_id, term_id, term, weight): the cells of the matrix that are not zero."""
+def document_term_matrix(index: DataFrame, k1=W.K1, b=W.B, hot=HOT_TERMS, ids: DataFrame = None) -> DataFrame:
+    """(rec_id, doc_id, term_id, term, weight): the cells of the matrix that are not zero.
+
+    `ids` (term, term_id) are ids that exist, for instance those of a `Dictionary`; terms without one have no column.
+    """
     corpus = known_corpus_stats(index)
-    terms = vocabulary(index).crossJoin(F.broadcast(corpus.select("n_docs")))
+    named = vocabulary(index) if ids is None else document_frequency(index).join(ids, "term")
+    terms = named.crossJoin(F.broadcast(corpus.select("n_docs")))
     terms = terms.select("term", "df", "term_id", W.idf(F.col("n_docs"), F.col("df")).alias("idf"))
     postings = join_terms(index.filter("term is not null"), written(terms, "vocabulary"), hot)
     return weigh(postings, corpus, k1, b).select("rec_id", "doc_id", "term_id", "term", "weight")
