@@ -4,7 +4,8 @@
         --query object-oriented --query "object-oriented deductive"
 
 The input is a tab-separated record file (or folder) with a header, or a Parquet table with the
-columns doc_id and text. Results are written below --output as documents/ and words/.
+columns doc_id and text. Results are written below --output as documents/ and words/. With --job they are published
+there in one commit, so that a job that is run again adds nothing.
 """
 
 import argparse
@@ -14,7 +15,7 @@ from termscale.plans.ranking import build_index, query_part, rank_documents_spli
 from termscale.session import build_session, drop_written
 from termscale.sources.local import query_table, union_word_lists
 from termscale.sources.records import read_documents
-from termscale.sources.sinks import write_ranking, write_ranking_lines
+from termscale.sources.sinks import publish, write_ranking, write_ranking_lines
 
 
 def arguments(argv=None):
@@ -25,6 +26,7 @@ def arguments(argv=None):
     parser.add_argument("--output-format", default="text", help="text, parquet, json or csv")
     parser.add_argument("--mode", choices=["append", "overwrite"], default="append")
     parser.add_argument("--query", action="append", default=[], help="terms separated by spaces; repeatable")
+    parser.add_argument("--job", help="a name: results are published under one commit, and once only (see termscale.sources.sinks)")
     parser.add_argument("--k", type=int, default=K)
     parser.add_argument("--k1", type=float, default=1.6)
     parser.add_argument("--b", type=float, default=0.75)
@@ -65,12 +67,18 @@ def run(spark, options):
         queries = query_table(spark, [query.split() for query in options.query])
         rank = rank_documents_split if options.split else top_documents
         results["documents"] = rank(query_part(index, queries), queries, **weights)
-    for name, ranking in results.items():
-        path = f"{options.output.rstrip('/')}/{name}"
+
+    def writer(name, ranking, mode):
         if options.output_format == "text":
-            write_ranking_lines(ranking, "term" if name == "words" else "doc_id", path, options.mode)
-        else:
-            write_ranking(ranking, path, options.output_format, options.mode)
+            return lambda path: write_ranking_lines(ranking, "term" if name == "words" else "doc_id", path, mode)
+        return lambda path: write_ranking(ranking, path, options.output_format, mode)
+
+    if options.job:
+        writers = {name: writer(name, ranking, "error") for name, ranking in results.items()}
+        publish(spark, options.output, writers, options.job, options.mode)
+        return
+    for name, ranking in results.items():
+        writer(name, ranking, options.mode)(f"{options.output.rstrip('/')}/{name}")
 
 
 if __name__ == "__main__":

@@ -11,6 +11,8 @@ from rank_job import arguments, partitions_for, run
 from termscale import session
 from termscale.session import drop_written, written
 from termscale.sources import records as Rec
+from termscale.sources import sinks
+from termscale.sources.commits import Folder
 from termscale.sources.sinks import write_ranking, write_ranking_lines
 
 HEADER = "\t".join(Rec.RECORD_COLUMNS)
@@ -96,3 +98,41 @@ def test_job_options(spark, tmp_path):
     run(spark, arguments(argv + ["--stop-words", str(stop), "--lexicon", str(lexicon), "--k", "2"]))
     words = [r.term for r in spark.read.parquet(str(out / "words")).orderBy("rank").collect()]
     assert len(words) == 2 and "grid" not in words
+
+
+def test_results_of_a_job_appear_at_once_and_once(spark, tmp_path):
+    path, rows = str(tmp_path / "out"), spark.range(3)
+
+    def write(df):
+        return lambda at: df.write.mode("error").parquet(at)
+
+    def fails(at):
+        raise OSError("the second write fails")
+
+    with pytest.raises(OSError):
+        sinks.publish(spark, path, {"words": write(rows), "documents": fails}, "first")
+    with pytest.raises(ValueError):
+        sinks.published(spark, path, "words", "parquet")
+    both = {"words": write(rows), "documents": write(spark.range(5))}
+    assert sinks.publish(spark, path, both, "first") and not sinks.publish(spark, path, both, "first")
+    assert sinks.published(spark, path, "words", "parquet").count() == 3
+    assert sinks.publish(spark, path, both, "second")
+    assert sinks.published(spark, path, "documents", "parquet").count() == 10
+    # An overwriting job replaces the others in one commit, and their retries stay without effect.
+    assert sinks.publish(spark, path, {"words": write(spark.range(1)), "documents": write(rows)}, "third", "overwrite")
+    assert sinks.published(spark, path, "words", "parquet").count() == 1
+    assert not sinks.publish(spark, path, both, "second")
+    assert sinks.published(spark, path, "documents", "parquet").count() == 3
+    # Data that nothing lists, of the failed and the replaced jobs.
+    assert Folder(spark, path).drop_unlisted() == 3
+    assert sinks.published(spark, path, "documents", "parquet").count() == 3
+
+
+@pytest.mark.parametrize("mode", ["append", "overwrite"])
+def test_job_that_is_run_again(spark, tmp_path, mode):
+    out = tmp_path / "out"
+    argv = ["--input", record_file(tmp_path, LINES), "--output", str(out), "--query", "grid", "--mode", mode, "--job"]
+    for job, lines in (("a", 1), ("a", 1), ("b", 2 if mode == "append" else 1)):
+        run(spark, arguments([*argv, job]))
+        assert sinks.published(spark, str(out), "documents").count() == lines
+        assert sinks.published(spark, str(out), "words").count() == lines
