@@ -15,7 +15,7 @@ Rows of a frequent signature are combined in the map tasks, where all but one ar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termscale.llm.columns import unused
@@ -178,56 +178,60 @@ def _across_leaders(buckets, state, similarity):
 
 
 def _within_leaders(state, class_texts, size, similarity):
-    """Pairs of one leader, of different components, that what they add to it and lack of it does not rule out."""
+    """Pairs of one leader, of different components, that could be similar.
+
+    Two classes differ by the same shingles as their differences from the leader do. The members of a family that are not in
+    the leader's component are farther from it than similar sets are, so a similar pair has common
+    differences: at least half of what both differences together exceed the distance of similar sets by. The rarest
+    differences of each class come first, and a pair is made only where it meets among so many of the first that similar sets must
+    meet there; what a whole family adds or lacks comes last and is no key.
+    """
     numerator, denominator = similarity
     family = written(_several_roots(state.filter("code <> centre"), "centre"), "families")
-
-    # Without a common addition they differ by both additions and the difference of what they lack.
-    cell = ["centre", "root", "n", "adds", "lacks"]
-    cells = family.select(*cell).distinct()
-    both = _apart(cells, "a", *cell).join(_apart(cells, "b", *cell), F.col("centre_a") == F.col("centre_b"))
-    least = F.col("adds_a") + F.col("adds_b") + F.abs(F.col("lacks_a") - F.col("lacks_b"))
-    allowed = least * (denominator + numerator) <= (F.col("n_a") + F.col("n_b")) * (denominator - numerator)
-    both = both.filter(allowed & (F.col("root_a") < F.col("root_b")))
-    for end in "ab":
-        ends = [F.col(f"{c}_{end}") == F.col(c) for c in cell]
-        members = family.select("code", "bins", *cell)
-        both = both.join(members, ends).drop(*cell)
-        both = both.withColumnsRenamed({"code": f"code_{end}", "bins": f"bins_{end}"})
-    both = both.filter(_could_link(similarity))
-    close = both.select(F.col("code_a").alias("a"), F.col("code_b").alias("b"))
-
     texts = class_texts.select("code", "text")
     beside = family.select("code", "centre").join(texts, "code")
     beside = beside.join(texts.select(F.col("code").alias("centre"), F.col("text").alias("centre_text")), "centre")
 
-    def additions(batches):
+    def differences(batches):
         kept, kept_set = None, None
         for batch in batches:
-            added = []
+            found = []
             for text, centre in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if centre != kept:
                     kept, kept_set = centre, shingle_codes(centre, size)
-                added.append(np.setdiff1d(shingle_codes(text, size), kept_set, assume_unique=True).view(np.int64))
-            columns = [*batch.columns[:2], pa.array(added, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["centre", "code", "added"])
+                found.append(np.setxor1d(shingle_codes(text, size), kept_set, assume_unique=True).view(np.int64))
+            columns = [*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["centre", "code", "differs"])
 
     beside = beside.select("centre", "code", "text", "centre_text")
-    added = beside.mapInArrow(additions, "centre long, code long, added array<long>")
-    added = added.select("centre", "code", F.explode("added").alias("shingle"))
-    added = written(added.join(family.select("code", "root"), "code"), "additions")
-    shared = added.groupBy("centre", "shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    shared = shared.filter("least <> most").select("centre", "shingle")
-    added = added.join(shared, ["centre", "shingle"], "left_semi")
-    columns = ["centre", "shingle", "code", "root"]
+    found = beside.mapInArrow(differences, "centre long, code long, differs array<long>")
+    found = found.select("centre", "code", F.explode("differs").alias("shingle"))
+    found = written(found.join(family.select("code", "root", "n", (F.col("adds") + F.col("lacks")).alias("far")), "code"), "differences")
+    common = found.groupBy("centre", "shingle").agg(
+        F.count(F.lit(1)).alias("times"), F.min("root").alias("least"), F.max("root").alias("most")
+    )
+    placed = found.join(common, ["centre", "shingle"])
+    order = Window.partitionBy("code").orderBy("times", "shingle")
+    placed = placed.withColumn("place", F.row_number().over(order))
+    # Similar sets of n and of at most n * denominator / numerator shingles differ by no more than this.
+    distance = F.floor(F.col("n") * (denominator - numerator) / F.lit(float(numerator)) + F.lit(1e-9))
+    placed = placed.filter((F.col("place") <= distance + 1) & (F.col("least") < F.col("most")))
+    columns = ["centre", "shingle", "code", "root", "n", "far", "place"]
+    placed = written(placed.select(*columns), "rare-differences")
     same = (F.col("centre_a") == F.col("centre_b")) & (F.col("shingle_a") == F.col("shingle_b"))
-    common = _apart(added, "a", *columns).join(_apart(added, "b", *columns), same).filter("root_a < root_b")
-    common = common.select("code_a", "code_b").distinct()
+    # The common differences that the two need. One of them lies among as many rarest ones of either as would leave too few.
+    excess = (F.col("far_a") + F.col("far_b")) * (denominator + numerator)
+    excess -= (F.col("n_a") + F.col("n_b")) * (denominator - numerator)
+    needed = F.greatest(F.lit(1), F.ceil(excess / F.lit(2.0 * (denominator + numerator)) - F.lit(1e-9)))
+    met = F.lit(True)
+    for end in "ab":
+        met &= F.col(f"place_{end}") <= F.col(f"far_{end}") - needed + 1
+    pairs = _apart(placed, "a", *columns).join(_apart(placed, "b", *columns), same & (F.col("root_a") < F.col("root_b")) & met)
+    pairs = pairs.select("code_a", "code_b").distinct()
     for end in "ab":
         members = family.select(F.col("code").alias(f"code_{end}"), F.col("n").alias(f"n_{end}"), F.col("bins").alias(f"bins_{end}"))
-        common = common.join(members, f"code_{end}")
-    common = common.filter(_could_link(similarity))
-    return close.union(common.select(F.col("code_a").alias("a"), F.col("code_b").alias("b"))).distinct()
+        pairs = pairs.join(members, f"code_{end}")
+    return pairs.filter(_could_link(similarity)).select(F.col("code_a").alias("a"), F.col("code_b").alias("b"))
 
 
 def jaccard_classes(
