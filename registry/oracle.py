@@ -331,6 +331,12 @@ FROM tf JOIN doc ON tf.doc_id = doc.doc_id"""
             """SELECT w.doc_id, string_agg(v.term_id::VARCHAR, ' ' ORDER BY v.term_id) AS term_ids,
   round(sum(w.weight), 6) AS total FROM w JOIN vocab v ON w.term = v.term GROUP BY w.doc_id"""
         ),
+        "block_column_sums": sql(TOP_WORDS),
+        "block_products": sql(
+            """SELECT query_id::BIGINT AS query_id, doc_id, round(sum(weight), 6) AS score
+FROM q JOIN w ON q.term = w.term GROUP BY query_id, doc_id""",
+            query_values(QUERIES),
+        ),
         "vocabulary_batches": sql(
             """SELECT w.doc_id, w.term, term_id, round(w.weight, 6) AS weight FROM w JOIN (
   SELECT v.term, row_number() OVER (ORDER BY f.term IS NULL, f.doc_id, f.first_pos, v.first_doc, v.term_id) - 1 AS term_id

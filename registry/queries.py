@@ -9,6 +9,7 @@ from termscale.functions import text as T
 from termscale.functions import weights as W
 from termscale.operators import abbreviations as Ab
 from termscale.operators import blockmax as B
+from termscale.operators import blocks as Bl
 from termscale.operators import index as I
 from termscale.operators import inrow
 from termscale.operators import lemmas as Le
@@ -303,6 +304,26 @@ def sparse_vectors(spark, sf_dir):
     return rounded(vectors.select("doc_id", ids, total), "total")
 
 
+def block_column_sums(spark, sf_dir):
+    """The best words from the column sums of a matrix in blocks, as `topk_words` has them."""
+    whole = built_index(spark, sf_dir)
+    ids = written(M.vocabulary(whole).select("term", "term_id"), "vocabulary")
+    cells, _ = Bl.numbered_cells(whole, ids)
+    sums = Bl.line_sums(Bl.block_matrix(cells))
+    scores = sums.join(ids, F.col("line") == F.col("term_id")).select("term", F.col("total").alias("score"), F.col("term_id").alias("first"))
+    return rounded(R.top_words(scores), "score")
+
+
+def block_products(spark, sf_dir):
+    """Scores of all matching documents as products of the matrix in blocks with the queries."""
+    whole = built_index(spark, sf_dir)
+    ids = written(M.vocabulary(whole).select("term", "term_id"), "vocabulary")
+    cells, rows = Bl.numbered_cells(whole, ids)
+    queries = local.query_table(spark, QUERIES).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("factor"))
+    scores = Bl.products(Bl.block_matrix(cells), queries.join(ids, "term").select("query_id", "term_id", "factor"))
+    return rounded(scores.join(rows, "row_id").select("query_id", "doc_id", "score"), "score")
+
+
 def vocabulary_batches(spark, sf_dir):
     """The matrix of all documents with the ids of a dictionary that two batches have extended: first the even documents, then all."""
     docs, whole = documents(spark, sf_dir), built_index(spark, sf_dir)
@@ -452,6 +473,8 @@ ALL = [
     bm25_weights,
     doc_term_matrix,
     sparse_vectors,
+    block_column_sums,
+    block_products,
     vocabulary_batches,
     tsv_round_trip,
     dense_matrix,

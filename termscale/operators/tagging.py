@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termscale.functions.text import once
+from termscale.functions.text import literal, once
 from termscale.session import written
 from termscale.sources.local import broadcast_if_small
 
@@ -119,22 +119,27 @@ def tag_sentences(sentences: DataFrame, tagger: Tagger) -> DataFrame:
     found = tokens.join(broadcast_if_small(tagger.words), "surface", "left")
     choices = ["candidates"]
     for k in range(ENDING, -1, -1):
-        own = broadcast_if_small(tagger.endings.filter(F.length("ending") == k).select(F.col("ending").alias(f"e{k}"), F.col("candidates").alias(f"c{k}")))
-        found = found.withColumn("end", F.expr(f"CASE WHEN candidates IS NULL AND length(surface) > {k} THEN right(surface, {k}) END" if k else "CASE WHEN candidates IS NULL THEN '' END"))
+        own = tagger.endings.filter(F.length("ending") == k)
+        own = broadcast_if_small(own.select(F.col("ending").alias(f"e{k}"), F.col("candidates").alias(f"c{k}")))
+        # Known words look for no ending; the empty one is for all others.
+        open_word = F.col("candidates").isNull() & (F.length("surface") > k if k else F.lit(True))
+        found = found.withColumn("end", F.when(open_word, F.right("surface", F.lit(k))))
         found = found.join(own, F.col("end") == F.col(f"e{k}"), "left").drop("end", f"e{k}")
         choices.append(f"c{k}")
     found = found.selectExpr("row_id", f"place div {PIECE} AS piece", "place", "i", f"coalesce({', '.join(choices)}) AS candidates")
     entry = F.sort_array(F.collect_list(F.struct("place", "i", "candidates")))
     pieces = found.groupBy("row_id", "piece").agg(entry.alias("tokens"))
-    matrix = "array(" + ", ".join("array(" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in row) + ")" for row in tagger.transitions) + ")"
+    matrix = "array(" + ", ".join(f"array({', '.join(f'CAST({x!r} AS DOUBLE)' for x in row)})" for row in tagger.transitions) + ")"
     path = _best_path("lattice", matrix, len(tagger.tags))
-    names = "array(" + ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in tagger.tags) + ")"
+    names = f"array({', '.join(literal(tag) for tag in tagger.tags)})"
     inner = f"transform(array(transform(tokens, t -> t.candidates)), lattice -> {path})[0]"
-    tagged = pieces.selectExpr("row_id", "piece", f"zip_with(tokens, {inner}, (t, c) -> struct(t.i AS i, {names}[t.candidates[c].tag] AS tag)) AS chosen")
-    whole = tagged.groupBy("row_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("piece", "chosen")))["chosen"]).alias("chosen"))
+    named = f"zip_with(tokens, {inner}, (t, c) -> struct(t.i AS i, {names}[t.candidates[c].tag] AS tag))"
+    tagged = pieces.selectExpr("row_id", "piece", f"{named} AS chosen")
+    in_order = F.array_sort(F.collect_list(F.struct("piece", "chosen")))["chosen"]
+    whole = tagged.groupBy("row_id").agg(F.flatten(in_order).alias("chosen"))
     # In order of their places, with nulls where the surface was null.
-    at = "map_from_entries(chosen)"
-    filled = f"CASE WHEN size(chosen) = size(surfaces) THEN transform(chosen, c -> c.tag) ELSE transform(sequence(0, size(surfaces) - 1), i -> {at}[i]) END"
+    some = "transform(array(map_from_entries(chosen)), at -> transform(sequence(0, size(surfaces) - 1), i -> at[i]))[0]"
+    filled = f"CASE WHEN size(chosen) = size(surfaces) THEN transform(chosen, c -> c.tag) ELSE {some} END"
     joined = rows.join(whole, "row_id", "left")
     none = "CASE WHEN surfaces IS NOT NULL THEN transform(surfaces, s -> CAST(NULL AS STRING)) END"
     return joined.selectExpr(*keys, "surfaces", f"CASE WHEN chosen IS NULL THEN {none} ELSE {filled} END AS tags")
