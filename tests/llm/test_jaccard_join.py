@@ -130,3 +130,33 @@ def test_components_of_long_chains_and_stars(spark):
     roots = {r.node: r.root for r in found}
     assert len(found) == len(roots) == 70 and all(roots[i] == 0 for i in range(1, 41))
     assert all(roots[100 + i] == 100 for i in range(1, 30)) and roots[200] == 199
+
+
+@pytest.mark.parametrize(("size", "similarity"), [(5, (80, 100)), (4, (85, 100)), (2, (85, 100))])
+def test_families_about_the_threshold(spark, size, similarity):
+    """Variants of one text that are near enough to the leader or just not, alone and in clusters of their own, with passages in
+    common that the leader lacks: links must not be lost among their differences."""
+    draw = random.Random(size)
+    base = [f"b{i}" for i in range(60)]
+    passage = [f"p{i}" for i in range(8)]
+    documents, number = {}, 0
+    for _ in range(14):
+        seed = list(base)
+        for place in draw.sample(range(60), draw.randint(0, 4)):
+            seed[place] = f"x{draw.randrange(40)}"
+        if draw.random() < 0.5:
+            seed = seed[: draw.randint(45, 60)]
+        if draw.random() < 0.5:
+            at = draw.randint(0, len(seed))
+            seed[at:at] = passage[: draw.randint(1, 8)]
+        for _ in range(draw.randint(1, 5)):
+            words = list(seed)
+            for place in draw.sample(range(len(words)), draw.randint(0, 2)):
+                words[place] = f"y{draw.randrange(60)}"
+            documents[number] = " ".join(words[draw.randint(0, 3) :])
+            number += 1
+    rows = spark.createDataFrame(list(documents.items()), "doc_id long, text string").repartition(3)
+    found = result(jaccard_classes(rows, size=size, similarity=similarity))
+    expected = brute_force(documents, size, *similarity)
+    assert found == expected
+    assert 1 < len({root for _, root in expected.values()}) < len(documents)
