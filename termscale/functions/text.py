@@ -38,6 +38,9 @@ def _ranges(characters) -> str:
 # All characters with a digit value, spelt out: the classes of regular expressions follow the Unicode version of
 # the engine.
 DIGIT = f"[{_ranges(code for code in range(sys.maxunicode + 1) if chr(code).isdigit())}]"
+# The digits among the Latin letters, and everything behind those: a short class that is true of every digit.
+LATIN = 0x250
+MAYBE_DIGIT = rf"[{_ranges(code for code in range(LATIN) if chr(code).isdigit())}\x{{{LATIN:04X}}}-\x{{10FFFF}}]"
 
 # A word neither starts nor ends with one of these.
 EDGE_PUNCTUATION = r".<>-{}[]/:;\@!#$%^&*()"
@@ -53,14 +56,23 @@ def sentences(text: str) -> str:
     return f"regexp_extract_all(coalesce({text}, ''), {literal(SENTENCE)}, 1)"
 
 
+def once(expression: str, body) -> str:
+    """`body` of a variable that holds the value of `expression`, which is computed once however often it is named. A name is used
+    as it is."""
+    return body(expression) if expression.isidentifier() else f"transform(array({expression}), it -> {body('it')})[0]"
+
+
 def without_end_mark(sentence: str) -> str:
     """A sentence as it is tokenised: the end mark is no part of its last word."""
-    return f"regexp_replace({sentence}, {literal('(?<![.!?])' + END_MARK + chr(92) + 'z')}, '')"
 
+    def cut(it):
+        # Most sentences end with a single full stop or with no mark at all, which needs no search.
+        plain = " AND ".join(f"NOT endswith({it}, {literal(c)})" for c in ".!?\"')]}>")
+        single = f"endswith({it}, '.') AND NOT endswith({it}, '..') AND NOT endswith({it}, '!.') AND NOT endswith({it}, '?.')"
+        other = f"regexp_replace({it}, {literal('(?<![.!?])' + END_MARK + chr(92) + 'z')}, '')"
+        return f"CASE WHEN {single} THEN left({it}, length({it}) - 1) WHEN {plain} THEN {it} ELSE {other} END"
 
-def once(expression: str, body) -> str:
-    """`body` of a variable that holds the value of `expression`, which is computed once however often it is named."""
-    return f"transform(array({expression}), it -> {body('it')})[0]"
+    return once(sentence, cut)
 
 
 # A run of letters and apostrophes, with one apostrophe at least.
@@ -98,27 +110,33 @@ def expand_contractions(text: str) -> str:
     others are short, and the rest of the text is only copied.
     """
     first, rules, known = _contraction_tables()
-    begun = "it"
-    for search, replacement in first:
-        begun = f"replace({begun}, {literal(search)}, {literal(replacement)})"
     fold = f"aggregate({rules}, cluster, (done, rule) -> replace(done, rule.search, rule.replacement))"
     found = f"coalesce(element_at({known}, cluster), {fold})"
     expanded = f"cluster -> CASE WHEN cluster RLIKE {literal(CONTRACTED)} THEN {found} ELSE cluster END"
-    clusters = f"transform(regexp_extract_all(it, {literal(CLUSTER)}, 0), {expanded})"
-    gaps = f"split(it, {literal(CLUSTER)}, -1)"
-    joined = f"array_join(zip_with({gaps}, {clusters}, (gap, word) -> concat(gap, coalesce(word, ''))), '')"
-    rewritten = once(begun, lambda it: f"CASE WHEN contains({it}, {literal(chr(39))}) THEN {joined} ELSE {it} END")
-    return once(text, lambda it: f"CASE WHEN contains({it}, {literal(chr(39))}) THEN {rewritten} ELSE {it} END")
+
+    def rewritten(it):
+        clusters = f"transform(regexp_extract_all({it}, {literal(CLUSTER)}, 0), {expanded})"
+        gaps = f"split({it}, {literal(CLUSTER)}, -1)"
+        joined = f"array_join(zip_with({gaps}, {clusters}, (gap, word) -> concat(gap, coalesce(word, ''))), '')"
+        return f"CASE WHEN contains({it}, {literal(chr(39))}) THEN {joined} ELSE {it} END"
+
+    def begun(it):
+        for search, replacement in first:
+            it = f"replace({it}, {literal(search)}, {literal(replacement)})"
+        return it
+
+    return once(text, lambda it: f"CASE WHEN contains({it}, {literal(chr(39))}) THEN {once(begun(it), rewritten)} ELSE {it} END")
 
 
 def strip_digits(text: str) -> str:
-    # The long class is slow to test, so ASCII texts skip it and the look-ahead skips ASCII characters.
+    # The long class is slow to test, so ASCII texts skip it and the look-ahead skips ASCII characters. Most sentences have neither
+    # a digit nor a character of the scripts that could have others, and stay as they are.
     every_digit = rf"[0-9]|(?![\x00-\x7F]){DIGIT}"
-    return once(
-        text,
-        lambda it: f"CASE WHEN octet_length({it}) > length({it}) THEN regexp_replace({it}, {literal(every_digit)}, '')"
-        f" ELSE translate({it}, '0123456789', '') END",
+    removed = (
+        f"CASE WHEN octet_length(%s) > length(%s) THEN regexp_replace(%s, {literal(every_digit)}, '')"
+        " ELSE translate(%s, '0123456789', '') END"
     )
+    return once(text, lambda it: f"CASE WHEN {it} RLIKE {literal(MAYBE_DIGIT)} THEN {removed.replace('%s', it)} ELSE {it} END")
 
 
 def tokens(text: str) -> str:

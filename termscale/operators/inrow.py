@@ -23,48 +23,75 @@ def bucketed_forms(rows) -> str:
     tag has no word class, as such words are no terms."""
     buckets = [[] for _ in range(BUCKETS)]
     for surface, tag, lemma in rows:
-        kept = T.literal(lemma) if tag[:1] in "JVNR" else "CAST(NULL AS STRING)"
+        kept = T.literal(lemma) if tag[:1] and tag[:1] in "JVNR" else "CAST(NULL AS STRING)"
         buckets[zlib.crc32(surface.encode()) % BUCKETS].append(f"struct({T.literal(surface)} AS surface, {kept} AS lemma)")
     # All buckets have one type, the empty ones too.
     none = "CAST(array() AS array<struct<surface: string, lemma: string>>)"
     return "array(" + ", ".join(f"array({', '.join(bucket)})" if bucket else none for bucket in buckets) + ")"
 
 
-def token_structs(text: str) -> str:
-    """array<struct<token, pos>> of a text; `pos` packs the places of sentence and token into one number."""
-    plain = T.strip_digits(T.expand_contractions(T.without_end_mark("sentence")))
-    # Sentences count from 1, as in an index made by joins, where 0 is the record itself.
-    place = "shiftleft(CAST(sent_pos + 1 AS BIGINT), 32) + tok_pos"
-    inner = f"transform({T.tokens(plain)}, (token, tok_pos) -> struct(token, {place} AS pos))"
-    return f"flatten(transform({T.sentences(text)}, (sentence, sent_pos) -> {inner}))"
+def token_arrays(text: str) -> str:
+    """array<array<string>>: the tokens of each sentence of a text."""
+    made = T.sentences(text)
+    for step in (T.without_end_mark, T.expand_contractions, T.strip_digits, T.tokens):
+        made = f"transform({made}, sentence -> {step('sentence')})"
+    return made
 
 
-def term_structs(text: str, stop_words, form_rows) -> str:
-    """array<struct<term, pos>> of a text's terms in their order."""
-    stop = ", ".join(T.literal(word) for word in stop_words)
-    kept = f"filter({token_structs(text)}, t -> t.token NOT IN ({stop}))" if stop_words else token_structs(text)
-    bucket = f"get({bucketed_forms(form_rows)}, CAST(crc32(surface) % {BUCKETS} AS INT))"
-    entry = f"get(filter({bucket}, e -> e.surface = surface), 0)"
-    # Most words are unknown, and a set tells so faster than the table does.
-    known = ", ".join(T.literal(surface) for surface, _, _ in form_rows)
-    found = f"CASE WHEN surface IN ({known}) THEN {entry}.lemma ELSE surface END" if form_rows else "surface"
-    lemma = f"transform(array(lower(t.token)), surface -> CASE WHEN {T.is_word('surface')} THEN {found} END)[0]"
-    terms = f"transform({kept}, t -> struct({lemma} AS term, t.pos AS pos))"
-    return f"filter({terms}, t -> t.term IS NOT NULL)"
+def is_word(token: str) -> bool:
+    """As `T.is_word`."""
+    return len(token) >= 2 and token[0] not in T.EDGE_PUNCTUATION and token[-1] not in T.EDGE_PUNCTUATION
+
+
+def runs(entries: str) -> str:
+    """array<struct<term, tf, first_pos>> of a sorted array of entries whose first fields `0` and `1` are term and place: it is cut
+    where the term changes."""
+    starts = "filter(sequence(0, size(it) - 1), i -> i = 0 OR it[i].`0` <> it[i - 1].`0`)"
+    tf = "CAST(coalesce(get(starts, x + 1), size(it)) - start AS BIGINT)"
+    entry = f"struct(it[start].`0` AS term, {tf} AS tf, it[start].`1` AS first_pos)"
+    cut = f"transform(array({starts}), starts -> transform(starts, (start, x) -> {entry}))[0]"
+    none = "CAST(array() AS array<struct<term: string, tf: bigint, first_pos: bigint>>)"
+    return f"transform(array({entries}), it -> CASE WHEN size(it) = 0 THEN {none} ELSE {cut} END)[0]"
 
 
-def counted(terms: str) -> str:
-    """array<struct<term, tf, first_pos>> of an array of (term, pos), by term: it is sorted and cut where the term changes."""
+def lemma_of(word: str, form_rows) -> str:
+    """The lemma of a word in lower case: itself if it is unknown, null if its tag has no word class."""
+    # Words that are their own lemma need no look-up.
+    changed = [row for row in form_rows if row[2] != row[0] or not row[1][:1] or row[1][:1] not in "JVNR"]
+    if not changed:
+        return word
+    known = ", ".join(T.literal(surface) for surface, _, _ in changed)
+    bucket = f"get({bucketed_forms(changed)}, CAST(crc32({word}) % {BUCKETS} AS INT))"
+    # Most words are unknown, and a set tells so faster than the table does.
+    return f"CASE WHEN {word} IN ({known}) THEN get(filter({bucket}, e -> e.surface = {word}), 0).lemma ELSE {word} END"
+
 
-    def runs(it):
-        starts = f"filter(sequence(0, size({it}) - 1), i -> i = 0 OR {it}[i].term <> {it}[i - 1].term)"
-        tf = f"CAST(coalesce(get(starts, x + 1), size({it})) - start AS BIGINT)"
-        entry = f"struct({it}[start].term AS term, {tf} AS tf, {it}[start].pos AS first_pos)"
-        cut = f"transform(array({starts}), starts -> transform(starts, (start, x) -> {entry}))[0]"
-        none = "CAST(array() AS array<struct<term: string, tf: bigint, first_pos: bigint>>)"
-        return f"CASE WHEN size({it}) = 0 THEN {none} ELSE {cut} END"
+def counted_terms(text: str, stop_words, form_rows) -> str:
+    """array<struct<term, tf, first_pos>> of a text's terms, by term.
 
-    return T.once(f"sort_array({terms})", runs)
+    Only what has to be done for each token is: all are lowered in one call, joined by a blank, which no token holds, and whether
+    it is a word is asked of each distinct term.
+    """
+    # Sentences count from 1, as in an index made by joins, where 0 is the record itself. `pos` packs the places of sentence and token.
+    first = "shiftleft(CAST(x + 1 AS BIGINT), 32)"
+    none = "CAST(array() AS array<bigint>)"
+    places = f"transform(it, (tokens, x) -> CASE WHEN size(tokens) > 0 THEN sequence({first}, {first} + size(tokens) - 1) ELSE {none} END)"
+    # Only words have a lemma. Where no lemma of a word could be taken for something else, that can be told after the look-up.
+    forms = [(surface, tag if is_word(surface) else "", lemma) for surface, tag, lemma in form_rows]
+    late = all(is_word(lemma) for _, tag, lemma in forms if tag[:1] and tag[:1] in "JVNR")
+    found = lemma_of("word", forms)
+    if not late:
+        found = f"CASE WHEN {T.is_word('word')} THEN {found} END"
+    terms = "split(lower(array_join(flatten(it), ' ')), ' ', -1)"
+    if found != "word":
+        terms = f"transform({terms}, word -> {found})"
+    # A text without tokens has one empty word in lower case, and no token beside it. The fields of a zip of expressions are
+    # named by their numbers: term, place, token.
+    stop = ", ".join(T.literal(word) for word in stop_words)
+    kept = f"t.`0` IS NOT NULL AND t.`2` {f'NOT IN ({stop})' if stop_words else 'IS NOT NULL'}"
+    tokens = f"sort_array(filter(arrays_zip({terms}, flatten({places}), flatten(it)), t -> {kept}))"
+    counts = runs(f"transform(array({token_arrays(text)}), it -> {tokens})[0]")
+    return f"filter({counts}, t -> {T.is_word('t.term')})" if late else counts
 
 
 def record_terms(docs: DataFrame, stop_words=None, form_rows=None) -> DataFrame:
@@ -76,7 +103,7 @@ def record_terms(docs: DataFrame, stop_words=None, form_rows=None) -> DataFrame:
     """
     stop_words = rules.stop_words() if stop_words is None else stop_words
     form_rows = shipped_form_rows(docs.sparkSession) if form_rows is None else form_rows
-    counts = counted(term_structs("text", stop_words, form_rows))
+    counts = counted_terms("text", stop_words, form_rows)
     records = docs.selectExpr("monotonically_increasing_id() AS rec_id", "doc_id", "text")
     return spread(records).selectExpr("rec_id", "doc_id", f"{counts} AS terms")
 
@@ -84,11 +111,10 @@ def record_terms(docs: DataFrame, stop_words=None, form_rows=None) -> DataFrame:
 def index_rows(docs: DataFrame, stop_words=None, form_rows=None) -> DataFrame:
     """The index of (doc_id, text) documents (see `termscale.operators.index`) without a shuffle."""
     records = record_terms(docs, stop_words, form_rows)
-    sizes = "aggregate(terms, struct(0L AS n, 0L AS most), (s, t) -> struct(s.n + t.tf AS n, greatest(s.most, t.tf) AS most))"
-    row = "struct(%s AS term, %s AS tf, %s AS first_pos, sizes.n AS doc_len, sizes.most AS max_tf)"
-    own = row % ("CAST(NULL AS STRING)", "1L", "CAST(NULL AS BIGINT)")
-    postings = f"transform(terms, t -> {row % ('t.term', 't.tf', 't.first_pos')})"
-    rows = f"transform(array({sizes}), sizes -> concat(array({own}), {postings}))[0]"
+    sizes = ("aggregate(terms.tf, 0L, (n, tf) -> n + tf) AS doc_len", "coalesce(array_max(terms.tf), 0L) AS max_tf")
+    own = "struct(CAST(NULL AS STRING) AS term, 1L AS tf, CAST(NULL AS BIGINT) AS first_pos)"
     # `inline` would have the optimiser test the size of the array, and so make it twice; a record has one row at least.
-    made = records.selectExpr("rec_id", "doc_id", f"transform(array(terms), terms -> {rows})[0] AS rows")
-    return made.selectExpr("rec_id", "doc_id", "inline_outer(rows)")
+    rows = records.selectExpr("rec_id", "doc_id", *sizes, f"concat(array({own}), terms) AS rows")
+    return rows.selectExpr("rec_id", "doc_id", "doc_len", "max_tf", "inline_outer(rows)").select(
+        "rec_id", "doc_id", "term", "tf", "first_pos", "doc_len", "max_tf"
+    )
