@@ -155,44 +155,45 @@ def top_documents_single(rows: DataFrame, query: DataFrame, k=K, k1=W.K1, b=W.B)
     return scores.orderBy(_score_order(), "doc_id", "rec_id").limit(k).select("doc_id", "score")
 
 
-def word_parts(postings: DataFrame, corpus: DataFrame, k1=W.K1, b=W.B, extra=()) -> DataFrame:
-    """(term, damped, df, first): what a part of the corpus adds to a word's score, for each value of the
-    `extra` columns; `first` is where the word appears first.
+def word_parts(postings: DataFrame, corpus: DataFrame, k1=W.K1, b=W.B, half: str = None) -> DataFrame:
+    """(term, damped, df): what each word's postings add to its score. With a column `half` of 1 and 2, the sums of both are built
+    apart and then merged.
 
     The idf is the same in every document, so the column sum of weights is idf times the sum of
-    the rest. df comes out of the same aggregate: no join of postings with term statistics.
+    the rest. df comes out of the same aggregate: no join of postings with term statistics. Numbers are all that is aggregated, so a task
+    keeps one short row per word in a hash table and sorts nothing.
     """
     tf_part = W.augmented_tf(F.col("tf"), F.col("max_tf"))
     damped = W.length_damped(tf_part, F.col("doc_len"), F.col("avg_len"), k1, b)
-    return (
+    parts = [damped] if half is None else [F.when(F.col(half) == part, damped) for part in (1, 2)]
+    sums = [F.coalesce(F.sum(part), F.lit(0.0)).alias(f"damped{i}") for i, part in enumerate(parts)]
+    found = (
         postings.filter("term is not null")
         .crossJoin(F.broadcast(corpus.select("avg_len")))
-        .groupBy("term", *extra)
-        .agg(
-            F.sum(damped).alias("damped"),
-            F.count(F.lit(1)).alias("df"),
-            F.min(F.struct("doc_id", "rec_id", "first_pos")).alias("first"),
-        )
-    )
-
-
-def merge_word_parts(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("term").agg(
-        F.sum("damped").alias("damped"),
-        F.sum("df").alias("df"),
-        F.min("first").alias("first"),
+        .groupBy("term")
+        .agg(*sums, F.count(F.lit(1)).alias("df"))
     )
+    return found.select("term", sum((F.col(f"damped{i}") for i in range(1, len(parts))), F.col("damped0")).alias("damped"), "df")
 
 
 def word_scores(parts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(term, score, first)"""
+    """(term, score)"""
     return parts.crossJoin(F.broadcast(corpus.select("n_docs"))).select(
-        "term",
-        (W.idf(F.col("n_docs"), F.col("df")) * F.col("damped")).alias("score"),
-        "first",
+        "term", (W.idf(F.col("n_docs"), F.col("df")) * F.col("damped")).alias("score")
     )
 
 
+def with_first(index: DataFrame, scores: DataFrame, k=K) -> DataFrame:
+    """(term, score, first) of the written (term, score) that can be among the k best: those that reach the k-th best score, ties
+    included. `first` is where a word appears first in the written index."""
+    rounded = F.round("score", SCORE_DIGITS)
+    floor = scores.select(rounded.alias("score")).orderBy(F.desc("score")).limit(k).agg(F.min("score")).first()[0]
+    best = scores.filter(rounded >= F.lit(floor))
+    postings = term_filter(best.select("term"))(index.filter("term is not null"))
+    first = postings.groupBy("term").agg(F.min(F.struct("doc_id", "rec_id", "first_pos")).alias("first"))
+    return first.join(broadcast_if_small(best), "term").select("term", "score", "first")
+
+
 def top_words(scores: DataFrame, k=K) -> DataFrame:
     """(rank, term, score) of the k best words; ties in order of first appearance."""
     order = (_score_order(), F.col("first"), F.col("term"))

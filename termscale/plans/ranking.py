@@ -33,7 +33,8 @@ def rank_documents(docs: DataFrame, queries: DataFrame, k=R.K, k1=W.K1, b=W.B, s
 def rank_words(index: DataFrame, k=R.K, k1=W.K1, b=W.B) -> DataFrame:
     """(rank, term, score) of a written index."""
     corpus = known_corpus_stats(index)
-    return R.top_words(R.word_scores(R.word_parts(index, corpus, k1, b), corpus), k)
+    scores = written(R.word_scores(R.word_parts(index, corpus, k1, b), corpus), "word-scores")
+    return R.top_words(R.with_first(index, scores, k), k)
 
 
 def rank_documents_split(rows: DataFrame, queries: DataFrame, k=R.K, k1=W.K1, b=W.B) -> DataFrame:
@@ -50,5 +51,6 @@ def rank_documents_split(rows: DataFrame, queries: DataFrame, k=R.K, k1=W.K1, b=
 def rank_words_split(index: DataFrame, k=R.K, k1=W.K1, b=W.B) -> DataFrame:
     """As `rank_words`, with the column sums of the two halves built apart and merged."""
     corpus = known_corpus_stats(index)
-    parts = R.word_parts(with_half(index), corpus, k1, b, extra=("half",))
-    return R.top_words(R.word_scores(R.merge_word_parts(parts), corpus), k)
+    parts = R.word_parts(with_half(index), corpus, k1, b, half="half")
+    scores = written(R.word_scores(parts, corpus), "word-scores")
+    return R.top_words(R.with_first(index, scores, k), k)

@@ -412,3 +412,20 @@ def test_plan_shape(spark):
     queries = query_table(spark, [["zip"]])
     ranks = R.top_documents(P.query_part(index, queries), queries)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in ranks
+
+
+def test_words_are_summed_without_sorting(spark):
+    """Only numbers are aggregated for all words; where a word is first is asked of those that can be among the best, ties included."""
+    texts = [f"q{chr(97 + i)}q q{chr(97 + (i + 7) % 26)}q common" for i in range(26)]
+    index = P.build_index(corpus(spark, texts))
+    parts = R.word_parts(index, I.known_corpus_stats(index))
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    scores = written(R.word_scores(parts, I.known_corpus_stats(index)), "scores")
+    assert R.with_first(index, scores, 1).count() < R.with_first(index, scores, 2).count() == 27
+    for rank in (P.rank_words, P.rank_words_split):
+        got = [row.term for row in rank(index, k=4).orderBy("rank").collect()]
+        assert sorted(got) == sorted(set(got)) and len(got) == 4
+        ties = [term for term in got if term != "common"]
+        first = {row.term: row.at for row in index.filter("term is not null").groupBy("term").agg(F.expr("min(struct(doc_id, first_pos)) AS at")).collect()}
+        assert ties == sorted(ties, key=first.get) and set(ties) <= set(sorted(first, key=first.get)[:5])
