@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from termscale.functions import weights as W
 from termscale.operators.index import document_frequency, known_corpus_stats
 from termscale.operators.position import number_rows
-from termscale.operators.scoring import HOT_TERMS, join_terms, term_idf, weigh
+from termscale.operators.scoring import BROADCAST_TERMS, join_terms, term_idf, weigh
 from termscale.session import written
 
 
@@ -24,7 +24,7 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     return number_rows(terms, ["first_doc", "rec_id", "first_pos", "term"], "term_id", start=0).drop("rec_id")
 
 
-def document_term_matrix(index: DataFrame, k1=W.K1, b=W.B, hot=HOT_TERMS, ids: DataFrame = None) -> DataFrame:
+def document_term_matrix(index: DataFrame, k1=W.K1, b=W.B, hot=BROADCAST_TERMS, ids: DataFrame = None) -> DataFrame:
     """(rec_id, doc_id, term_id, term, weight): the cells of the matrix that are not zero.
 
     `ids` (term, term_id) are ids that exist, for instance those of a `Dictionary`; terms without one have no column.

@@ -429,3 +429,11 @@ def test_words_are_summed_without_sorting(spark):
         ties = [term for term in got if term != "common"]
         first = {row.term: row.at for row in index.filter("term is not null").groupBy("term").agg(F.expr("min(struct(doc_id, first_pos)) AS at")).collect()}
         assert ties == sorted(ties, key=first.get) and set(ties) <= set(sorted(first, key=first.get)[:5])
+
+
+def test_terms_that_are_broadcast(spark):
+    """A thousand terms hold few of the postings of a large vocabulary: many more are broadcast, and the rest is joined."""
+    assert S.BROADCAST_TERMS > S.HOT_TERMS
+    index = P.build_index(corpus(spark, TEXTS))
+    rows = [sorted(map(str, S.okapi_weights(index, hot=hot).collect())) for hot in (1, S.HOT_TERMS, S.BROADCAST_TERMS)]
+    assert rows[0] == rows[1] == rows[2]
