@@ -49,6 +49,18 @@ def _tiers(documents: DataFrame, n_docs: int, first: int) -> list[int]:
     return sorted(set(cuts))
 
 
+def gathered(postings: DataFrame) -> DataFrame:
+    """(tier, span, term, n, top, postings) in order, from postings (tier, span, term, damped, rec_id, doc_id). They go to the range of their
+    block at once: a block lies in one range, so it is gathered there without another shuffle."""
+    order = ["tier", "term", "span"]
+    blocks = postings.repartitionByRange(*order).groupBy(*order).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("damped").alias("top"),
+        F.sort_array(F.collect_list(F.struct("damped", "rec_id", "doc_id")), asc=False).alias("postings"),
+    )
+    return blocks.sortWithinPartitions(*order).select("tier", "span", "term", "n", "top", "postings")
+
+
 def build_blocks(index: DataFrame, k1=W.K1, b=W.B, first: int = FIRST_TIER, span: int = SPAN) -> BlockIndex:
     """The blocks of a written index. Postings are shuffled once; a group is one term in one span, so it is as small as that."""
     corpus = known_corpus_stats(index)
@@ -67,14 +79,7 @@ def build_blocks(index: DataFrame, k1=W.K1, b=W.B, first: int = FIRST_TIER, span
         .select("term", "rec_id", "doc_id", damped.alias("damped"), tier)
         .withColumn("span", F.pmod(F.xxhash64("rec_id"), spans.cast("bigint")))
     )
-    blocks = postings.groupBy("tier", "span", "term").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("damped").alias("top"),
-        F.sort_array(F.collect_list(F.struct("damped", "rec_id", "doc_id")), asc=False).alias("postings"),
-    )
-    order = ["tier", "term", "span"]
-    placed = blocks.repartitionByRange(*order).sortWithinPartitions(*order)
-    return BlockIndex(written(placed, "blocks", by=["tier"]), documents.select("rec_id", "doc_id"), n_docs)
+    return BlockIndex(written(gathered(postings), "blocks", by=["tier"]), documents.select("rec_id", "doc_id"), n_docs)
 
 
 def _floors(best: DataFrame, k: int) -> DataFrame:

@@ -437,3 +437,15 @@ def test_terms_that_are_broadcast(spark):
     index = P.build_index(corpus(spark, TEXTS))
     rows = [sorted(map(str, S.okapi_weights(index, hot=hot).collect())) for hot in (1, S.HOT_TERMS, S.BROADCAST_TERMS)]
     assert rows[0] == rows[1] == rows[2]
+
+
+def test_blocks_are_gathered_in_one_shuffle(spark):
+    """Postings were shuffled by block, and the blocks once more by range."""
+    postings = spark.range(500).selectExpr(
+        "CAST(id % 3 AS INT) AS tier", "id % 5 AS span", "concat('t', id % 7) AS term", "id / 9 AS damped", "id AS rec_id", "id AS doc_id"
+    )
+    blocks = B.gathered(postings)
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    rows = blocks.collect()
+    assert len(rows) == 105 and sorted(p.rec_id for row in rows for p in row.postings) == list(range(500))
+    assert all(row.n == len(row.postings) and row.top == row.postings[0].damped for row in rows)
