@@ -35,25 +35,22 @@ def block_matrix(cells: DataFrame, layout: str = "csc", rows: int = ROWS, column
         "column": ((F.col("term_id") / columns).cast("bigint"), (F.col("term_id") % columns).cast("int")),
     }
     major, minor = ("row", "column") if layout == "csr" else ("column", "row")
-    placed = cells.select(
-        sides["row"][0].alias("row_block"),
-        sides["column"][0].alias("column_block"),
-        sides[major][1].alias("major"),
-        sides[minor][1].alias("minor"),
-        "weight",
-    ).repartition("row_block", "column_block")
-    line = F.sort_array(F.collect_list(F.struct("minor", "weight"))).alias("entries")
-    lines = placed.groupBy("row_block", "column_block", "major").agg(line)
-    blocks = lines.groupBy("row_block", "column_block").agg(F.sort_array(F.collect_list(F.struct("major", "entries"))).alias("lines"))
-    # Offsets are as many as the lines of a block, so appending to an array stays cheap.
-    offsets = "aggregate(lines, array(0), (ends, line) -> concat(ends, array(element_at(ends, -1) + size(line.entries))))"
+    width = columns if layout == "csr" else rows
+    cell = F.struct((sides[major][1].cast("bigint") * width + sides[minor][1]).alias("at"), "weight").alias("cell")
+    placed = cells.select(sides["row"][0].alias("row_block"), sides["column"][0].alias("column_block"), cell)
+    placed = placed.repartition("row_block", "column_block")
+    # One group and one sort for each block; a line begins where the number of the line changes.
+    blocks = placed.groupBy("row_block", "column_block").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    line = f"cells[i].at div {width}"
+    starts = f"filter(sequence(0, size(cells) - 1), i -> i = 0 OR {line} <> cells[i - 1].at div {width})"
+    blocks = blocks.selectExpr("row_block", "column_block", "cells", f"{starts} AS starts")
     return blocks.selectExpr(
         "row_block",
         "column_block",
-        "transform(lines, line -> line.major) AS majors",
-        f"{offsets} AS offsets",
-        "flatten(transform(lines, line -> transform(line.entries, e -> e.minor))) AS minors",
-        "flatten(transform(lines, line -> transform(line.entries, e -> e.weight))) AS `values`",
+        f"transform(starts, i -> CAST({line} AS INT)) AS majors",
+        "concat(starts, array(size(cells))) AS offsets",
+        f"transform(cells, c -> CAST(c.at % {width} AS INT)) AS minors",
+        "cells.weight AS `values`",
     )
 
 

@@ -58,3 +58,16 @@ def test_no_cells(spark, cells):
     assert none.count() == Bl.line_sums(none).count() == 0
     with pytest.raises(ValueError):
         Bl.block_matrix(cells, "dense")
+
+
+def test_a_block_is_gathered_once(spark, cells):
+    # Once and not by line before: each gathering is a partial and a final aggregate. No array grows by copies of itself.
+    plan = Bl.block_matrix(cells)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_collect_list(") == 1 and "aggregate(" not in plan.replace("Aggregate(", "")
+
+
+def test_a_place_with_two_cells_keeps_both(spark):
+    cells = spark.createDataFrame([(3, 5, 2.0), (3, 5, 1.0), (2, 5, 4.0)], "row_id long, term_id long, weight double")
+    for layout, majors, minors in (("csc", [5], [2, 3, 3]), ("csr", [2, 3], [5, 5, 5])):
+        block = Bl.block_matrix(cells, layout).first()
+        assert (block.majors, block.minors, block["values"]) == (majors, minors, [4.0, 1.0, 2.0])
