@@ -52,21 +52,23 @@ def train_tagger(sentences: DataFrame, smoothing: float = SMOOTHING) -> Tagger:
     """
     spark = sentences.sparkSession
     usable = "filter(tokens, t -> t.surface IS NOT NULL AND t.tag IS NOT NULL)"
-    sentences = sentences.selectExpr(f"{usable} AS tokens").filter("size(tokens) > 0")
-    tokens = sentences.select(F.explode("tokens").alias("t")).select("t.surface", "t.tag")
-    counts = written(tokens.groupBy("surface", "tag").agg(F.count(F.lit(1)).alias("n")), "word-tags")
+    entry = "struct(CASE WHEN i > 0 THEN kept[i - 1].tag END AS before, t.surface AS surface, t.tag AS tag)"
+    entries = f"transform(array({usable}), kept -> transform(kept, (t, i) -> {entry}))[0]"
+    # One pass over the tokens serves words and transitions. A filter on the size of the array would be pushed below what makes
+    # it, and so make it again; the outer form has none.
+    tokens = sentences.selectExpr(f"explode_outer({entries}) AS t").filter("t.tag IS NOT NULL").select("t.*")
+    seen = written(tokens.groupBy("before", "surface", "tag").agg(F.count(F.lit(1)).alias("n")), "tag-pairs")
+    counts = written(seen.groupBy("surface", "tag").agg(F.sum("n").alias("n")), "word-tags")
     totals = counts.groupBy("tag").agg(F.sum("n").alias("total")).orderBy("tag").limit(MOST_TAGS + 1).collect()
     if len(totals) > MOST_TAGS:
         raise ValueError(f"more than {MOST_TAGS} tags")
     tags = [row.tag for row in totals]
     number = {tag: i for i, tag in enumerate(tags)}
-    befores = "concat(array(CAST(NULL AS STRING)), transform(tokens, t -> t.tag))"
-    pairs = sentences.selectExpr(f"explode(zip_with({befores}, tokens, (before, t) -> struct(before, t.tag AS tag))) AS p")
-    pairs = pairs.filter("p.tag IS NOT NULL").groupBy("p.before", "p.tag").count().collect()
-    seen = {(row.before, row.tag): row["count"] for row in pairs}
+    pairs = seen.groupBy("before", "tag").agg(F.sum("n").alias("n")).collect()
+    followed = {(row.before, row.tag): row.n for row in pairs}
     transitions = []
     for before in [*tags, None]:
-        row = [seen.get((before, tag), 0) + smoothing for tag in tags]
+        row = [followed.get((before, tag), 0) + smoothing for tag in tags]
         transitions.append([math.log(n / sum(row)) for n in row])
 
     names = F.broadcast(
