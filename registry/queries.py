@@ -140,9 +140,7 @@ def tokenize(spark, sf_dir):
 
 def stopword_filter(spark, sf_dir):
     """Tokens of each document that the stop list leaves, with their number."""
-    stop = F.broadcast(local.default_stop_words(spark))
-    kept = K.drop_stop_words(K.raw_tokens(spread_documents(spark, sf_dir)), stop)
-    return kept.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return inrow.token_counts(documents(spark, sf_dir))
 
 
 def stopword_union(spark, sf_dir):
@@ -170,8 +168,10 @@ def pos_class(spark, sf_dir):
 
 
 def pos_filter(spark, sf_dir):
-    kept = tagged(spark, sf_dir).filter("class is not null")
-    return kept.groupBy("doc_id", "surface", "class").agg(F.count(F.lit(1)).alias("n"))
+    """Tokens of each document outside the stop list that have a word class, in lower case, with their number."""
+    # A surface has one class, so it is looked up once for each document.
+    counts = inrow.token_counts(documents(spark, sf_dir), lowered=True).withColumnRenamed("token", "surface")
+    return L.look_up_forms(counts, L.default_forms(spark)).filter("class is not null").select("doc_id", "surface", "class", "n")
 
 
 def tag_context(spark, sf_dir):

@@ -8,11 +8,13 @@ bytes for each token of its document while the row is worked on.
 import zlib
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from termscale import rules
 from termscale.functions import text as T
 from termscale.operators.lexicon import shipped_form_rows
-from termscale.sources.local import spread
+from termscale.session import written
+from termscale.sources.local import broadcast_if_small, spread
 
 #: Buckets of the form table.
 BUCKETS = 1024
@@ -118,3 +120,40 @@ def index_rows(docs: DataFrame, stop_words=None, form_rows=None) -> DataFrame:
     return rows.selectExpr("rec_id", "doc_id", "doc_len", "max_tf", "inline_outer(rows)").select(
         "rec_id", "doc_id", "term", "tf", "first_pos", "doc_len", "max_tf"
     )
+
+
+def counted_tokens(text: str, stop_words, lowered=False) -> str:
+    """array<struct<token, n>> of a text's tokens outside the stop list, in lower case if `lowered`."""
+    stop = ", ".join(T.literal(word) for word in stop_words)
+    kept = f"flatten({token_arrays(text)})"
+    if stop_words:
+        kept = f"filter({kept}, t -> t NOT IN ({stop}))"
+    if lowered:
+        kept = f"transform(array({kept}), it -> CASE WHEN size(it) > 0 THEN split(lower(array_join(it, ' ')), ' ', -1) ELSE it END)[0]"
+    starts = "filter(sequence(0, size(it) - 1), i -> i = 0 OR it[i] <> it[i - 1])"
+    entry = "struct(it[start] AS token, CAST(coalesce(get(starts, x + 1), size(it)) - start AS BIGINT) AS n)"
+    cut = f"transform(array({starts}), starts -> transform(starts, (start, x) -> {entry}))[0]"
+    none = "CAST(array() AS array<struct<token: string, n: bigint>>)"
+    return f"transform(array(sort_array({kept})), it -> CASE WHEN size(it) = 0 THEN {none} ELSE {cut} END)[0]"
+
+
+def token_counts(docs: DataFrame, stop_words=None, lowered=False) -> DataFrame:
+    """(doc_id, token, n): the tokens of each document id outside the stop list, `stop_words` or the shipped one.
+
+    A record's tokens are counted within its row, so an aggregate never holds the tokens of many records. Only the counts of ids that
+    several records share, null included, are shuffled and added up.
+    """
+    counts = counted_tokens("text", rules.stop_words() if stop_words is None else stop_words, lowered)
+
+    def counted(records):
+        # The outer form, as others have the optimiser test the size of the array, and so make it twice.
+        return records.selectExpr("doc_id", f"inline_outer({counts})").filter("n IS NOT NULL")
+
+    shared = written(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("shared")), "shared-ids")
+    docs = spread(docs.select("doc_id", "text"))
+    if shared.isEmpty():
+        return counted(docs)
+    ids = broadcast_if_small(shared)
+    same = F.col("doc_id").eqNullSafe(F.col("shared"))
+    added = counted(docs.join(ids, same, "left_semi")).groupBy("doc_id", "token").agg(F.sum("n").alias("n"))
+    return counted(docs.join(ids, same, "left_anti")).unionByName(added)

@@ -1,8 +1,14 @@
 """The analyser within a row: what is done for each token, and odd texts."""
 
+import pytest
+
+from pyspark.sql import functions as F
+
+from termscale import rules
 from termscale.functions import text as T
 from termscale.operators import index as I
 from termscale.operators import inrow
+from termscale.operators import tokens as K
 
 TEXTS = [
     None, "", " . ", "...", "One. Two! Three?! (four.) 'five.' six", "a. b.. c?. d!. e", "ΑΣ Σ ΑΣ'Σ İstanbul K.",
@@ -30,3 +36,17 @@ def test_one_call_lowers_all_tokens():
     made = inrow.counted_terms("text", ["the"], [("runs", "VBZ", "run")])
     assert made.count("lower(") == 1 and "lower(array_join(" in made
     assert T.once("name", lambda it: f"f({it}, {it})") == "f(name, name)"
+
+
+@pytest.mark.parametrize("lowered", [False, True])
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4, 5, 6], [1, None, 1, None, 2, 2]])
+def test_token_counts(spark, ids, lowered):
+    texts = ["Zip the zip ZIP. Pow!", "ΑΣ ΑΣ:Α zip's", None, "", "the zip The", "pow 3 the. (POW) pow\n\n"]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    found = inrow.token_counts(docs, lowered=lowered)
+    kept = K.raw_tokens(docs).filter(~F.col("token").isin(rules.stop_words()))
+    token = F.lower("token") if lowered else F.col("token")
+    expected = kept.groupBy("doc_id", token.alias("token")).agg(F.count("*").alias("n"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and found.count() > 6
+    # Nothing is aggregated over the tokens of many records where each has an id of its own.
+    assert ("partial_sum(n" in found._jdf.queryExecution().executedPlan().toString()) == (len(set(ids)) < len(ids))
