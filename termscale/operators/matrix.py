@@ -10,18 +10,38 @@ from termscale.operators.scoring import BROADCAST_TERMS, join_terms, term_idf, w
 from termscale.session import written
 
 
+#: doc_id and rec_id, which is below 2^62, as one number in order of both, null ids first; and both from that number.
+NO_ID, PLACES = "-9223372036854775809BD", "4611686018427387904BD"
+RECORD = f"coalesce(CAST(doc_id AS DECIMAL(20, 0)), {NO_ID}) * {PLACES} + rec_id"
+RECORD_ID = f"CAST(pmod(record, {PLACES}) AS BIGINT)"
+# The id that stands for null lies outside the range of the integers.
+DOCUMENT_ID = f"CASE WHEN record >= ({NO_ID} + 1) * {PLACES} THEN (record - pmod(record, {PLACES})) div {PLACES} END"
+
+
+#: The order of first appearance.
+FIRST_ORDER = ["first_doc", "rec_id", "first_pos", "term"]
+
+
+def first_places(postings: DataFrame) -> DataFrame:
+    """(term, df, first_doc, rec_id, first_pos): where each term is first, in order of doc_id and rec_id.
+
+    Ids that are whole numbers are compared as one number of fixed width, which a hash aggregate keeps in place, so that a task needs
+    memory for its terms only. Other ids are compared as structs, for which the postings are sorted.
+    """
+    df = F.count(F.lit(1)).alias("df")
+    kind = dict(postings.dtypes)["doc_id"]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        places = postings.selectExpr("term", "first_pos", f"{RECORD} AS record")
+        found = places.groupBy("term").agg(df, F.min_by("first_pos", "record").alias("first_pos"), F.min("record").alias("record"))
+        return found.selectExpr("term", "df", f"CAST({DOCUMENT_ID} AS {kind}) AS first_doc", f"{RECORD_ID} AS rec_id", "first_pos")
+    found = postings.groupBy("term").agg(df, F.min(F.struct("doc_id", "rec_id", "first_pos")).alias("first"))
+    return found.select("term", "df", F.col("first.doc_id").alias("first_doc"), "first.rec_id", "first.first_pos")
+
+
 def vocabulary(counts: DataFrame) -> DataFrame:
     """(term, df, first_doc, first_pos, term_id): ids from 0 in order of first appearance."""
-    terms = (
-        counts.filter("term is not null")
-        .groupBy("term")
-        .agg(
-            F.count(F.lit(1)).alias("df"),
-            F.min(F.struct("doc_id", "rec_id", "first_pos")).alias("first"),
-        )
-        .select("term", "df", F.col("first.doc_id").alias("first_doc"), "first.rec_id", "first.first_pos")
-    )
-    return number_rows(terms, ["first_doc", "rec_id", "first_pos", "term"], "term_id", start=0).drop("rec_id")
+    terms = first_places(counts.filter("term is not null"))
+    return number_rows(terms, FIRST_ORDER, "term_id", start=0).drop("rec_id")
 
 
 def document_term_matrix(index: DataFrame, k1=W.K1, b=W.B, hot=BROADCAST_TERMS, ids: DataFrame = None) -> DataFrame:

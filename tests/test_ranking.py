@@ -449,3 +449,19 @@ def test_blocks_are_gathered_in_one_shuffle(spark):
     rows = blocks.collect()
     assert len(rows) == 105 and sorted(p.rec_id for row in rows for p in row.postings) == list(range(500))
     assert all(row.n == len(row.postings) and row.top == row.postings[0].damped for row in rows)
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_first_places_without_sorting(spark, kind):
+    ids = [None, 0, -1, 5, 7, 2**31 - 1, -(2**31)] + ([2**63 - 1, -(2**63)] if kind == "long" else [])
+    places = [0, 3, (5 << 33) + 1, 2**62 - 1]
+    draw = random.Random(kind)
+    rows = [(f"t{t}", draw.choice(ids), rec, draw.randrange(9)) for t in range(40) for rec in draw.sample(places, 3)]
+    postings = spark.createDataFrame(rows, "term string, doc_id long, rec_id long, first_pos long").repartition(3)
+    postings = postings.withColumn("doc_id", F.col("doc_id").cast(kind))
+    found = M.first_places(postings)
+    first = F.min(F.struct("doc_id", "rec_id", "first_pos")).alias("first")
+    expected = postings.groupBy("term").agg(F.count("*"), first).selectExpr("*", "first.*").drop("first")
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, expected.collect())))
+    # The postings of a task are not sorted, whose memory would grow with them.
+    assert ("SortAggregate" in found._jdf.queryExecution().executedPlan().toString()) == (kind == "string")
