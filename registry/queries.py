@@ -326,9 +326,9 @@ def block_products(spark, sf_dir):
 
 def vocabulary_batches(spark, sf_dir):
     """The matrix of all documents with the ids of a dictionary that two batches have extended: first the even documents, then all."""
-    docs, whole = documents(spark, sf_dir), built_index(spark, sf_dir)
+    whole = built_index(spark, sf_dir)
     ids = Dictionary(spark, f"{work_folder(spark).rstrip('/')}/dictionary-{uuid.uuid4().hex}")
-    ids.extend(P.build_index(docs.filter("doc_id % 2 = 0")), "even")
+    ids.extend(whole.filter("doc_id % 2 = 0"), "even")
     ids.extend(whole, "all")
     cells = M.document_term_matrix(whole, ids=ids.read())
     return rounded(cells.select("doc_id", "term", "term_id", "weight"), "weight")

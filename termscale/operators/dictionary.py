@@ -5,9 +5,8 @@ earlier table has, by an anti-join, numbered in order of first appearance withou
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from termscale.operators.matrix import vocabulary
+from termscale.operators.matrix import FIRST_ORDER, first_places
 from termscale.operators.position import number_rows
 from termscale.sources.commits import Folder
 
@@ -43,10 +42,10 @@ class Dictionary:
             if self.folder.has(job):
                 return 0
             base = max((entry["end"] for entry in entries), default=0)
-            found = vocabulary(index).select("term", F.col("term_id").alias("place"))
+            found = first_places(index.filter("term is not null"))
             fresh = found.join(self._tables(entries).select("term"), "term", "left_anti")
             name = self.folder.fresh("terms")
-            numbered = number_rows(fresh, ["place"], "term_id", start=base).select("term", "term_id")
+            numbered = number_rows(fresh, FIRST_ORDER, "term_id", start=base).select("term", "term_id")
             numbered.write.parquet(f"{self.folder.path}/{name}")
             added = self.spark.read.parquet(f"{self.folder.path}/{name}").count()
             entry = {"job": job, "folder": name, "base": base, "end": base + added}

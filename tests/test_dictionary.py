@@ -1,5 +1,6 @@
 """Ids that last over batches, and the matrix with them."""
 
+from registry import queries as Q
 from test_ranking import brute_force, corpus
 
 import pytest
@@ -59,3 +60,10 @@ def test_no_terms(spark, tmp_path):
     dictionary = Dictionary(spark, f"{tmp_path}/terms")
     assert dictionary.extend(P.build_index(corpus(spark, ["", None])), "none") == 0
     assert ids_of(dictionary) == {} and dictionary.extend(P.build_index(corpus(spark, FIRST)), "some") == 4
+
+
+def test_batches_of_the_query_share_one_index(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(P, "build_index", lambda *args, build=P.build_index: made.append(args) or build(*args))
+    Q.vocabulary_batches(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
