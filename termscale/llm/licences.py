@@ -69,11 +69,14 @@ def words_of(text):
 
 
 def pairs_of(words):
-    """The pairs of neighbouring words, as 64-bit codes; of no use for fewer than two words."""
-    codes = F.transform(words, lambda word: F.xxhash64(word))
-    after = F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0)))
-    before = F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0)))
-    return F.zip_with(before, after, lambda a, b: F.xxhash64(a, b))
+    """The pairs of neighbouring words, as 64-bit codes; none for fewer than two words."""
+
+    def paired(codes):
+        n = F.greatest(F.size(codes) - 1, F.lit(0))
+        return F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: F.xxhash64(a, b))
+
+    # As the variable of a function the codes are made once, however often they are named.
+    return F.transform(F.array(F.transform(words, lambda word: F.xxhash64(word))), paired)[0]
 
 
 def bigrams_of(words):
@@ -122,7 +125,7 @@ def _windows(docs, templates, noticed, id_col, text_col, similarity):
     row = ["doc_id", "text_key"]
 
     # Where the bigrams of each template stand in each text.
-    spread = texts.select(*row, _plain_words(F.col("text")).alias("words")).filter("size(words) > 1")
+    spread = texts.select(*row, _plain_words(F.col("text")).alias("words"))
     at = spread.select(*row, F.posexplode(pairs_of(F.col("words"))).alias("at", "bigram"))
     wanted = known.select("template_id", "width", "need", F.explode("template_bigrams").alias("bigram"))
     hits = at.join(broadcast_if_small(wanted, measured=wanted), "bigram")
@@ -229,13 +232,17 @@ def licence_notices(
     # Units of too few words, or of so many different ones that they have too many bigrams, end here.
     found = units(docs, id_col, text_col).withColumn("words", words_of(F.col("unit")))
     bounds = known.agg(F.min("n_template").alias("least"), F.max("n_template").alias("most"))
-    enough = F.size("words") - 1 >= F.col("least") / factor
+    # A condition without a bound would be pushed below the split into words, and so make it again; a filter on the size of
+    # the array, which `explode` has and its outer form has not, too.
+    enough = F.size("words") - 1 >= F.greatest(F.col("least") / factor, F.lit(1))
     few = F.size(F.array_distinct("words")) - 1 <= F.col("most") * factor
-    found = found.join(F.broadcast(bounds), (F.size("words") > 1) & enough & few)
-    found = found.withColumn("bigrams", bigrams_of(F.col("words"))).withColumn("n_unit", F.size("bigrams"))
+    found = found.join(F.broadcast(bounds), enough & few)
+    # The size is never null here; as it is declared so, no filter on that is pushed either.
+    n_unit = F.coalesce(F.size("bigrams"), F.lit(0))
+    found = found.withColumn("bigrams", bigrams_of(F.col("words"))).withColumn("n_unit", n_unit)
     key = ["row_id", "doc_id", "text_key", "kind", "number", "unit", "n_unit"]
     larger, smaller = F.greatest("n_unit", "n_template"), F.least("n_unit", "n_template")
-    pairs = found.select(*key, F.explode("bigrams").alias("bigram")).join(known, "bigram")
+    pairs = found.select(*key, F.explode_outer("bigrams").alias("bigram")).filter("bigram IS NOT NULL").join(known, "bigram")
     pairs = pairs.filter(larger <= smaller * factor)
     counted = pairs.groupBy(*key, "template_id", "licence", "n_template").agg(F.count(F.lit(1)).alias("n_common"))
     counted = counted.withColumn("dice", 2 * F.col("n_common") / (F.col("n_unit") + F.col("n_template")))

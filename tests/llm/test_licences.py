@@ -1,8 +1,12 @@
+import re
+
 from compare import connection, spark_rows, sql_rows
 from odd import no_documents, odd_documents
 
+from termscale.llm import licences
 from termscale.llm.licences import TEMPLATES, licence_notices, template_table
 from termscale.llm.queries import LICENCES, op7_licences
+from termscale.session import written
 
 
 def test_against_sql(spark):
@@ -76,3 +80,17 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id, r.template_id, round(r.dice, 3)) for r in found) == [(None, 3, 0.857), (None, 4, 1.0)]
     assert licence_notices(no_documents(spark), own).count() == 0
     assert licence_notices(odd_documents(spark), template_table(spark).limit(0)).count() == 0
+
+
+def test_units_are_split_into_words_once(spark, monkeypatch):
+    plans = []
+
+    def noted(df, label, by=()):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label, by)
+
+    monkeypatch.setattr(licences, "written", noted)
+    op7_licences(spark, "/root/testdata/sf0.001")
+    units, windows = plans
+    assert len(re.findall(r"split\(lower\(x#\d+\.unit", units)) == 1
+    assert len(re.findall(r"split\(lower\(regexp_replace\(text", windows)) == 1
