@@ -139,7 +139,8 @@ class Block:
         places = self.places(self.owners())
         self.ids, self.counts = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
         for part, at in places.items():
-            self.ids[at], self.counts[at] = unpack_rising(by_level[1][part]["ids"]), unpack(by_level[1][part]["numbers"])
+            self.ids[at] = unpack(by_level[1][part]["ids"]) * parts + part
+            self.counts[at] = unpack(by_level[1][part]["numbers"])
         self.word_ids = self.ids
         chance = (self.counts + 1) / (sums["tokens"] + sums["words"] + 1)
         self.chances = chance[self.tokens]
@@ -250,12 +251,15 @@ def _first_level(blocks, parts, sums):
         codes = [np.frombuffer(zlib.decompress(row["lasts"]), "<u8") for row in rows]
         known, at = np.unique(np.concatenate(codes), return_inverse=True)
         counts = np.bincount(at, np.concatenate([unpack(row["numbers"]) for row in rows])).astype(np.int64)
+        # Frequent words get small numbers, as most n-grams consist of them and small numbers take fewer bytes.
+        rank = np.empty(len(known), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(known))
         ends = np.cumsum([len(c) for c in codes])
         out = []
         for row, place in zip(rows, np.split(at, ends[:-1]), strict=True):
-            ids = pack_rising(place * parts + part)
+            ids = pack(rank[place])
             out.append({"level": 1, "block": row["block"], "part": part, "ids": ids, "numbers": pack(counts[place])})
-        hot = np.flatnonzero(counts * HOT_CONTEXTS > sums["tokens"])
+        hot = np.sort(rank[counts * HOT_CONTEXTS > sums["tokens"]])
         out.append({"level": 0, "block": int((counts > 0).sum()), "part": part, "ids": pack_rising(hot * parts + part)})
         return _table(out, _ANSWER)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from termscale.llm import katz
 from termscale.llm.katz import MOST_DISCOUNTED, discounts, score_documents
 from termscale.llm.queries import op2_katz
+from termscale.session import written
 
 WORDS = ["the", "of", "Tree", "tree", "bark", "leaf", "root", "é"]
 
@@ -103,3 +104,26 @@ def test_table_and_held_out_rows(spark):
     trained = [r for r in rows if not r.held_out]
     assert sum(r.n_tokens for r in trained) == trained[0].train_tokens
     assert sum(r.score for r in trained) > sum(r.base_score for r in trained)
+
+
+def test_frequent_words_have_small_numbers(spark, monkeypatch):
+    answers = []
+
+    def noted(df, label, by=()):
+        made = written(df, label, by)
+        answers.append(made) if label == "katz-answers" else None
+        return made
+
+    monkeypatch.setattr(katz, "written", noted)
+    draw = random.Random(7)
+    texts = [" ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    katz.score_documents(docs, F.lit(True)).collect()
+    counts = {}
+    for row in answers[0].filter("level = 1").collect():
+        for number, count in zip(katz.unpack(bytes(row.ids)).tolist(), katz.unpack(bytes(row.numbers)).tolist(), strict=True):
+            assert counts.setdefault(row.part, {}).setdefault(number, count) == count
+    assert counts
+    for found in counts.values():
+        assert sorted(found) == list(range(len(found)))
+        assert [found[n] for n in sorted(found)] == sorted(found.values(), reverse=True)
