@@ -106,3 +106,11 @@ def test_too_many_tags_are_refused(spark):
     rows = spark.range(600).selectExpr("array(struct('w' AS surface, string(id) AS tag)) AS tokens")
     with pytest.raises(ValueError):
         G.train_tagger(rows)
+
+
+def test_tokens_are_made_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(G, "written", lambda df, label, write=G.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    texts = spark.range(9).selectExpr("concat('the dog ', id) AS text", "'N' AS tag").repartition(2)
+    G.train_tagger(texts.selectExpr("transform(split(text, ' '), s -> struct(s AS surface, tag)) AS tokens"))
+    assert sum(plan.count("split(") for plan in plans) == 1
