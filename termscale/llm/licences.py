@@ -6,7 +6,8 @@ templates' bigrams.
 
 A notice can also share its line or paragraph with other text, or go over several of them. So windows of as many
 words as a template has are compared with it, wherever in the text so many of its bigrams stand together that the
-coefficient can be reached.
+coefficient can be reached. Texts that hold too few bigrams of every template are left out within their row, so that they
+are not shuffled.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from termscale.session import written
 from termscale.sources.local import broadcast_if_small
 
 SIMILARITY = 0.8
+#: Templates of so many bigrams in all, at most, are compared with each text within its row.
+IN_ROW = 2_000
 #: What parts lines and paragraphs.
 LINE, PARAGRAPH = "\n", "\n[ \t\r]*\n"
 
@@ -108,6 +111,30 @@ def _plain_words(text):
     return words_of(F.regexp_replace(text, r"(?im)^[ \t]*(?:dnl|rem)\b", " "))
 
 
+def _texts_that_hold(texts, known):
+    """`texts` with `words`, and a function of the words that gives the pairs of a text, or null if no window of it can reach
+    the similarity: it has fewer than `need` of the bigrams of every template. More than `IN_ROW` bigrams of templates are not
+    looked for here, and all pairs are given."""
+    texts = texts.withColumn("words", _plain_words(F.col("text")))
+    known = known.filter("n_template > 0")
+    if (known.agg(F.sum("n_template")).first()[0] or 0) > IN_ROW:
+        return texts, pairs_of
+    sought = F.collect_list(F.struct("template_bigrams", "need")).alias("sought")
+    sought = known.agg(sought).select("sought", F.array_distinct(F.flatten("sought.template_bigrams")).alias("sought_bigrams"))
+
+    def holds(pairs):
+        def enough(common):
+            return F.exists("sought", lambda t: F.size(F.array_intersect(common, t["template_bigrams"])) >= t["need"])
+
+        # As in `pairs_of`: what all templates share with the text is made once.
+        return F.exists(F.array(F.array_intersect(pairs, F.col("sought_bigrams"))), enough)
+
+    def held_pairs(words):
+        return F.transform(F.array(pairs_of(words)), lambda pairs: F.when(holds(pairs), pairs))[0]
+
+    return texts.crossJoin(F.broadcast(sought)), held_pairs
+
+
 def _windows(docs, templates, noticed, id_col, text_col, similarity):
     """The rows of `licence_notices` for windows; `noticed` has the notices that are lines and paragraphs."""
     known = templates.select("template_id", "licence", _plain_words(F.col("template")).alias("template_words"))
@@ -125,8 +152,8 @@ def _windows(docs, templates, noticed, id_col, text_col, similarity):
     row = ["doc_id", "text_key"]
 
     # Where the bigrams of each template stand in each text.
-    spread = texts.select(*row, _plain_words(F.col("text")).alias("words"))
-    at = spread.select(*row, F.posexplode(pairs_of(F.col("words"))).alias("at", "bigram"))
+    texts, held_pairs = _texts_that_hold(texts, known)
+    at = texts.select(*row, F.posexplode(held_pairs(F.col("words"))).alias("at", "bigram"))
     wanted = known.select("template_id", "width", "need", F.explode("template_bigrams").alias("bigram"))
     hits = at.join(broadcast_if_small(wanted, measured=wanted), "bigram")
     places = hits.groupBy(*row, "template_id", "width", "need").agg(F.sort_array(F.collect_set("at")).alias("places"))
@@ -139,7 +166,10 @@ def _windows(docs, templates, noticed, id_col, text_col, similarity):
     fields = ["kind", "number", "licence", "dice"]
     noticed = noticed.groupBy(*row).agg(F.collect_set(F.struct(*fields)).alias("noticed"))
 
-    # Only texts with such a window are split into words again.
+    # All texts are split into words again, so that only those that can hold a window are shuffled.
+    if held_pairs is not pairs_of:
+        texts = texts.filter(held_pairs(F.col("words")).isNotNull())
+    texts = texts.select(*row, "text")
     found, noticed = found.toDF("hit_doc", "hit_key", "templates"), noticed.toDF("unit_doc", "unit_key", "noticed")
     texts = texts.join(found, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_key")))
     same = F.col("doc_id").eqNullSafe(F.col("unit_doc")) & (F.col("text_key") == F.col("unit_key"))

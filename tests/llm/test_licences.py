@@ -94,3 +94,52 @@ def test_units_are_split_into_words_once(spark, monkeypatch):
     units, windows = plans
     assert len(re.findall(r"split\(lower\(x#\d+\.unit", units)) == 1
     assert len(re.findall(r"split\(lower\(regexp_replace\(text", windows)) == 1
+
+
+def _near_notices():
+    """Notices beside other text, whole, and with more and more of their words replaced."""
+    texts = []
+    for k, (_, template) in enumerate(TEMPLATES):
+        words = template.split()
+        for step in range(2, 9):
+            changed = [f"other{i}" if i % step == 0 else word for i, word in enumerate(words)]
+            texts += [f"before {k} {' '.join(changed)} after", f"before {' '.join(words[: len(words) * step // 9])} after"]
+        texts += [f"before {template} after", template, "\n".join(words)]
+    return [*texts, None, "", "one", *texts[:3]]
+
+
+def test_many_templates_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(None if i % 50 == 0 else i, text) for i, text in enumerate(_near_notices())], "doc_id long, text string")
+    found = spark_rows(licence_notices(docs))
+    monkeypatch.setattr(licences, "IN_ROW", 0)
+    assert found == spark_rows(licence_notices(docs)) and any("window" in row for row in found[1])
+
+
+def _shuffled(plan):
+    """The bytes that the shuffles of a plan that ran have written, before compression."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    own = plan.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_texts_without_notices_are_not_shuffled(spark):
+    texts = [" ".join(f"word{i * k % 997}" for i in range(2000)) for k in range(1, 41)]
+    texts.append(f"{texts[0]} All rights reserved. {texts[1]}")
+    # Some bigrams of a template, but fewer than a window needs.
+    texts.append(f"you may not use this file except {texts[2]}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        found = licence_notices(docs)
+        assert [(r.doc_id, r.kind, r.licence) for r in found.collect()] == [(40, "window", "All-Rights-Reserved")]
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert len(texts[40]) < _shuffled(found._jdf.queryExecution().executedPlan()) < 2 * len(texts[40])
