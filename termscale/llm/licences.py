@@ -272,8 +272,9 @@ def licence_notices(
     found = found.withColumn("bigrams", bigrams_of(F.col("words"))).withColumn("n_unit", n_unit)
     key = ["row_id", "doc_id", "text_key", "kind", "number", "unit", "n_unit"]
     larger, smaller = F.greatest("n_unit", "n_template"), F.least("n_unit", "n_template")
-    pairs = found.select(*key, F.explode_outer("bigrams").alias("bigram")).filter("bigram IS NOT NULL").join(known, "bigram")
-    pairs = pairs.filter(larger <= smaller * factor)
+    pairs = found.select(*key, F.explode_outer("bigrams").alias("bigram")).filter("bigram IS NOT NULL")
+    # Left to sizes seen in the run, all bigrams of all units are shuffled where `bounds` is there before the templates' stage ends.
+    pairs = pairs.join(broadcast_if_small(known), "bigram").filter(larger <= smaller * factor)
     counted = pairs.groupBy(*key, "template_id", "licence", "n_template").agg(F.count(F.lit(1)).alias("n_common"))
     counted = counted.withColumn("dice", 2 * F.col("n_common") / (F.col("n_unit") + F.col("n_template")))
     counted = counted.filter(F.col("dice") >= similarity)

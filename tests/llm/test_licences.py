@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from compare import connection, spark_rows, sql_rows
 from odd import no_documents, odd_documents
 
@@ -143,3 +144,31 @@ def test_texts_without_notices_are_not_shuffled(spark):
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     assert len(texts[40]) < _shuffled(found._jdf.queryExecution().executedPlan()) < 2 * len(texts[40])
+
+
+@pytest.fixture
+def unseen_sizes(spark):
+    """No join becomes a broadcast by the sizes of tables or of stages that have ended."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name in names:
+        spark.conf.set(name, "-1")
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_units_without_template_bigrams_are_not_shuffled(spark, monkeypatch, unseen_sizes):
+    shuffled = {}
+
+    def noted(df, label, by=()):
+        df.collect()
+        shuffled[label] = _shuffled(df._jdf.queryExecution().executedPlan())
+        return written(df, label, by)
+
+    monkeypatch.setattr(licences, "written", noted)
+    lines = [" ".join(f"word{i * k % 997}" for i in range(20)) for k in range(1, 401)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "All rights reserved.\nAsk us.")], "doc_id long, text string")
+    assert [(r.doc_id, r.kind, r.number) for r in licence_notices(docs).collect()] == [(2, "line", 0)]
+    # Rows of the bounds, of the notice's pair with its template, and of the best of it.
+    assert 0 < shuffled["licence-units"] < 2_000
